@@ -44,6 +44,15 @@ def join_sources(news: DataFrame, trends: DataFrame, stocks: DataFrame, as_of: s
     return joined.withColumn("stock_available", labels.holds(F.col("stock_available")))
 
 
+def join_size(news: DataFrame, trends: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Rows per brand that ``grain="all"`` would produce, without producing them."""
+    sizes = [df.groupBy(*JOIN_KEYS).agg(F.count("*").alias(name))
+             for name, df in (("news_rows", news), ("trends_rows", trends), ("stocks_rows", stocks))]
+    joined = sizes[0].join(sizes[1], JOIN_KEYS, "left").join(sizes[2], JOIN_KEYS, "left")
+    factors = [F.coalesce(name, F.lit(1)) for name in ("trends_rows", "stocks_rows")]
+    return joined.withColumn("joined_rows", F.col("news_rows") * factors[0] * factors[1])
+
+
 def normalize(joined: DataFrame) -> DataFrame:
     return joined.withColumns({
         "sentiment_normalized": scaling.sentiment_normalized(F.col("avg_daily_sentiment")),

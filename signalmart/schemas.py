@@ -2,78 +2,119 @@
 
 from pyspark.sql import types as T
 
+STRING, DOUBLE, LONG, INT = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
+BOOL, DATE = T.BooleanType(), T.DateType()
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
 
+def _table(*groups: tuple[T.DataType, str]) -> T.StructType:
+    """Nullable columns in order, given as groups of one type and their names."""
+    return T.StructType([T.StructField(name, kind) for kind, names in groups for name in names.split()])
 
-BRANDS = _struct(
-    "brand_name string, category string, brand_type string, news_ticker string, ticker string,"
-    " exchange string, search_terms array<string>, trend_term string"
+
+BRANDS = _table(
+    (STRING, "brand_name category brand_type news_ticker ticker exchange"),
+    (T.ArrayType(STRING), "search_terms"),
+    (STRING, "trend_term"),
+)
+
+ARTICLE = _table(
+    (STRING, "title description url publishedAt author"),
+    (_table((STRING, "name")), "source"),
 )
 
-NEWS_PAYLOAD = _struct(
-    "brand_name string, search_term string, term_pos int, status string,"
-    " articles array<struct<title: string, description: string, url: string, publishedAt: string,"
-    " author: string, source: struct<name: string>>>"
+NEWS_PAYLOAD = _table(
+    (STRING, "brand_name search_term"),
+    (INT, "term_pos"),
+    (STRING, "status"),
+    (T.ArrayType(ARTICLE), "articles"),
 )
 
-OHLC_RAW = _struct("ticker string, date date, open double, high double, low double, close double, volume double")
+OHLC_RAW = _table((STRING, "ticker"), (DATE, "date"), (DOUBLE, "open high low close volume"))
 
-NEWS_BRONZE = _struct(
-    "brand_name string, brand_type string, ticker string, category string, search_term string,"
-    " article_id bigint, headline string, description string, source_name string, author string,"
-    " url string, published_at string, ingested_at string, pipeline_source string, data_layer string"
+NEWS_BRONZE = _table(
+    (STRING, "brand_name brand_type ticker category search_term"),
+    (LONG, "article_id"),
+    (STRING, "headline description source_name author url published_at ingested_at pipeline_source data_layer"),
 )
 
-STOCKS_BRONZE = _struct(
-    "brand_name string, brand_type string, category string, ticker string, exchange string, date string,"
-    " open_price double, high_price double, low_price double, close_price double, volume bigint,"
-    " daily_change_pct double, price_range double, ingested_at string, pipeline_source string,"
-    " data_layer string, stock_available boolean"
+STOCKS_BRONZE = _table(
+    (STRING, "brand_name brand_type category ticker exchange date"),
+    (DOUBLE, "open_price high_price low_price close_price"),
+    (LONG, "volume"),
+    (DOUBLE, "daily_change_pct price_range"),
+    (STRING, "ingested_at pipeline_source data_layer"),
+    (BOOL, "stock_available"),
 )
 
-TRENDS_BRONZE = _struct(
-    "brand_name string, brand_type string, category string, search_term string, date string,"
-    " trend_score bigint, timeframe string, geo string, ingested_at string, pipeline_source string,"
-    " data_layer string, stock_available boolean"
+TRENDS_BRONZE = _table(
+    (STRING, "brand_name brand_type category search_term date"),
+    (LONG, "trend_score"),
+    (STRING, "timeframe geo ingested_at pipeline_source data_layer"),
+    (BOOL, "stock_available"),
 )
 
-NEWS_SILVER = _struct(
-    "brand_name string, category string, brand_type string, news_date date, daily_article_count bigint,"
-    " avg_daily_sentiment double, share_of_voice_pct double, positive_count bigint, negative_count bigint,"
-    " rolling_7d_avg double, news_velocity double, coverage_trend string, ingestion_date string"
+NEWS_SILVER = _table(
+    (STRING, "brand_name category brand_type"),
+    (DATE, "news_date"),
+    (LONG, "daily_article_count"),
+    (DOUBLE, "avg_daily_sentiment share_of_voice_pct"),
+    (LONG, "positive_count negative_count"),
+    (DOUBLE, "rolling_7d_avg news_velocity"),
+    (STRING, "coverage_trend ingestion_date"),
 )
 
-STOCKS_SILVER = _struct(
-    "brand_name string, brand_type string, category string, ticker string, exchange string,"
-    " stock_date string, open_price double, close_price double, high_price double, low_price double,"
-    " volume bigint, daily_change_pct double, volatility_7d double, price_signal string,"
-    " ingested_at string, stock_available boolean, data_source string, ingestion_date string"
+STOCKS_SILVER = _table(
+    (STRING, "brand_name brand_type category ticker exchange stock_date"),
+    (DOUBLE, "open_price close_price high_price low_price"),
+    (LONG, "volume"),
+    (DOUBLE, "daily_change_pct volatility_7d"),
+    (STRING, "price_signal ingested_at"),
+    (BOOL, "stock_available"),
+    (STRING, "data_source ingestion_date"),
 )
 
-TRENDS_SILVER = _struct(
-    "brand_name string, brand_type string, category string, trend_date string, trend_score bigint,"
-    " trend_momentum double, trend_zscore double, is_anomaly boolean, geo string, ingested_at string,"
-    " stock_available boolean, data_source string, ingestion_date string"
+TRENDS_SILVER = _table(
+    (STRING, "brand_name brand_type category trend_date"),
+    (LONG, "trend_score"),
+    (DOUBLE, "trend_momentum trend_zscore"),
+    (BOOL, "is_anomaly"),
+    (STRING, "geo ingested_at"),
+    (BOOL, "stock_available"),
+    (STRING, "data_source ingestion_date"),
 )
 
-BRAND_HEALTH = _struct(
-    "brand_name string, brand_type string, category string, processed_date date,"
-    " avg_daily_sentiment double, trend_score bigint, trend_momentum double, share_of_voice_pct double,"
-    " daily_article_count bigint, news_velocity double, coverage_trend string,"
-    " close_price double, daily_change_pct double, volatility_7d double, price_signal string,"
-    " stock_available boolean,"
-    " sentiment_normalized double, trend_normalized bigint, stock_normalized double,"
-    " brand_health_index double, health_label string,"
-    " is_anomaly boolean, alert_flag boolean, alert_reason string,"
-    " last_week_index double, last_week_label string, index_change_wow double, wow_direction string,"
-    " label_changed boolean, sentiment_shift double, trend_shift double"
+BRAND_HEALTH = _table(
+    (STRING, "brand_name brand_type category"),
+    (DATE, "processed_date"),
+    (DOUBLE, "avg_daily_sentiment"),
+    (LONG, "trend_score"),
+    (DOUBLE, "trend_momentum share_of_voice_pct"),
+    (LONG, "daily_article_count"),
+    (DOUBLE, "news_velocity"),
+    (STRING, "coverage_trend"),
+    (DOUBLE, "close_price daily_change_pct volatility_7d"),
+    (STRING, "price_signal"),
+    (BOOL, "stock_available"),
+    (DOUBLE, "sentiment_normalized"),
+    (LONG, "trend_normalized"),
+    (DOUBLE, "stock_normalized brand_health_index"),
+    (STRING, "health_label"),
+    (BOOL, "is_anomaly alert_flag"),
+    (STRING, "alert_reason"),
+    (DOUBLE, "last_week_index"),
+    (STRING, "last_week_label"),
+    (DOUBLE, "index_change_wow"),
+    (STRING, "wow_direction"),
+    (BOOL, "label_changed"),
+    (DOUBLE, "sentiment_shift trend_shift"),
 )
 
-LAST_WEEK = _struct(
-    "brand_name string, last_week_index double, last_week_label string,"
-    " last_week_sentiment double, last_week_trend bigint"
+LAST_WEEK = _table(
+    (STRING, "brand_name"),
+    (DOUBLE, "last_week_index"),
+    (STRING, "last_week_label"),
+    (DOUBLE, "last_week_sentiment"),
+    (LONG, "last_week_trend"),
 )
 
-LEXICON = _struct("term string, valence double")
+LEXICON = _table((STRING, "term"), (DOUBLE, "valence"))

@@ -88,7 +88,8 @@ class Inputs:
     def news_bronze(self) -> DataFrame:
         """One article per document, in the order of ``doc_id``; the headline is the whole text.
 
-        Very short texts have no headline, some others no readable date.
+        Very short texts have no headline, some others no readable date.  Articles land
+        on their day, so every landing day has rows.
         """
         n = F.col("n_chars")
         day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
@@ -103,7 +104,9 @@ class Inputs:
             F.when((n >= 20) & (n < 60), F.lit("unknown")).otherwise(
                 F.date_format(day, "yyyy-MM-dd'T12:00:00Z'")
             ).alias("published_at"),
-            F.concat(F.lit("2024-01-31T"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("ingested_at"),
+            F.concat(
+                F.date_format(day, "yyyy-MM-dd'T'"), F.lpad(F.col("doc_id").cast("string"), 12, "0")
+            ).alias("ingested_at"),
             "lang",
         )
 
@@ -134,6 +137,7 @@ class Inputs:
             brand_columns(F.col("k"))["brand_name"].alias("brand_name"),
             F.col("source").alias("search_term"),
             F.col("doc_id").alias("term_pos"),
+            "lang",
             F.when(F.col("lang") == C.NEWS_LANGUAGE, "ok").otherwise("error").alias("status"),
             F.transform(F.split("text", "\n"), article).alias("articles"),
         )
@@ -209,7 +213,7 @@ class Inputs:
     def trends_wide(self) -> DataFrame:
         """Interest per day with one column per event type."""
         kinds = ["click", "error", "purchase", "signup", "view"]
-        counts = self._events.groupBy("date").pivot("event_type", kinds).agg(F.count("*"))
+        counts = self._events.groupBy("date").pivot("event_type", kinds).agg(F.count("event_id"))
         return counts.withColumn("isPartial", F.lit(False))
 
     TERMS = ("click", "error", "purchase", "signup", "view", "absent")
