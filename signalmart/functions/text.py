@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from signalmart import constants as C
 
-TOKEN_PATTERN = "[a-z]+"
+NO_WORD = ""
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case letter runs of the whole text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+def words(text: Column) -> Column:
+    """Lower-case letter runs of the whole text, led by one ``NO_WORD``.
+
+    The leading entry makes sure that exploding keeps texts without a word; another one
+    follows the last word when the text goes on after it.
+    """
+    return F.split(F.concat(F.lit(" "), F.lower(text)), "[^a-z]+")
 
 
 def compound(valence_sum: Column, alpha: float = C.COMPOUND_ALPHA) -> Column:

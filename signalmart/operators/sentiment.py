@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from signalmart.functions import text as X
 from signalmart.operators.sizing import broadcast_if_small
 
-# An extra token per text, so that a text without any lexicon word keeps its row.
-_SENTINEL = ""
-
 
 def sentiment(
     df: DataFrame, text: str, lexicon: DataFrame, keys: Sequence[str], carry: Sequence[str] = (),
@@ -22,18 +19,16 @@ def sentiment(
 
     ``lexicon`` has the columns ``term`` (unique) and ``valence``; ``keys`` identify a
     row and ``carry`` are further columns of it.  Words that are not in the lexicon drop
-    out in the join, before anything is aggregated.  With a lexicon of checked small size
+    out right after the join, before anything is aggregated.  With a lexicon of checked small size
     the join is a broadcast, and when ``df`` already is hash partitioned by ``keys`` (as
     after ``dedupe``) no shuffle is needed at all; a larger lexicon becomes a shuffled join
     whose hot words adaptive execution splits.
     """
     kept = [*keys, *carry]
-    words = df.select(*kept, F.explode(F.array_append(X.tokens(F.col(text)), F.lit(_SENTINEL))).alias("term"))
-    neutral = lexicon.sparkSession.range(1).select(
-        F.lit(_SENTINEL).alias("term"), F.lit(0.0).alias("valence")
-    )
-    known = lexicon.select("term", "valence").unionByName(neutral)
-    return words.join(broadcast_if_small(known), "term").groupBy(*kept).agg(X.compound(F.sum("valence")).alias(out))
+    words = df.select(*kept, F.explode(X.words(F.col(text))).alias("term"))
+    valued = words.join(broadcast_if_small(lexicon.select("term", "valence")), "term", "left")
+    hits = valued.where(F.col("valence").isNotNull() | (F.col("term") == X.NO_WORD))
+    return hits.groupBy(*kept).agg(X.compound(F.sum(F.coalesce("valence", F.lit(0.0)))).alias(out))
 
 
 def score_with(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from signalmart.operators.voice import share_of_voice
 
 ARTICLE_KEYS = ["url", "brand_name"]
 DAY_KEYS = ["brand_name", "category", "brand_type", "news_date"]
+SCORED_COLUMNS = ["category", "brand_type", "news_date", "headline"]
 
 
 def standardize(bronze: DataFrame) -> DataFrame:
@@ -33,14 +34,20 @@ def drop_incomplete(articles: DataFrame) -> DataFrame:
     return articles.dropna(subset=["headline", "brand_name", "url"])
 
 
-def clean(bronze: DataFrame) -> DataFrame:
-    """Standardised, complete articles, one per url and brand: the one loaded first."""
-    return dedupe(drop_incomplete(standardize(bronze)), ARTICLE_KEYS, ["ingested_at", "published_at"])
+def clean(bronze: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Standardised, complete articles, one per url and brand: the one loaded first.
+
+    De-duplication moves whole rows, so name the ``columns`` that are needed later.
+    """
+    articles = drop_incomplete(standardize(bronze))
+    if columns is not None:
+        articles = articles.select(*dict.fromkeys([*ARTICLE_KEYS, "ingested_at", "published_at", *columns]))
+    return dedupe(articles, ARTICLE_KEYS, ["ingested_at", "published_at"])
 
 
 def score(articles: DataFrame, lexicon: DataFrame | None, scorer: Callable[[Column], Column] | None = None) -> DataFrame:
     """Sentiment score and label per article."""
-    carry = ["category", "brand_type", "news_date"]
+    carry = [c for c in SCORED_COLUMNS if c != "headline"]
     if scorer is not None:
         scored = score_with(articles, "headline", scorer, ARTICLE_KEYS, carry)
     elif lexicon is not None:
@@ -89,7 +96,7 @@ def news_silver(
     the articles are scored once; without it the plan stays lazy and only the article
     shuffle is shared.
     """
-    per_day = daily(score(clean(bronze), lexicon, scorer))
+    per_day = daily(score(clean(bronze, SCORED_COLUMNS), lexicon, scorer))
     if stage is not None:
         per_day = stage(per_day)
     return signals(per_day, period, frame).withColumn("ingestion_date", F.lit(as_of)).select(

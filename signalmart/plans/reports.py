@@ -16,6 +16,13 @@ def _mean(column: str, scale: int) -> Column:
     return F.round(F.avg(column), scale)
 
 
+def _mean_index() -> Column:
+    """Mean of the two-decimal index, summed exactly: ties then round the same in any order of tasks."""
+    index = F.col("brand_health_index")
+    total = F.sum(index.cast("decimal(18,2)")).cast("double")
+    return F.round(total / F.nullif(F.count(index), F.lit(0)), 2)
+
+
 def leaderboard(gold: DataFrame, as_of: str) -> DataFrame:
     """Brands by index, best first; brands without an index lead, as in the warehouse."""
     return _on(gold, as_of).select(
@@ -34,7 +41,7 @@ def category_summary(gold: DataFrame, as_of: str) -> DataFrame:
     """Brands, mean index, STRONG and HEALTHY brands and alerts per category."""
     return _on(gold, as_of).groupBy("category").agg(
         F.count("brand_name").alias("total_brands"),
-        _mean("brand_health_index", 2).alias("avg_health"),
+        _mean_index().alias("avg_health"),
         F.count_if(F.col("health_label") == "STRONG").alias("strong"),
         F.count_if(F.col("health_label") == "HEALTHY").alias("healthy"),
         F.count_if("alert_flag").alias("alerts"),
@@ -59,7 +66,7 @@ def brand_type_summary(gold: DataFrame, as_of: str) -> DataFrame:
     """Listed against private brands: count, mean index, mean sentiment, mean trend score."""
     return _on(gold, as_of).groupBy("brand_type").agg(
         F.count("brand_name").alias("brand_count"),
-        _mean("brand_health_index", 2).alias("avg_health"),
+        _mean_index().alias("avg_health"),
         _mean("avg_daily_sentiment", 4).alias("avg_sentiment"),
         _mean("trend_score", 2).alias("avg_trend"),
     )

@@ -47,9 +47,12 @@ def write_bronze(df: DataFrame, root: str, source: str, day: str | None = None,
 def read_or_empty(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", **options: str
 ) -> DataFrame:
-    """The files below ``path``, or no rows when there is nothing at that path; other errors are raised."""
+    """The files below ``path``, or no rows when there is nothing at that path; other errors are raised.
+
+    Columns come in the order of the schema, directory columns included.
+    """
     try:
-        return spark.read.schema(schema).options(**options).format(fmt).load(path)
+        return spark.read.schema(schema).options(**options).format(fmt).load(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

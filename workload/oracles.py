@@ -231,6 +231,9 @@ WOW_COLUMNS = ("last_week_index, last_week_label, index_change_wow, wow_directio
 BARS_COLUMNS = ("brand_name, brand_type, category, ticker, exchange, ingested_at, date, open_price, high_price,"
                 " low_price, close_price, volume, daily_change_pct, price_range")
 
+# The mean of decimals is exact, that of doubles depends on their order.
+MEAN_INDEX = "avg(CAST(brand_health_index AS DECIMAL(18,2)))"
+
 UNIT = "brand_name, search_term, published_at"
 
 
@@ -406,7 +409,7 @@ _BODIES: dict[str, str] = {
         SELECT brand_name, category, brand_health_index, health_label, alert_reason FROM gold
         WHERE processed_date = DATE '{AS_OF}' AND alert_flag ORDER BY brand_health_index""",
     "q3_category": f"""
-        SELECT category, count(brand_name) AS total_brands, {rnd('avg(brand_health_index)', 2)} AS avg_health,
+        SELECT category, count(brand_name) AS total_brands, {rnd(MEAN_INDEX, 2)} AS avg_health,
                count(*) FILTER (health_label = 'STRONG') AS strong, count(*) FILTER (health_label = 'HEALTHY') AS healthy,
                count(*) FILTER (alert_flag) AS alerts
         FROM gold WHERE processed_date = DATE '{AS_OF}' GROUP BY category ORDER BY avg_health DESC""",
@@ -415,7 +418,7 @@ _BODIES: dict[str, str] = {
                wow_direction, label_changed, last_week_label AS was, health_label AS now
         FROM gold WHERE processed_date = DATE '{AS_OF}' ORDER BY index_change_wow NULLS LAST""",
     "q5_brand_type": f"""
-        SELECT brand_type, count(brand_name) AS brand_count, {rnd('avg(brand_health_index)', 2)} AS avg_health,
+        SELECT brand_type, count(brand_name) AS brand_count, {rnd(MEAN_INDEX, 2)} AS avg_health,
                {rnd('avg(avg_daily_sentiment)', 4)} AS avg_sentiment, {rnd('avg(trend_score)', 2)} AS avg_trend
         FROM gold WHERE processed_date = DATE '{AS_OF}' GROUP BY brand_type""",
 }

@@ -218,7 +218,7 @@ def history_scan(i: Inputs) -> DataFrame:
 def stage_counts(i: Inputs) -> DataFrame:
     stages = {
         "news_bronze": i.news_bronze,
-        "news_clean": N.clean(i.news_bronze),
+        "news_clean": N.clean(i.news_bronze, []),
         "stocks_bronze": i.stocks_bronze,
         "stocks_silver": i.stocks_silver,
         "trends_bronze": i.trends_bronze,
@@ -257,7 +257,7 @@ def news_dedup(i: Inputs) -> DataFrame:
 
 
 def _scored(i: Inputs) -> DataFrame:
-    return N.score(N.clean(i.news_bronze), i.lexicon)
+    return N.score(N.clean(i.news_bronze, N.SCORED_COLUMNS), i.lexicon)
 
 
 @query
@@ -278,7 +278,7 @@ def news_daily_agg(i: Inputs) -> DataFrame:
 @query
 def news_share_per_week(i: Inputs) -> DataFrame:
     """Share of voice with the ISO year in the week key, per brand and week."""
-    days = N.clean(i.news_bronze).groupBy("brand_name", "category", X.iso_year_week(F.col("news_date")).alias("week"))
+    days = N.clean(i.news_bronze, ["category", "news_date"]).groupBy("brand_name", "category", X.iso_year_week(F.col("news_date")).alias("week"))
     return voice.share_of_voice(days.agg(F.count("*").alias("n")), ["brand_name"], ["category", "week"], "n")
 
 
