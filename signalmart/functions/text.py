@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from signalmart import constants as C
 
-NO_WORD = ""
-
-
 def words(text: Column) -> Column:
-    """Lower-case letter runs of the whole text, led by one ``NO_WORD``.
+    """Lower-case letter runs of the whole text, led by an empty entry.
 
-    The leading entry makes sure that exploding keeps texts without a word; another one
+    The leading entry makes sure that exploding keeps texts without a word.  Another one
     follows the last word when the text goes on after it.
     """
     return F.split(F.concat(F.lit(" "), F.lower(text)), "[^a-z]+")

@@ -17,18 +17,21 @@ def sentiment(
 ) -> DataFrame:
     """Score each row by the valences of its words: ``keys``, ``carry`` and ``out`` are returned.
 
-    ``lexicon`` has the columns ``term`` (unique) and ``valence``; ``keys`` identify a
-    row and ``carry`` are further columns of it.  Words that are not in the lexicon drop
+    ``lexicon`` has the columns ``term`` (unique) and ``valence``; ``keys`` identify a text,
+    copies of a row give one result, and ``carry`` are further columns.  Words that are not in the lexicon drop
     out right after the join, before anything is aggregated.  With a lexicon of checked small size
     the join is a broadcast, and when ``df`` already is hash partitioned by ``keys`` (as
     after ``dedupe``) no shuffle is needed at all; a larger lexicon becomes a shuffled join
     whose hot words adaptive execution splits.
     """
     kept = [*keys, *carry]
-    words = df.select(*kept, F.explode(X.words(F.col(text))).alias("term"))
+    words = df.select(*kept, F.posexplode(X.words(F.col(text))).alias("_pos", "term"))
     valued = words.join(broadcast_if_small(lexicon.select("term", "valence")), "term", "left")
-    hits = valued.where(F.col("valence").isNotNull() | (F.col("term") == X.NO_WORD))
-    return hits.groupBy(*kept).agg(X.compound(F.sum(F.coalesce("valence", F.lit(0.0)))).alias(out))
+    first = F.col("_pos") == 0
+    total, copies = F.sum(F.coalesce("valence", F.lit(0.0))), F.count_if(first)
+    return valued.where(first | F.col("valence").isNotNull()).groupBy(*kept).agg(
+        X.compound(total / copies).alias(out)
+    )
 
 
 def score_with(

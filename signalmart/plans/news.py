@@ -57,6 +57,21 @@ def score(articles: DataFrame, lexicon: DataFrame | None, scorer: Callable[[Colu
     return scored.withColumn("sentiment_label", labels.sentiment_label(F.col("sentiment_score")))
 
 
+def score_before_dedupe(bronze: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``score(clean(...))`` in the other order, for long texts.
+
+    The text is reduced to its score where it is read, so that only narrow rows are
+    shuffled (twice); ``score`` after ``clean`` shuffles the texts (once) and scores
+    no copies, which suits headlines.
+    """
+    order = ["ingested_at", "published_at"]
+    articles = drop_incomplete(standardize(bronze)).withColumn("_text", F.xxhash64("headline"))
+    carry = [c for c in SCORED_COLUMNS if c != "headline"]
+    scored = sentiment(articles, "headline", lexicon, [*ARTICLE_KEYS, *order, "_text"], carry)
+    unique = dedupe(scored, ARTICLE_KEYS, order).drop(*order, "_text")
+    return unique.withColumn("sentiment_label", labels.sentiment_label(F.col("sentiment_score")))
+
+
 def daily(scored: DataFrame) -> DataFrame:
     """Article count, mean sentiment and label counts per brand and day."""
     label = F.col("sentiment_label")
@@ -86,7 +101,7 @@ def signals(
 def news_silver(
     bronze: DataFrame, as_of: str, lexicon: DataFrame | None = None, *,
     scorer: Callable[[Column], Column] | None = None,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Callable[[DataFrame], DataFrame] | None = None, long_texts: bool = False,
     period: Callable[[Column], Column] = text.iso_week, frame: str = "rows",
 ) -> DataFrame:
     """Silver news of the given articles.
@@ -94,9 +109,13 @@ def news_silver(
     The daily rows are read twice, for the brand's series and for the category totals.
     ``stage`` (see ``sources.shared.stage``) writes them to a table in between, so that
     the articles are scored once; without it the plan stays lazy and only the article
-    shuffle is shared.
+    shuffle is shared.  ``long_texts`` scores with the lexicon before de-duplicating.
     """
-    per_day = daily(score(clean(bronze, SCORED_COLUMNS), lexicon, scorer))
+    if long_texts and scorer is None and lexicon is not None:
+        scored = score_before_dedupe(bronze, lexicon)
+    else:
+        scored = score(clean(bronze, SCORED_COLUMNS), lexicon, scorer)
+    per_day = daily(scored)
     if stage is not None:
         per_day = stage(per_day)
     return signals(per_day, period, frame).withColumn("ingestion_date", F.lit(as_of)).select(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,10 @@ def stage(name: str = "stage") -> Callable[[DataFrame], DataFrame]:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     return write_and_read
+
+
+def stage_all(tables: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Stage independent tables side by side, so that small ones do not wait for large ones."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        running = {name: pool.submit(lambda n=name, b=build: stage(n)(b())) for name, build in tables.items()}
+        return {name: task.result() for name, task in running.items()}

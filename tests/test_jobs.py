@@ -82,6 +82,8 @@ def test_news_silver_staged_equals_lazy(spark, lexicon):
     lazy = news.news_silver(df, "2026-03-22", lexicon)
     assert shape(lazy.schema) == shape(schemas.NEWS_SILVER)
     assert rows(lazy) == rows(news.news_silver(df, "2026-03-22", lexicon, stage=stage()))
+    copies = df.unionByName(df.limit(50))
+    assert rows(lazy) == rows(news.news_silver(copies, "2026-03-22", lexicon, long_texts=True))
     total = lazy.agg(F.sum("daily_article_count")).first()[0]
     assert total == 42  # 40 distinct urls of A, two complete articles of B
     assert lazy.where("news_date is null").count() == 1

@@ -168,6 +168,13 @@ def test_sentiment_against_brute_force_on_whole_texts(spark):
     assert got == {k: pytest.approx(brute(t)) for k, t in enumerate(texts)}
 
 
+def test_copies_of_a_row_are_scored_once(spark):
+    df = spark.createDataFrame([(1, "good"), (1, "good"), (2, "bad")], "k int, t string")
+    lexicon = spark.createDataFrame(LEXICON, "term string, valence double")
+    got = dict(rows(sentiment(df, "t", lexicon, ["k"])))
+    assert got == {1: pytest.approx(brute("good")), 2: pytest.approx(brute("bad"))}
+
+
 def test_large_lexicon_gives_the_same_scores_by_a_shuffled_join(spark, monkeypatch):
     from signalmart.operators import sentiment as module
     df = spark.createDataFrame([(k, "good bad good" if k % 3 else "none") for k in range(200)], "k int, t string")

@@ -21,7 +21,7 @@ from signalmart.plans.news import news_silver
 from signalmart.plans.stocks import stocks_silver
 from signalmart.plans.trends import trends_silver
 from signalmart.sources.gold import week_before
-from signalmart.sources.shared import stage
+from signalmart.sources.shared import stage, stage_all
 
 AS_OF = "2024-01-30"
 LAST_WEEK = week_before(AS_OF)
@@ -241,11 +241,11 @@ class Inputs:
     @cached_property
     def silver(self) -> dict[str, DataFrame]:
         """The three silver tables as written tables: gold reads each of them more than once."""
-        return {
-            "news": stage("news-silver")(self.news_silver),
-            "trends": stage("trends-silver")(self.trends_silver),
-            "stocks": stage("stocks-silver")(self.stocks_silver),
-        }
+        return stage_all({
+            "news": lambda: self.news_silver,
+            "trends": lambda: self.trends_silver,
+            "stocks": lambda: self.stocks_silver,
+        })
 
     @cached_property
     def history(self) -> DataFrame:
