@@ -228,7 +228,8 @@ class Inputs:
 
     @cached_property
     def news_silver(self) -> DataFrame:
-        return news_silver(self.news_bronze, AS_OF, self.lexicon, stage=stage("news-daily"))
+        """Headlines here are whole documents, so they are scored before anything is shuffled."""
+        return news_silver(self.news_bronze, AS_OF, self.lexicon, stage=stage("news-daily"), long_texts=True)
 
     @cached_property
     def stocks_silver(self) -> DataFrame:

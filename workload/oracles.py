@@ -343,6 +343,8 @@ _BODIES: dict[str, str] = {
     "news_filter_nulls": "SELECT brand_name, url, headline, published_at FROM news_complete",
     "news_dedup": "SELECT brand_name, url, source_name, published_at, ingested_at, news_date FROM news_clean",
     "sentiment_lexicon": f"SELECT brand_name, url, {rnd('score', 6)} AS sentiment_score FROM news_scored",
+    "sentiment_before_dedupe": f"""
+        SELECT brand_name, url, news_date, {rnd('score', 6)} AS sentiment_score FROM news_scored""",
     "sentiment_label": "SELECT brand_name, url, label AS sentiment_label FROM news_scored",
     "news_daily_agg": f"""
         SELECT brand_name, category, brand_type, news_date, daily_article_count,

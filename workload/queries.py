@@ -260,6 +260,12 @@ def _scored(i: Inputs) -> DataFrame:
     return N.score(N.clean(i.news_bronze, N.SCORED_COLUMNS), i.lexicon)
 
 
+@query
+def sentiment_before_dedupe(i: Inputs) -> DataFrame:
+    scored = N.score_before_dedupe(i.news_bronze, i.lexicon)
+    return rounded(scored.select("brand_name", "url", "news_date", "sentiment_score"), "sentiment_score")
+
+
 @query
 def sentiment_lexicon(i: Inputs) -> DataFrame:
     return rounded(_scored(i).select("brand_name", "url", "sentiment_score"), "sentiment_score")
