@@ -35,6 +35,11 @@ def date_of(timestamp_text: Column) -> Column:
     return timestamp_text.try_cast("date")
 
 
+def year_of(day: Column) -> Column:
+    """Year of a date or an ISO-8601 text, as text."""
+    return F.substring(day.cast("string"), 1, 4)
+
+
 def iso_week(day: Column) -> Column:
     """ISO week number without the year."""
     return F.weekofyear(day)

@@ -12,7 +12,7 @@ from signalmart import schemas
 from signalmart.functions import labels, text
 from signalmart.operators.rows import dedupe
 from signalmart.operators.sentiment import score_with, sentiment
-from signalmart.operators.series import velocity
+from signalmart.operators.series import in_periods, velocity
 from signalmart.operators.voice import share_of_voice
 
 ARTICLE_KEYS = ["url", "brand_name"]
@@ -84,15 +84,20 @@ def daily(scored: DataFrame) -> DataFrame:
 
 
 def signals(
-    per_day: DataFrame, period: Callable[[Column], Column] = text.iso_week, frame: str = "rows"
+    per_day: DataFrame, period: Callable[[Column], Column] = text.iso_week, frame: str = "rows",
+    split: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Rolling average, velocity, coverage trend and share of voice of the daily rows.
 
     Share of voice is computed from the daily counts, which gives the same shares as
     counting raw articles: a day belongs to one week and the daily keys contain category
-    and brand.
+    and brand.  ``split`` cuts long series, for example by ``text.year_of``; it needs a brand
+    to keep its category and type, so that it has one row per day.
     """
-    moving = velocity(per_day, "daily_article_count", ["brand_name"], "news_date", "news_velocity", frame=frame)
+    moving = in_periods(
+        per_day, ["brand_name"], "news_date", split, C.ROLLING_ROWS - 1,
+        lambda df, keys: velocity(df, "daily_article_count", keys, "news_date", "news_velocity", frame=frame),
+    )
     moving = moving.withColumn("coverage_trend", labels.coverage_trend(F.col("news_velocity")))
     weekly = moving.withColumn("week_number", period(F.col("news_date")))
     return share_of_voice(weekly, ["brand_name"], ["category", "week_number"], "daily_article_count")
@@ -103,6 +108,7 @@ def news_silver(
     scorer: Callable[[Column], Column] | None = None,
     stage: Callable[[DataFrame], DataFrame] | None = None, long_texts: bool = False,
     period: Callable[[Column], Column] = text.iso_week, frame: str = "rows",
+    split: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Silver news of the given articles.
 
@@ -118,6 +124,6 @@ def news_silver(
     per_day = daily(scored)
     if stage is not None:
         per_day = stage(per_day)
-    return signals(per_day, period, frame).withColumn("ingestion_date", F.lit(as_of)).select(
+    return signals(per_day, period, frame, split).withColumn("ingestion_date", F.lit(as_of)).select(
         *schemas.NEWS_SILVER.fieldNames()
     )

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmart import constants as C
 from signalmart import schemas
 from signalmart.functions import labels
 from signalmart.operators.rows import dedupe
-from signalmart.operators.series import pct_change, rolling_stddev
+from signalmart.operators.series import in_periods, pct_change, rolling_stddev
 
 BAR_KEYS = ["ticker", "date"]
 
@@ -24,21 +26,26 @@ def clean(bronze: DataFrame) -> DataFrame:
     return dedupe(drop_unpriced(bronze), BAR_KEYS, ["ingested_at"])
 
 
-def returns(bars: DataFrame) -> DataFrame:
+def returns(bars: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Close-to-close change in percent; it replaces the intraday change of the landed bar."""
-    dated = bars.withColumn("stock_date", F.col("date"))
-    return pct_change(dated, "close_price", ["ticker"], "stock_date", "daily_change_pct", scale=4)
+    return pct_change(bars, "close_price", keys, "stock_date", "daily_change_pct", scale=4)
 
 
-def volatility(bars: DataFrame, frame: str = "rows") -> DataFrame:
-    return rolling_stddev(bars, "daily_change_pct", ["ticker"], "stock_date", "volatility_7d", frame=frame)
+def volatility(bars: DataFrame, frame: str = "rows", keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    return rolling_stddev(bars, "daily_change_pct", keys, "stock_date", "volatility_7d", frame=frame)
 
 
-def stocks_silver(bronze: DataFrame, as_of: str, *, frame: str = "rows") -> DataFrame:
-    """Silver stocks of the given bars."""
-    signal = labels.price_signal(F.col("daily_change_pct"))
-    return volatility(returns(clean(bronze)), frame).withColumns({
-        "price_signal": signal,
+def stocks_silver(
+    bronze: DataFrame, as_of: str, *, frame: str = "rows", split: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Silver stocks of the given bars; ``split`` cuts long series, for example by ``text.year_of``."""
+    bars = clean(bronze).withColumn("stock_date", F.col("date"))
+    moving = in_periods(
+        bars, ["ticker"], "stock_date", split, C.ROLLING_ROWS,
+        lambda df, keys: volatility(returns(df, keys), frame, keys),
+    )
+    return moving.withColumns({
+        "price_signal": labels.price_signal(F.col("daily_change_pct")),
         "stock_available": F.lit(True),
         "data_source": F.lit(C.STOCKS_SOURCE),
         "ingestion_date": F.lit(as_of),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmart import constants as C
 from signalmart import schemas
 from signalmart.functions import labels
 from signalmart.operators.rows import dedupe
-from signalmart.operators.series import pct_change, zscore
+from signalmart.operators.series import in_periods, pct_change, zscore
 
 SCORE_KEYS = ["brand_name", "date"]
 
@@ -23,21 +25,26 @@ def clean(bronze: DataFrame) -> DataFrame:
     return dedupe(drop_incomplete(bronze), SCORE_KEYS, ["ingested_at"])
 
 
-def momentum(scores: DataFrame, lag: int = 1) -> DataFrame:
+def momentum(scores: DataFrame, lag: int = 1, keys: Sequence[str] = ("brand_name",)) -> DataFrame:
     """Percent change against the row ``lag`` places earlier."""
-    dated = scores.withColumn("trend_date", F.col("date"))
-    return pct_change(dated, "trend_score", ["brand_name"], "trend_date", "trend_momentum", lag=lag)
+    return pct_change(scores, "trend_score", keys, "trend_date", "trend_momentum", lag=lag)
 
 
-def anomalies(scores: DataFrame) -> DataFrame:
+def anomalies(scores: DataFrame, long_series: bool = False) -> DataFrame:
     """Z-score within the brand and whether it is unusual in either direction."""
-    scored = zscore(scores, "trend_score", ["brand_name"], "trend_zscore")
+    scored = zscore(scores, "trend_score", ["brand_name"], "trend_zscore", long_series=long_series)
     return scored.withColumn("is_anomaly", labels.is_anomaly(F.col("trend_zscore")))
 
 
-def trends_silver(bronze: DataFrame, as_of: str, *, lag: int = 1) -> DataFrame:
-    """Silver trends of the given scores."""
-    return anomalies(momentum(clean(bronze), lag)).withColumns({
+def trends_silver(
+    bronze: DataFrame, as_of: str, *, lag: int = 1, split: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Silver trends of the given scores; ``split`` cuts long series, for example by ``text.year_of``."""
+    scores = clean(bronze).withColumn("trend_date", F.col("date"))
+    moving = in_periods(
+        scores, ["brand_name"], "trend_date", split, lag, lambda df, keys: momentum(df, lag, keys)
+    )
+    return anomalies(moving, long_series=split is not None).withColumns({
         "data_source": F.lit(C.TRENDS_SOURCE),
         "ingestion_date": F.lit(as_of),
     }).select(*schemas.TRENDS_SILVER.fieldNames())

@@ -22,6 +22,11 @@ def _layout(source: str) -> list[str]:
     return [*UNIT_COLUMNS[source], *DAY_COLUMNS]
 
 
+def _on_day(df: DataFrame, day: str) -> DataFrame:
+    d = date.fromisoformat(day)
+    return df.where((F.col("year") == d.year) & (F.col("month") == d.month) & (F.col("day") == d.day))
+
+
 def rebalanced(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of a directory side by side, with large directories split and small ones merged by size."""
     return df.hint("rebalance", *[F.col(c) for c in columns])
@@ -73,12 +78,15 @@ def read_bronze(spark: SparkSession, root: str, source: str, day: str | None = N
     ])
     df = read_or_empty(spark, f"{root}/{source}", with_layout)
     if day is not None:
-        d = date.fromisoformat(day)
-        df = df.where((F.col("year") == d.year) & (F.col("month") == d.month) & (F.col("day") == d.day))
+        df = _on_day(df, day)
     return df.select(*schema.fieldNames())
 
 
 def landed_units(spark: SparkSession, root: str, source: str, day: str) -> DataFrame:
-    """Units that already landed on a day, for ``operators.landing.skip_existing``."""
-    keys = ["category"] if source == "trends" else ["category", "brand_name"]
-    return read_bronze(spark, root, source, day).select(*keys).distinct()
+    """Units that already landed on a day, for ``operators.landing.skip_existing``; read from the directories."""
+    units = UNIT_COLUMNS[source]
+    layout = T.StructType([
+        *[T.StructField(c, T.StringType()) for c in units], *[T.StructField(c, T.IntegerType()) for c in DAY_COLUMNS]
+    ])
+    landed = _on_day(read_or_empty(spark, f"{root}/{source}", layout), day)
+    return landed.select(*units).distinct().withColumnRenamed("brand", "brand_name")

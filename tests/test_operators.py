@@ -114,6 +114,41 @@ def test_zscore_against_the_definition(spark):
     assert got == pytest.approx([(v - mean) / std for v in values], abs=5e-5)
 
 
+def gapped(spark, seed, n=120):
+    draw = random.Random(seed)
+    days = pd.date_range("2023-11-01", periods=400)
+    data = []
+    for key in ("a", "b", None):
+        chosen = sorted(draw.sample(range(len(days)), n if key == "a" else n // 10))
+        data += [(key, str(days[d].date()), round(draw.uniform(0, 9), 2)) for d in chosen]
+    return spark.createDataFrame(data, "k string, d string, v double")
+
+
+@pytest.mark.parametrize("width", [4, 7, 9, 10])  # by year, month, ten days, day
+def test_split_series_give_the_same_signals(spark, width):
+    df = gapped(spark, width)
+
+    def signals(part, keys):
+        moved = S.pct_change(part, "v", keys, "d", "c", scale=4)
+        return S.velocity(S.rolling_stddev(moved, "c", keys, "d", "s"), "v", keys, "d", "x")
+
+    whole = S.in_periods(df, ["k"], "d", None, 7, signals)
+    cut = S.in_periods(df, ["k"], "d", lambda day: F.substring(day, 1, width), 7, signals)
+    assert rows(cut) == rows(whole)
+
+
+def test_lead_rows_reach_over_short_periods(spark):
+    df = spark.createDataFrame([("a", d, d) for d in range(10)], "k string, d int, v int")
+    cut = S.with_lead_rows(df, ["k"], "d", F.col("d"), 3)
+    assert rows(cut.where("_period = 5").select("d", "_lead")) == [(2, True), (3, True), (4, True), (5, False)]
+    assert cut.where("not _lead").count() == 10
+
+
+def test_zscore_of_long_series_is_the_same(spark):
+    df = gapped(spark, 1)
+    assert rows(S.zscore(df, "v", ["k"], "z")) == rows(S.zscore(df, "v", ["k"], "z", long_series=True))
+
+
 # --- share of voice ---------------------------------------------------------------
 
 def articles(spark, seed=3, n=600):

@@ -50,6 +50,10 @@ def test_landing_day_can_be_given(spark, root):
     assert bronze.read_bronze(spark, root, "trends", "2024-03-09").count() == 4
     assert rows(bronze.landed_units(spark, root, "trends", "2024-03-09")) == [("Cat 1",)]
     assert bronze.landed_units(spark, root, "trends", "2024-03-10").isEmpty()
+    bronze.write_bronze(news_rows(spark, "2024-01-05"), root, "news")
+    units = bronze.landed_units(spark, root, "news", "2024-01-05")
+    assert units.columns == ["category", "brand_name"] and rows(units) == [("C", "A b")]
+    assert "ReadSchema: struct<>" in plan(units)
 
 
 def test_nothing_landed_is_no_rows_but_other_errors_are_raised(spark, root):

@@ -359,6 +359,7 @@ _BODIES: dict[str, str] = {
         SELECT brand_name, news_date, daily_article_count, rolling_7d_avg, news_velocity FROM news_silver""",
     "coverage_trend": "SELECT brand_name, news_date, coverage_trend FROM news_silver",
     "news_silver": f"SELECT {NEWS_COLUMNS} FROM news_silver",
+    "news_silver_split": f"SELECT {NEWS_COLUMNS} FROM news_silver",
     "stocks_filter_price": "SELECT ticker, date, ingested_at, close_price FROM stocks_bronze WHERE close_price > 0",
     "stocks_dedup": "SELECT ticker, date, ingested_at, close_price FROM stocks_clean",
     "stock_returns": "SELECT ticker, stock_date, close_price, daily_change_pct FROM stocks_silver",
@@ -370,6 +371,7 @@ _BODIES: dict[str, str] = {
     "price_signal": "SELECT ticker, stock_date, price_signal FROM stocks_silver",
     "stocks_silver": "SELECT * FROM stocks_silver",
     "stocks_silver_lineitem": silver_stocks("lineitem_bars"),
+    "stocks_silver_split": silver_stocks("lineitem_bars"),
     "trends_filter_nulls": """
         SELECT brand_name, date, ingested_at, trend_score FROM trends_bronze WHERE trend_score IS NOT NULL""",
     "trends_dedup": "SELECT brand_name, date, ingested_at, trend_score FROM trends_clean",
@@ -377,6 +379,7 @@ _BODIES: dict[str, str] = {
     "trend_zscore": "SELECT brand_name, trend_date, trend_zscore FROM trends_silver",
     "trend_anomaly": "SELECT brand_name, trend_date, trend_score, trend_zscore FROM trends_silver WHERE is_anomaly",
     "trends_silver": "SELECT * FROM trends_silver",
+    "trends_silver_split": "SELECT * FROM trends_silver",
     "gold_join": f"SELECT * REPLACE ({rnd('avg_daily_sentiment', 6)} AS avg_daily_sentiment) FROM joined",
     "gold_join_fanout": """
         SELECT brand_name, category, brand_type, any_value(news_rows) AS news_rows, any_value(trends_rows) AS trends_rows,

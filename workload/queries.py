@@ -305,6 +305,15 @@ def coverage_trend(i: Inputs) -> DataFrame:
     return i.news_silver.select("brand_name", "news_date", "coverage_trend")
 
 
+@query
+def news_silver_split(i: Inputs) -> DataFrame:
+    """The same with every series cut into the thirds of the month, de-duplicating first, without a written table."""
+    thirds = N.news_silver(
+        i.news_bronze, AS_OF, i.lexicon, split=lambda day: F.substring(day.cast("string"), 1, 9)
+    )
+    return rounded(thirds)
+
+
 @query
 def news_silver(i: Inputs) -> DataFrame:
     return rounded(i.news_silver)
@@ -322,9 +331,13 @@ def stocks_dedup(i: Inputs) -> DataFrame:
     return S.clean(i.stocks_bronze).select("ticker", "date", "ingested_at", "close_price")
 
 
+def _bars(i: Inputs) -> DataFrame:
+    return S.clean(i.stocks_bronze).withColumn("stock_date", F.col("date"))
+
+
 @query
 def stock_returns(i: Inputs) -> DataFrame:
-    return S.returns(S.clean(i.stocks_bronze)).select("ticker", "stock_date", "close_price", "daily_change_pct")
+    return S.returns(_bars(i)).select("ticker", "stock_date", "close_price", "daily_change_pct")
 
 
 @query
@@ -335,7 +348,7 @@ def stock_volatility(i: Inputs) -> DataFrame:
 @query
 def stock_volatility_days(i: Inputs) -> DataFrame:
     """Volatility over seven calendar days in place of seven rows."""
-    bars = S.volatility(S.returns(S.clean(i.stocks_bronze)), "days")
+    bars = S.volatility(S.returns(_bars(i)), "days")
     return bars.select("ticker", "stock_date", "volatility_7d")
 
 
@@ -354,6 +367,12 @@ def stocks_silver_lineitem(i: Inputs) -> DataFrame:
     return S.stocks_silver(i.lineitem_bars, AS_OF)
 
 
+@query
+def stocks_silver_split(i: Inputs) -> DataFrame:
+    """The same with every series cut by year."""
+    return S.stocks_silver(i.lineitem_bars, AS_OF, split=X.year_of)
+
+
 # --- silver trends ----------------------------------------------------------------
 
 @query
@@ -368,7 +387,8 @@ def trends_dedup(i: Inputs) -> DataFrame:
 
 @query
 def trend_momentum(i: Inputs) -> DataFrame:
-    return T.momentum(T.clean(i.trends_bronze)).select("brand_name", "trend_date", "trend_score", "trend_momentum")
+    scores = T.clean(i.trends_bronze).withColumn("trend_date", F.col("date"))
+    return T.momentum(scores).select("brand_name", "trend_date", "trend_score", "trend_momentum")
 
 
 @query
@@ -387,6 +407,12 @@ def trends_silver(i: Inputs) -> DataFrame:
     return i.trends_silver
 
 
+@query
+def trends_silver_split(i: Inputs) -> DataFrame:
+    """The same with every series cut into the thirds of the month."""
+    return T.trends_silver(i.trends_bronze, AS_OF, split=lambda day: F.substring(day, 1, 9))
+
+
 # --- gold -------------------------------------------------------------------------
 
 def _joined(i: Inputs) -> DataFrame:
