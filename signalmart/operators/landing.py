@@ -59,10 +59,14 @@ def ok_articles(payloads: DataFrame) -> DataFrame:
 
 
 def explode_articles(payloads: DataFrame) -> DataFrame:
-    """One row per article of every payload, with the article's position."""
+    """One row per article of every payload, with the article's position.
+
+    The ``coalesce`` keeps Spark from testing the array in a filter of its own, which would
+    build an array that is computed rather than read several times over.
+    """
     article = F.col("_article")
     rest = [c for c in payloads.columns if c not in ("articles", "status")]
-    return payloads.select(*rest, F.posexplode("articles").alias("article_pos", "_article")).select(
+    return payloads.select(*rest, F.posexplode(F.coalesce("articles", F.array())).alias("article_pos", "_article")).select(
         *rest,
         "article_pos",
         article["title"].alias("headline"),

@@ -26,14 +26,15 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 def run_silver(
     spark: SparkSession, bronze_root: str, silver_root: str, as_of: str, lexicon: DataFrame | None = None,
-    scorer: Callable[[Column], Column] | None = None, mode: str = "overwrite",
+    scorer: Callable[[Column], Column] | None = None, mode: str = "overwrite", long_texts: bool = False,
 ) -> dict[str, int]:
     """Build the silver tables of one landing day; a source without records is left out.
 
     The sources are independent and run side by side.  Returns the rows written per source.
     """
     builders = {
-        "news": lambda df: news_silver(df, as_of, lexicon, scorer=scorer, stage=stage("news-daily")),
+        "news": lambda df: news_silver(
+            df, as_of, lexicon, scorer=scorer, stage=stage("news-daily"), long_texts=long_texts),
         "stocks": lambda df: stocks_silver(df, as_of),
         "trends": lambda df: trends_silver(df, as_of),
     }

@@ -16,6 +16,16 @@ SETTINGS = {
 }
 
 
+# Shuffled bytes one task should get; it then sorts in memory next to its neighbours.
+BYTES_PER_TASK = 128 * 1024 * 1024
+
+
+def shuffle_partitions(shuffled_bytes: int, at_least: int = 200) -> int:
+    """Setting for ``spark.sql.shuffle.partitions``: adaptive execution merges small partitions, but splits
+    only the skewed ones, so the number has to fit the largest shuffle (for these plans, the articles)."""
+    return max(at_least, -(-shuffled_bytes // BYTES_PER_TASK))
+
+
 def build_session(app_name: str = "signalmart", master: str | None = None, **extra: str) -> SparkSession:
     """A session with ``SETTINGS``; keyword arguments use ``__`` for dots in setting names."""
     builder = SparkSession.builder.appName(app_name)

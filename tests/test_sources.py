@@ -141,3 +141,9 @@ def test_stage_writes_to_the_folder_named_by_the_session(spark):
     assert rows(staged) == [(k,) for k in range(5)]
     assert all(folder in f for f in staged.inputFiles())
     assert shared.shared_folder(spark, "a") != shared.shared_folder(spark, "a")
+
+
+def test_shuffle_partitions_follow_the_largest_shuffle():
+    from signalmart.session import shuffle_partitions
+    assert shuffle_partitions(10) == 200
+    assert shuffle_partitions(5 * 1024 ** 4) == 40_960
