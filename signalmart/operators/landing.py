@@ -44,13 +44,20 @@ def lineage_columns(
 
 # --- news -------------------------------------------------------------------------
 
-def with_fallback(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_fallback(
+    primary: DataFrame, secondary: DataFrame, keys: Sequence[str], responded: DataFrame | None = None
+) -> DataFrame:
     """Primary rows, plus the secondary rows of the keys the primary has nothing for.
 
     Decide on unfiltered rows: a unit whose primary rows are all dropped later keeps them.
+    With ``responded``, the primary responses of any status, a unit whose primary request
+    failed altogether is left out instead of falling back.
     """
-    answered = primary.select(*keys).distinct()
-    return primary.unionByName(secondary.join(answered, list(keys), "left_anti"))
+    keys = list(keys)
+    substitutes = secondary.join(primary.select(*keys).distinct(), keys, "left_anti")
+    if responded is not None:
+        substitutes = substitutes.join(responded.select(*keys).distinct(), keys, "left_semi")
+    return primary.unionByName(substitutes)
 
 
 def ok_articles(payloads: DataFrame) -> DataFrame:

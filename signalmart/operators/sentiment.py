@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,27 @@ def sentiment(
     )
 
 
+def scorer(make: Callable[[], Callable[[str], float]]) -> Callable[[Column], Column]:
+    """A column function of a Python scorer, for ``score_with``.
+
+    ``make`` is called once per worker process and batch stream, where it may load its
+    model or rules; the function it returns scores one text.
+    """
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score_text = make()
+        for batch in batches:
+            yield batch.map(score_text)
+
+    return score
+
+
 def score_with(
     df: DataFrame, text: str, scorer: Callable[[Column], Column], keys: Sequence[str], carry: Sequence[str] = (),
     out: str = "sentiment_score",
 ) -> DataFrame:
-    """Score with a user's column function, normally an iterator pandas UDF.
+    """Score with a user's column function instead of a lexicon, see ``scorer``.
 
     A failing scorer fails the job: a silent 0.0 would label every text NEUTRAL.
     """

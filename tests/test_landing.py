@@ -65,6 +65,8 @@ def test_fallback_is_decided_on_the_raw_articles(spark):
                                  for b, t in (("A", "t1"), ("A", "t2"), ("B", "t1"), ("C", "t1"))])
     chosen = L.explode_articles(L.with_fallback(L.ok_articles(primary), secondary, ["brand_name", "search_term"]))
     assert rows(chosen.select("headline")) == [("[Removed]",), ("second A t2",), ("second B t1",), ("second C t1",)]
+    asked = L.with_fallback(L.ok_articles(primary), secondary, ["brand_name", "search_term"], responded=primary)
+    assert rows(asked.select("brand_name", "search_term")) == [("A", "t1"), ("A", "t2"), ("B", "t1")]
     assert rows(L.drop_removed(chosen).select("brand_name", "search_term")) == [("A", "t2"), ("B", "t1"), ("C", "t1")]
 
 

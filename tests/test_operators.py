@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from signalmart.operators import rows as R
 from signalmart.operators import series as S
-from signalmart.operators.sentiment import score_with, sentiment
+from signalmart.operators.sentiment import score_with, scorer, sentiment
 from signalmart.operators.sizing import broadcast_if_small, is_small
 from signalmart.operators.voice import share_of_voice
 
@@ -234,12 +234,20 @@ def test_scoring_after_dedupe_needs_no_further_shuffle(spark):
 
 
 def test_plugged_in_scorer(spark):
-    @F.pandas_udf("double")
-    def length_score(batch: pd.Series) -> pd.Series:
-        return batch.str.len() / 10
+    def make():
+        return lambda text: len(text) / 10
+
+    df = spark.createDataFrame([(1, "abc"), (2, "")], "k int, t string")
+    assert rows(score_with(df, "t", scorer(make), ["k"])) == [(1, 0.3), (2, 0.0)]
+
+
+def test_failing_scorer_fails_the_job(spark):
+    def make():
+        raise RuntimeError("no model")
 
     df = spark.createDataFrame([(1, "abc")], "k int, t string")
-    assert rows(score_with(df, "t", length_score, ["k"])) == [(1, 0.3)]
+    with pytest.raises(Exception, match="no model"):
+        score_with(df, "t", scorer(make), ["k"]).collect()
 
 
 def test_size_check_bounds_rows_and_bytes(spark):

@@ -85,7 +85,7 @@ def source_fallback(i: Inputs) -> DataFrame:
     answers = i.payloads.withColumn("n_articles", F.size("articles"))
     primary = L.ok_articles(answers).withColumn("origin", F.lit("primary"))
     secondary = answers.withColumn("origin", F.lit("secondary"))
-    chosen = L.with_fallback(primary, secondary, ["brand_name", "search_term"])
+    chosen = L.with_fallback(primary, secondary, ["brand_name", "search_term"], responded=answers)
     return chosen.select("brand_name", "search_term", "term_pos", "n_articles", "origin")
 
 
