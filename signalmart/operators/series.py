@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from signalmart import constants as C
+from signalmart.operators.rows import first_n
 
 
 def _trailing(keys: Sequence[str], order: str, n: int, frame: str) -> WindowSpec:
@@ -93,8 +94,7 @@ def with_lead_rows(df: DataFrame, keys: Sequence[str], order: str, period: Colum
     is ever brought together per entity.
     """
     placed = df.withColumn("_period", period)
-    last = Window.partitionBy(*keys, "_period").orderBy(F.desc(order))
-    tails = placed.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= n).drop("_back")
+    tails = first_n(placed, [*keys, "_period"], [F.desc(order)], n)
     tails = tails.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     ends = tails.groupBy(*keys, "_period").agg(F.max("_place").alias("_end"))
     ends = ends.withColumn("_next", F.lead(F.struct("_period")).over(Window.partitionBy(*keys).orderBy("_period"))).where(F.col("_next").isNotNull())

@@ -1,4 +1,4 @@
-"""The daily batch jobs: landed records to silver, silver to gold."""
+"""The daily batch jobs: shaped records to bronze, bronze to silver, silver to gold."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from signalmart.operators.landing import ingest_summary, skip_existing
 from signalmart.plans.gold import brand_health
 from signalmart.plans.news import news_silver
 from signalmart.plans.stocks import stocks_silver
 from signalmart.plans.trends import trends_silver
-from signalmart.sources.bronze import read_bronze
+from signalmart.sources.bronze import landed_units, read_bronze, write_bronze
 from signalmart.sources.gold import read_history, write_gold
 from signalmart.sources.shared import stage
 from signalmart.sources.silver import read_silver, write_silver
@@ -24,6 +25,22 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(observation, F.count("*").alias("rows")), observation
 
 
+def land(records: DataFrame, units: DataFrame, root: str, source: str, day: str) -> DataFrame:
+    """Land the records of units that have nothing on that day yet; returns the summary of the run.
+
+    ``units`` lists what was to be landed, with the keys of the source (category and
+    brand, or just category for trends).  Units that have landed are skipped, units without
+    records are reported with zero and tried again by the next run.
+    """
+    spark = records.sparkSession
+    # Written, because the listing of what was there before must not change with this run.
+    before = stage("landed-units")(landed_units(spark, root, source, day))
+    keys = before.columns
+    write_bronze(skip_existing(records, before, keys), root, source, day)
+    fresh = skip_existing(read_bronze(spark, root, source, day), before, keys)
+    return ingest_summary(units, fresh, keys, before)
+
+
 def run_silver(
     spark: SparkSession, bronze_root: str, silver_root: str, as_of: str, lexicon: DataFrame | None = None,
     scorer: Callable[[Column], Column] | None = None, mode: str = "overwrite", long_texts: bool = False,
@@ -51,12 +68,19 @@ def run_silver(
         return dict(zip(builders, pool.map(run, builders)))
 
 
+def build_gold(
+    spark: SparkSession, silver_root: str, as_of: str, history: DataFrame | None = None, grain: str = "latest"
+) -> DataFrame:
+    """The gold rows of one day from that day's silver, for any sink."""
+    news, trends, stocks = (read_silver(spark, silver_root, s, as_of) for s in ("news", "trends", "stocks"))
+    return brand_health(news, trends, stocks, as_of, history, grain)
+
+
 def run_gold(
     spark: SparkSession, silver_root: str, gold_path: str, as_of: str, grain: str = "latest", mode: str = "overwrite",
 ) -> int:
-    """Build and write the gold rows of one day from that day's silver; returns their number."""
-    news, trends, stocks = (read_silver(spark, silver_root, s, as_of) for s in ("news", "trends", "stocks"))
-    gold = brand_health(news, trends, stocks, as_of, read_history(spark, gold_path, as_of), grain)
+    """Build the gold rows of one day and write them to the gold table; returns their number."""
+    gold = build_gold(spark, silver_root, as_of, read_history(spark, gold_path, as_of), grain)
     rows, observation = observed(gold, "gold")
     write_gold(rows, gold_path, mode)
     return observation.get["rows"]

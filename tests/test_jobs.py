@@ -59,6 +59,46 @@ def test_two_weeks_end_to_end_and_repeated(spark, root, lexicon):
     assert reports.alert_list(table, "2026-03-22").count() == 12
 
 
+def test_landing_twice_skips_what_is_there(spark, root):
+    brands = L.brand_dim(spark)
+    day, moment = "2026-03-22", "2026-03-22T00:05:00Z"
+
+    def records(names):
+        data = [(b, "t", 0, "ok", [("Title", None, f"u-{b}", moment, None, ("S",))]) for b in names]
+        return L.shape_news(spark.createDataFrame(data, schemas.NEWS_PAYLOAD), brands, moment)
+
+    first = {r.brand_name: tuple(r)[2:] for r in jobs.land(records(["HUL", "Lays"]), brands, root, "news", day).collect()}
+    assert len(first) == 13
+    assert (first["HUL"], first["Dabur"], first[None]) == ((1, False), (0, False), (2, False))
+    second = {r.brand_name: tuple(r)[2:]
+              for r in jobs.land(records(["HUL", "Lays", "Dabur"]), brands, root, "news", day).collect()}
+    assert (second["HUL"], second["Dabur"], second["ITC"]) == ((0, True), (1, False), (0, False))
+    assert second[None] == (1, True)
+    assert bronze.read_bronze(spark, root, "news", day).count() == 3
+
+
+def test_trends_land_by_category(spark, root):
+    brands = L.brand_dim(spark)
+    wide = spark.createDataFrame([(dt.date(2026, 3, 21), 5, 6)], "date date, `Thums Up` int, `Lays India` int")
+    rows_of = L.shape_trends(wide, brands, "2026-03-22T00:30:00Z", ["Thums Up", "Lays India"])
+    summary = jobs.land(rows_of, brands, root, "trends", "2026-03-22")
+    assert rows(summary) == sorted([("Beverages", 1, False), ("Health", 0, False), ("Snacks", 1, False),
+                                    (None, 2, False)], key=repr)
+
+
+def test_analysts_can_use_sql(spark, root, lexicon):
+    b, s, g = f"{root}/bronze", f"{root}/silver", f"{root}/gold"
+    land_day(spark, b, "2026-03-22", "great")
+    jobs.run_silver(spark, b, s, "2026-03-22", lexicon)
+    jobs.run_gold(spark, s, g, "2026-03-22")
+    gold.read_gold(spark, g).createOrReplaceTempView("brand_health")
+    by_sql = spark.sql("""
+        SELECT CATEGORY, COUNT(BRAND_NAME) AS N, SUM(CASE WHEN ALERT_FLAG THEN 1 ELSE 0 END) AS ALERTS
+        FROM BRAND_HEALTH WHERE PROCESSED_DATE = DATE '2026-03-22' GROUP BY CATEGORY""")
+    by_report = reports.category_summary(gold.read_gold(spark, g), "2026-03-22")
+    assert rows(by_sql) == rows(by_report.select("category", "total_brands", "alerts"))
+
+
 def test_missing_sources_are_left_out(spark, root, lexicon):
     assert jobs.run_silver(spark, f"{root}/b", f"{root}/s", "2026-03-22", lexicon) == {
         "news": 0, "stocks": 0, "trends": 0}
