@@ -21,8 +21,16 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], chooser) ->
     return picked.select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Keep the first row of every key; null keys form a group, as in ``dropDuplicates``."""
+def dedupe(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Keep the first row of every key; null keys form a group, as in ``dropDuplicates``.
+
+    Rows are moved whole, so Spark cannot prune what is not read later: name the
+    ``columns`` that are needed besides keys and order.
+    """
+    if columns is not None:
+        df = df.select(*dict.fromkeys([*keys, *order, *columns]))
     return _pick(df, keys, order, F.min)
 
 

@@ -19,11 +19,11 @@ def sentiment(
     """Score each row by the valences of its words: ``keys``, ``carry`` and ``out`` are returned.
 
     ``lexicon`` has the columns ``term`` (unique) and ``valence``; ``keys`` identify a text,
-    copies of a row give one result, and ``carry`` are further columns.  Words that are not in the lexicon drop
-    out right after the join, before anything is aggregated.  With a lexicon of checked small size
-    the join is a broadcast, and when ``df`` already is hash partitioned by ``keys`` (as
-    after ``dedupe``) no shuffle is needed at all; a larger lexicon becomes a shuffled join
-    whose hot words adaptive execution splits.
+    copies of a row give one result, and ``carry`` are further columns.  Words that are not
+    in the lexicon drop out right after the join, before anything is aggregated.  With a
+    lexicon of checked small size the join is a broadcast, and when ``df`` already is hash
+    partitioned by ``keys`` (as after ``dedupe``) no shuffle is needed at all; a larger
+    lexicon becomes a shuffled join whose hot words adaptive execution splits.
     """
     kept = [*keys, *carry]
     words = df.select(*kept, F.posexplode(X.words(F.col(text))).alias("_pos", "term"))

@@ -17,6 +17,7 @@ from signalmart.operators.voice import share_of_voice
 
 ARTICLE_KEYS = ["url", "brand_name"]
 DAY_KEYS = ["brand_name", "category", "brand_type", "news_date"]
+LOAD_ORDER = ["ingested_at", "published_at"]
 SCORED_COLUMNS = ["category", "brand_type", "news_date", "headline"]
 
 
@@ -35,14 +36,8 @@ def drop_incomplete(articles: DataFrame) -> DataFrame:
 
 
 def clean(bronze: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Standardised, complete articles, one per url and brand: the one loaded first.
-
-    De-duplication moves whole rows, so name the ``columns`` that are needed later.
-    """
-    articles = drop_incomplete(standardize(bronze))
-    if columns is not None:
-        articles = articles.select(*dict.fromkeys([*ARTICLE_KEYS, "ingested_at", "published_at", *columns]))
-    return dedupe(articles, ARTICLE_KEYS, ["ingested_at", "published_at"])
+    """Standardised, complete articles, one per url and brand: the one loaded first; all columns or those named."""
+    return dedupe(drop_incomplete(standardize(bronze)), ARTICLE_KEYS, LOAD_ORDER, columns)
 
 
 def score(articles: DataFrame, lexicon: DataFrame | None, scorer: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -64,11 +59,10 @@ def score_before_dedupe(bronze: DataFrame, lexicon: DataFrame) -> DataFrame:
     shuffled (twice); ``score`` after ``clean`` shuffles the texts (once) and scores
     no copies, which suits headlines.
     """
-    order = ["ingested_at", "published_at"]
     articles = drop_incomplete(standardize(bronze)).withColumn("_text", F.xxhash64("headline"))
     carry = [c for c in SCORED_COLUMNS if c != "headline"]
-    scored = sentiment(articles, "headline", lexicon, [*ARTICLE_KEYS, *order, "_text"], carry)
-    unique = dedupe(scored, ARTICLE_KEYS, order).drop(*order, "_text")
+    scored = sentiment(articles, "headline", lexicon, [*ARTICLE_KEYS, *LOAD_ORDER, "_text"], carry)
+    unique = dedupe(scored, ARTICLE_KEYS, LOAD_ORDER).drop(*LOAD_ORDER, "_text")
     return unique.withColumn("sentiment_label", labels.sentiment_label(F.col("sentiment_score")))
 
 

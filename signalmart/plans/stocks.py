@@ -14,6 +14,9 @@ from signalmart.operators.rows import dedupe
 from signalmart.operators.series import in_periods, pct_change, rolling_stddev
 
 BAR_KEYS = ["ticker", "date"]
+BAR_COLUMNS = [
+    "brand_name", "brand_type", "category", "exchange", "open_price", "close_price", "high_price", "low_price", "volume",
+]
 
 
 def drop_unpriced(bronze: DataFrame) -> DataFrame:
@@ -21,9 +24,9 @@ def drop_unpriced(bronze: DataFrame) -> DataFrame:
     return bronze.where(F.col("close_price") > 0)
 
 
-def clean(bronze: DataFrame) -> DataFrame:
-    """Priced bars, one per ticker and date: the one loaded first."""
-    return dedupe(drop_unpriced(bronze), BAR_KEYS, ["ingested_at"])
+def clean(bronze: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Priced bars, one per ticker and date: the one loaded first; all columns or those named."""
+    return dedupe(drop_unpriced(bronze), BAR_KEYS, ["ingested_at"], columns)
 
 
 def returns(bars: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
@@ -39,7 +42,7 @@ def stocks_silver(
     bronze: DataFrame, as_of: str, *, frame: str = "rows", split: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """Silver stocks of the given bars; ``split`` cuts long series, for example by ``text.year_of``."""
-    bars = clean(bronze).withColumn("stock_date", F.col("date"))
+    bars = clean(bronze, BAR_COLUMNS).withColumn("stock_date", F.col("date"))
     moving = in_periods(
         bars, ["ticker"], "stock_date", split, C.ROLLING_ROWS,
         lambda df, keys: volatility(returns(df, keys), frame, keys),

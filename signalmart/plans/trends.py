@@ -14,15 +14,16 @@ from signalmart.operators.rows import dedupe
 from signalmart.operators.series import in_periods, pct_change, zscore
 
 SCORE_KEYS = ["brand_name", "date"]
+SCORE_COLUMNS = ["brand_type", "category", "trend_score", "geo", "stock_available"]
 
 
 def drop_incomplete(bronze: DataFrame) -> DataFrame:
     return bronze.dropna(subset=["trend_score", "brand_name"])
 
 
-def clean(bronze: DataFrame) -> DataFrame:
-    """Complete scores, one per brand and date: the one loaded first."""
-    return dedupe(drop_incomplete(bronze), SCORE_KEYS, ["ingested_at"])
+def clean(bronze: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Complete scores, one per brand and date: the one loaded first; all columns or those named."""
+    return dedupe(drop_incomplete(bronze), SCORE_KEYS, ["ingested_at"], columns)
 
 
 def momentum(scores: DataFrame, lag: int = 1, keys: Sequence[str] = ("brand_name",)) -> DataFrame:
@@ -40,7 +41,7 @@ def trends_silver(
     bronze: DataFrame, as_of: str, *, lag: int = 1, split: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """Silver trends of the given scores; ``split`` cuts long series, for example by ``text.year_of``."""
-    scores = clean(bronze).withColumn("trend_date", F.col("date"))
+    scores = clean(bronze, SCORE_COLUMNS).withColumn("trend_date", F.col("date"))
     moving = in_periods(
         scores, ["brand_name"], "trend_date", split, lag, lambda df, keys: momentum(df, lag, keys)
     )

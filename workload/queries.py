@@ -103,7 +103,7 @@ def ohlc_shape(i: Inputs) -> DataFrame:
 
 @query
 def last_n_bars(i: Inputs) -> DataFrame:
-    bars = S.clean(i.stocks_bronze).select("ticker", "date", "close_price", "volume")
+    bars = S.clean(i.stocks_bronze, ["close_price", "volume"]).drop("ingested_at")
     return last_n(bars, ["ticker"], "date", C.LAST_BARS)
 
 
@@ -253,7 +253,7 @@ def news_filter_nulls(i: Inputs) -> DataFrame:
 
 @query
 def news_dedup(i: Inputs) -> DataFrame:
-    return N.clean(i.news_bronze).select("brand_name", "url", "source_name", "published_at", "ingested_at", "news_date")
+    return N.clean(i.news_bronze, ["source_name", "news_date"])
 
 
 def _scored(i: Inputs) -> DataFrame:
@@ -328,11 +328,11 @@ def stocks_filter_price(i: Inputs) -> DataFrame:
 
 @query
 def stocks_dedup(i: Inputs) -> DataFrame:
-    return S.clean(i.stocks_bronze).select("ticker", "date", "ingested_at", "close_price")
+    return S.clean(i.stocks_bronze, ["close_price"])
 
 
 def _bars(i: Inputs) -> DataFrame:
-    return S.clean(i.stocks_bronze).withColumn("stock_date", F.col("date"))
+    return S.clean(i.stocks_bronze, S.BAR_COLUMNS).withColumn("stock_date", F.col("date"))
 
 
 @query
@@ -382,12 +382,12 @@ def trends_filter_nulls(i: Inputs) -> DataFrame:
 
 @query
 def trends_dedup(i: Inputs) -> DataFrame:
-    return T.clean(i.trends_bronze).select("brand_name", "date", "ingested_at", "trend_score")
+    return T.clean(i.trends_bronze, ["trend_score"])
 
 
 @query
 def trend_momentum(i: Inputs) -> DataFrame:
-    scores = T.clean(i.trends_bronze).withColumn("trend_date", F.col("date"))
+    scores = T.clean(i.trends_bronze, ["trend_score"]).withColumn("trend_date", F.col("date"))
     return T.momentum(scores).select("brand_name", "trend_date", "trend_score", "trend_momentum")
 
 
