@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -15,33 +14,40 @@ FOLDER_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of this machine.
+    A session without that setting gets a folder in its warehouse, which executors share too.
     """
-    root = spark.conf.get(FOLDER_SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {FOLDER_SETTING} to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="signalmart-")
+    root = spark.conf.get(FOLDER_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stage(name: str = "stage") -> Callable[[DataFrame], DataFrame]:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(name: str = "stage", made: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
     """A step that writes a table to the shared folder and goes on from there.
 
     Use it where a result is read more than once: it is computed once, the lineage ends
-    there, and losing an executor costs no recomputation of what was written.
+    there, and losing an executor costs no recomputation of what was written.  ``made``
+    collects the paths, for ``remove`` once the job has written its result.
     """
 
     def write_and_read(df: DataFrame) -> DataFrame:
         path = shared_folder(df.sparkSession, name)
+        if made is not None:
+            made.append(path)
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     return write_and_read
 
 
-def stage_all(tables: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+def stage_all(
+    tables: Mapping[str, Callable[[], DataFrame]], made: list[str] | None = None
+) -> dict[str, DataFrame]:
     """Stage independent tables side by side, so that small ones do not wait for large ones."""
     with ThreadPoolExecutor(len(tables)) as pool:
-        running = {name: pool.submit(lambda n=name, b=build: stage(n)(b())) for name, build in tables.items()}
+        running = {name: pool.submit(lambda n=name, b=build: stage(n, made)(b())) for name, build in tables.items()}
         return {name: task.result() for name, task in running.items()}
