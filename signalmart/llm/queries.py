@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmart.llm import bpe, exact_dedup, hd_language, packing, sharding
+from signalmart.llm import bpe, exact_dedup, hd_language, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd_language.identify(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op1_sharding, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op10_bpe)
+        op1_sharding, op2_quality, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op10_bpe)
 }
 
 ORACLES: dict[str, str] = {
