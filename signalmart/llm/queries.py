@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmart.llm import bpe, exact_dedup, hd_language, packing, quality, sharding
+from signalmart.llm import bpe, exact_dedup, hd_language, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +34,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op1_sharding, op2_quality, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op10_bpe)
+        op1_sharding, op2_quality, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op9_warc, op10_bpe)
 }
 
 ORACLES: dict[str, str] = {
