@@ -31,7 +31,7 @@ FIXED_COST = 64
 QUADRATIC_LENGTH = 32_768
 PER_PART = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
-COLUMNS = "doc_id long, piece int, start long, length int, bin_id long, bin_offset int, bin_fill int, capacity int"
+COLUMNS = "doc_id string, piece int, start long, length int, bin_id long, bin_offset int, bin_fill int, capacity int"
 
 
 def cost(capacity: int) -> float:
@@ -119,9 +119,11 @@ def pack_documents(
     ).select(
         "doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * longest).alias("start"),
         F.least(F.lit(longest).cast("long"), F.col("tokens") - F.col("piece") * longest).cast("int").alias("length"), "tie")
-    # Whole numbers of pieces without exploding twice.
     n = lengths.agg(F.sum(F.floor((F.col("tokens") - 1) / longest) + 1)).first()[0] or 0
     parts = max(1, -(-n // per_part))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.lit(parts)))
     ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", F.desc("length"), "doc_id", "piece", "tie")
-    return ordered.select("part", "doc_id", "piece", "start", "length").mapInPandas(_pack_parts(capacities, per_part), COLUMNS)
+    # As text, because pandas would turn numbers with nulls among them into floats.
+    placed = ordered.select("part", F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length").mapInPandas(
+        _pack_parts(capacities, per_part), COLUMNS)
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))

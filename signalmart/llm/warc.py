@@ -36,8 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK_CAPTURES = 1_000
 RANGE_CAPTURES = 200_000
 ARCHIVE_BYTES = 32 * 1024 * 1024
-CAPTURE = "key string, page_id long, file string, offset long, length long"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURE = "key string, page_id string, file string, offset long, length long"
+RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def url_key(url: Column) -> Column:
@@ -118,9 +118,10 @@ def record_spans(archive: bytes) -> Iterator[tuple[int, int]]:
         at += length
 
 
-def _page(record_id: str) -> int | None:
+def _page(record_id: str) -> str | None:
+    """The page's id, left as text: pandas would turn numbers with nulls among them into floats."""
     number = record_id.rpartition(":")[2].rstrip(">")
-    return None if number == "none" else int(number)
+    return None if number == "none" else number
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,8 +140,7 @@ def read_captures(spark: SparkSession, folder: str) -> DataFrame:
                     head = content[at:content.index(b"\r\n\r\n", at)].decode("utf-8", "replace").split(CRLF)
                     named = dict(line.partition(": ")[::2] for line in head[1:])
                     rows.append((named["WARC-Target-URI"], _page(named["WARC-Record-ID"]), file, at, length))
-                frame = pd.DataFrame(rows, columns=["url", "page_id", "file", "offset", "length"])
-                yield frame.astype({"page_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["url", "page_id", "file", "offset", "length"])
 
     found = archives(spark, folder).mapInPandas(scan, CAPTURE.replace("key", "url"))
     return found.select(url_key(F.col("url")).alias("key"), "page_id", "file", "offset", "length")
@@ -160,7 +160,7 @@ def build_index(captures: DataFrame) -> DataFrame:
         def block(rows: pd.DataFrame) -> pd.DataFrame:
             nonlocal number
             lines = "\n".join(
-                f"{k}\t{'' if pd.isna(p) else int(p)}\t{f}\t{o}\t{n}"
+                f"{k}\t{p or ''}\t{f}\t{o}\t{n}"
                 for k, p, f, o, n in zip(rows["key"], rows["page_id"], rows["file"], rows["offset"], rows["length"]))
             number += 1
             return pd.DataFrame({
@@ -168,7 +168,7 @@ def build_index(captures: DataFrame) -> DataFrame:
                 "n": [len(rows)], "data": [zlib.compress(lines.encode())]})
 
         for batch in batches:
-            held = pd.concat([held, batch.astype({"page_id": "Int64"})], ignore_index=True)
+            held = pd.concat([held, batch], ignore_index=True)
             while len(held) >= BLOCK_CAPTURES:
                 yield block(held.iloc[:BLOCK_CAPTURES])
                 held = held.iloc[BLOCK_CAPTURES:]
@@ -181,9 +181,9 @@ def build_index(captures: DataFrame) -> DataFrame:
     return stage("warc-index")(made.select(F.spark_partition_id().alias("range"), "*"))
 
 
-def _captures_of(data: bytes) -> list[tuple[str, int | None, str, int, int]]:
+def _captures_of(data: bytes) -> list[tuple[str, str | None, str, int, int]]:
     rows = (line.split("\t") for line in zlib.decompress(data).decode().split("\n"))
-    return [(k, int(p) if p else None, f, int(o), int(n)) for k, p, f, o, n in rows]
+    return [(k, p or None, f, int(o), int(n)) for k, p, f, o, n in rows]
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
                     i += 1
                 b += 1
         frame = pd.DataFrame(out, columns=["key", "page_id", "file", "offset", "length"])
-        return frame.astype({"key": "object", "page_id": "Int64", "file": "object", "offset": "int64", "length": "int64"})
+        return frame.astype({"offset": "int64", "length": "int64"})
 
     asked = keys.select("key").distinct().select("key", F.explode(ranges_of("key")).alias("range"))
     return asked.groupBy("range").cogroup(index.groupBy("range")).applyInPandas(search, CAPTURE)
@@ -247,10 +247,10 @@ def fetch(spark: SparkSession, folder: str, captures: DataFrame) -> DataFrame:
                     refers = record.get("warc-refers-to")
                     rows.append((_page(record["warc-record-id"]), record["payload-length"], digest, kind,
                                  _page(refers) if refers else None))
-                frame = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives(spark, folder).join(wanted, "file").select("content", "spans").mapInPandas(cut, RECORD)
+    read = archives(spark, folder).join(wanted, "file").select("content", "spans").mapInPandas(cut, RECORD)
+    return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
