@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmart.llm import bpe, exact_dedup, hd_language, jaccard_join, packing, quality, sharding, warc
+from signalmart.llm import bpe, exact_dedup, hd_language, jaccard_join, packing, quality, sharding, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_components(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op1_sharding, op2_quality, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op7_jaccard_join, op9_warc, op10_bpe)
+        op1_sharding, op2_quality, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op6_suffix_dedup, op7_jaccard_join, op9_warc, op10_bpe)
 }
 
 ORACLES: dict[str, str] = {
