@@ -30,13 +30,23 @@ LEAST_SCORE = -0.045
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
 def hashed(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
+def _from(array: str, first: int, without: int) -> Column:
+    """The array from its element ``first`` on, without as many elements in all as ``without``."""
+    return F.slice(array, first, F.greatest(F.size(array) - without, F.lit(0)))
+
+
+def paired(hashes: str) -> Column:
+    """A hash of every two neighbours."""
+    return F.zip_with(_from(hashes, 1, 1), _from(hashes, 2, 1), lambda a, b: F.xxhash64(a, b))
+
+
 def word_chars(text: Column) -> Column:
     return F.char_length(F.translate(text, " " + SPACES, "")).cast("long")
 
@@ -51,32 +61,32 @@ def n_dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def _next_equal(array: Column, key) -> Column:
-    """Elements whose key equals that of a neighbour in a sorted array."""
-    def same(x: Column, i: Column) -> Column:
-        before, after = (F.coalesce(key(F.get(array, i + step)) == key(x), F.lit(False)) for step in (-1, 1))
-        return before | after
-    return F.filter(array, same)
+def _equal_text(array: str) -> Column:
+    """Elements of a sorted array of ``text, at`` whose text equals that of a neighbour."""
+    return F.filter(array, lambda x, i: (F.get(array, i + 1)["text"] == x["text"]) | (F.get(array, i - 1)["text"] == x["text"]))
 
 
-def with_repeated_words(df: DataFrame, tokens: str, hashes: str) -> DataFrame:
+def with_repeated_words(df: DataFrame, tokens: str, hashes: str, pairs: str) -> DataFrame:
     """Add ``n_repeat_words``: words in windows of three that are found twice or more in the document.
 
-    ``hashes`` has a hash for each word.  Window hashes are cut so that the window's place fits into the low
-    bits and sorted as plain numbers; windows that stand next to an equal one are compared as text.
+    ``hashes`` has a hash for each word, ``pairs`` for each two.  Window hashes are cut so that the window's
+    place fits into the low bits and sorted as plain numbers; windows next to an equal one are compared as text.
     """
-    n = F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(0))
     low = F.expr(f"shiftleft(1L, cast(ceil(log2(greatest(size({tokens}), 2))) as int)) - 1")
-    steps = df.withColumn("_low", low).withColumn("_windows", F.sort_array(F.transform(
-        F.slice(hashes, 1, n),
-        lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(F.bitwise_not("_low"))
-        .bitwiseOR(i.cast("long")))))
-    likely = _next_equal(F.col("_windows"), lambda x: x.bitwiseAND(F.bitwise_not(F.col("_low"))))
-    steps = steps.withColumn("_likely", likely).drop("_windows").withColumn("_spelled", F.sort_array(F.transform(
-        "_likely", lambda x: F.struct(
-            F.concat_ws(" ", F.slice(tokens, (x.bitwiseAND(F.col("_low")) + 1).cast("int"), WINDOW)).alias("text"),
-            x.bitwiseAND(F.col("_low")).cast("int").alias("at")))))
-    found = F.sort_array(F.transform(_next_equal(F.col("_spelled"), lambda x: x["text"]), lambda x: x["at"]))
+    windows = F.zip_with(_from(pairs, 1, 1), _from(hashes, 3, 2), lambda p, h: F.xxhash64(p, h))
+    steps = df.withColumn("_low", low).withColumn("_windows", windows).withColumn("_windows", F.sort_array(F.transform(
+        "_windows", lambda h, i: h.bitwiseAND(F.bitwise_not("_low")).bitwiseOR(i.cast("long")))))
+
+    def next_to(step: int) -> Column:
+        # What differs in the low bits only; numbers of different sign may pass too, the texts tell.
+        return F.filter("_windows", lambda x, i: x.bitwiseXOR(F.get("_windows", i + step)) <= F.col("_low"))
+
+    steps = steps.withColumn("_before", next_to(1)).withColumn("_likely", F.when(
+        F.size("_before") > 0, F.array_union("_before", next_to(-1))).otherwise(F.col("_before"))).drop("_windows", "_before")
+    place = lambda x: x.bitwiseAND(F.col("_low")).cast("int")
+    steps = steps.withColumn("_spelled", F.sort_array(F.transform("_likely", lambda x: F.struct(
+        F.concat_ws(" ", F.slice(tokens, place(x) + 1, WINDOW)).alias("text"), place(x).alias("at")))))
+    found = F.sort_array(F.transform(_equal_text("_spelled"), lambda x: x["at"]))
     steps = steps.withColumn("_found", found).drop("_spelled", "_likely", "_low")
     covered = F.aggregate(
         F.transform("_found", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_found", i + 1) - p, F.lit(WINDOW)))),
@@ -84,13 +94,8 @@ def with_repeated_words(df: DataFrame, tokens: str, hashes: str) -> DataFrame:
     return steps.withColumn("n_repeat_words", covered).drop("_found")
 
 
-def buckets(hashes: str) -> Column:
-    """Buckets of a document's words and word pairs."""
-    single = F.transform(hashes, lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    pairs = F.transform(
-        F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    return F.concat(single, pairs)
+def bucket(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -102,7 +107,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> Column:
     """A constant array: the log ratio of every bucket, one added to every count."""
     marked = docs.join(F.broadcast(trusted), docs["doc_id"] == trusted["_trusted"], "left")
     grams = marked.select(hashed(words(F.coalesce("text", F.lit("")))).alias("_hashes"), "_trusted").select(
-        F.explode(buckets("_hashes")).alias("bucket"), F.when(F.col("_trusted").isNotNull(), 1).otherwise(0).alias("good"))
+        F.explode(F.concat("_hashes", paired("_hashes"))).alias("gram"),
+        F.when(F.col("_trusted").isNotNull(), 1).otherwise(0).alias("good")).withColumn("bucket", bucket(F.col("gram")))
     # One row per bucket from here on, however large the corpus is.
     counts = stage("llr-counts")(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("n_good")))
     n, n_good = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
@@ -116,15 +122,17 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ratio = ratios(docs, trusted_ids(labels))
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(F.col("doc_id"), text.alias("_text"), words(text).alias("_words")).withColumn(
-        "_hashes", hashed(F.col("_words")))
+        "_hashes", hashed(F.col("_words"))).withColumn("_pairs", paired("_hashes"))
+    total = F.lit(0.0)
+    for grams in ("_hashes", "_pairs"):
+        total = F.aggregate(grams, total, lambda sum_, g: sum_ + F.get(ratio, bucket(g)))
     counted = with_repeated_words(split.select(
-        "doc_id", "_words", "_hashes",
+        "doc_id", "_words", "_hashes", "_pairs",
         F.size("_words").cast("long").alias("n_words"), word_chars(F.col("_text")).alias("word_chars"),
         n_symbols(F.col("_text")).alias("n_symbols"), n_dup_lines(F.col("_text")).alias("n_dup_lines"),
-        buckets("_hashes").alias("_buckets")), "_words", "_hashes")
-    total = F.aggregate("_buckets", F.lit(0.0), lambda sum_, b: sum_ + F.get(ratio, b))
+        total.alias("_total"), (F.size("_hashes") + F.size("_pairs")).alias("_grams")), "_words", "_hashes", "_pairs")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    score = F.when(F.size("_buckets") > 0, total / F.size("_buckets")).otherwise(0.0)
+    score = F.when(F.col("_grams") > 0, F.col("_total") / F.col("_grams")).otherwise(0.0)
     return counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         score.alias("score")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE))
