@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmart.llm import bpe, exact_dedup, hd_language, jaccard_join, packing, quality, sharding, suffix_dedup, warc
+from signalmart.llm import bpe, exact_dedup, hd_language, jaccard_join, license_scan, packing, quality, sharding, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_components(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -52,8 +57,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op1_sharding, op2_quality, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op6_suffix_dedup, op7_jaccard_join, op9_warc, op10_bpe)
-}
+        op1_sharding, op2_quality, op3_hd_language, op4_best_fit_packing, op5_exact_dedup, op6_suffix_dedup, op7_jaccard_join, op8_license_scan, op9_warc, op10_bpe)
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
