@@ -11,7 +11,7 @@ share a content are strung together, and the strings' connected components are s
 its group counts.  The points are bulk loaded into an R-tree.  The sum of coordinate minima of a
 point and a node's upper corner bounds the overlap with everything below the node; what survives
 in the leaves is verified on the full sets.  Pairs that earlier links already connect are not verified again.
-A component that is too large for one task is cut into tiles, and every pair of tiles of comparable size is searched.
+A component that is too large for one task is cut into tiles (``search``).
 
 Equal sets are one point from the start, so copies never multiply.  Sets are compared as 64-bit hashes.
 
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmart.llm.components import components
@@ -39,7 +39,9 @@ from signalmart.sources.shared import stage
 CLASS_RATIO = 1.5
 FAN_OUT = 16
 # Shingles of the sets that one task holds while it searches.
-TILE_SHINGLES = 1_000_000
+TILE_SHINGLES = 4_000_000
+# Sets of a large component that all its tiles are compared with first.
+HUBS = 16
 
 
 @dataclass(frozen=True)
@@ -168,14 +170,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def local_links(owners: list[int], sets: list[np.ndarray], tiles: list[int], threshold: Threshold) -> list[tuple[int, int]]:
-    """Links that connect what is connected; with two tiles, only pairs across them are searched."""
+def local_links(owners: list[int], sets: list[np.ndarray], asks: list[bool], threshold: Threshold) -> list[tuple[int, int]]:
+    """Links that connect what is connected; where some sets ask, only their pairs with the others are searched."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     groups = 1 << int(np.clip(np.ceil(np.log2(max(1.0, sizes.mean() / 3))), 6, 11))
     points = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
-    across = len(set(tiles)) > 1
-    indexed = [i for i, t in enumerate(tiles) if not across or t == max(tiles)]
-    asking = [i for i, t in enumerate(tiles) if not across or t != max(tiles)]
+    across = any(asks)
+    indexed = [i for i, asking in enumerate(asks) if not asking]
+    if not indexed:
+        return []
     tree = CountTree(points[indexed], sizes[indexed])
     parent = list(range(len(sets)))
 
@@ -186,51 +189,78 @@ def local_links(owners: list[int], sets: list[np.ndarray], tiles: list[int], thr
         return i
 
     links = []
-    for i in asking:
+    for i in [i for i, asking in enumerate(asks) if asking] if across else indexed:
         for j in tree.search(points[i], int(sizes[i]), threshold).tolist():
             j = indexed[j]
-            if (across or j < i) and root(i) != root(j) and threshold.linked(overlap(sets[i], sets[j]), int(sizes[i] + sizes[j])):
+            if (owners[i] != owners[j] if across else j < i) and root(i) != root(j) and threshold.linked(
+                    overlap(sets[i], sets[j]), int(sizes[i] + sizes[j])):
                 parent[root(i)] = root(j)
                 links.append((owners[i], owners[j]))
     return links
 
 
-def search(sets: DataFrame, threshold: Threshold, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """Links ``a, b`` within each component of ``component, owner, n, shingles``."""
-    sized = F.floor(F.log(CLASS_RATIO, "n") + 1e-12).cast("int")
-    weights = sets.groupBy("component").agg(F.sum("n").alias("_all"))
-    large = weights.where(F.col("_all") > tile_shingles).select("component")
-    tiled = sets.select("component", "owner", "n", sized.alias("size_class")).join(large, "component")
-    per_class = stage("join-tiles")(tiled.groupBy("component", "size_class").agg(
-        F.ceil(F.sum("n") / (tile_shingles / 2)).cast("int").alias("tiles")))
-    # Tile pairs of a class and of it and the next classes that a link can reach.
-    reach = int(np.ceil(np.log(100 / threshold.percent) / np.log(CLASS_RATIO)))
-    other = per_class.select("component", F.col("size_class").alias("class_b"), F.col("tiles").alias("tiles_b"))
-    pairs = per_class.withColumn("class_b", F.explode(F.sequence(F.col("size_class"), F.col("size_class") + reach))).join(
-        other, ["component", "class_b"]).select(
-        "component", F.col("size_class").alias("class_a"), "class_b", "tiles_b",
-        F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("a")).select(
-        "component", "class_a", "class_b", "a", F.explode(F.sequence(F.lit(0), F.col("tiles_b") - 1)).alias("b")).where(
-        "class_a != class_b or a <= b")
-    cell = F.concat_ws(":", "component", "class_a", "a", "class_b", "b")
-    sides = pairs.select("component", F.explode(F.array_distinct(F.array(
-        F.struct(F.col("class_a").alias("size_class"), F.col("a").alias("tile")),
-        F.struct(F.col("class_b").alias("size_class"), F.col("b").alias("tile"))))).alias("_s"), cell.alias("cell")).select(
-        "component", "_s.*", "cell")
-    whole = sets.join(large, "component", "left_anti").select(
-        F.col("component").cast("string").alias("cell"), F.lit(0).alias("tile"), "owner", "shingles")
-    placed = sets.withColumn("size_class", sized).join(per_class, ["component", "size_class"]).withColumn(
-        "tile", F.pmod(F.hash("owner"), F.col("tiles")))
-    cut = placed.join(sides, ["component", "size_class", "tile"]).select(
-        "cell", (F.col("size_class") * 1_000_000 + F.col("tile")).alias("tile"), "owner", "shingles")
+def _cells(rows: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links of each ``cell`` of ``cell, asks, owner, shingles``."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("owner")
         found = local_links(rows["owner"].tolist(), [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]],
-                            rows["tile"].tolist(), threshold)
+                            rows["asks"].tolist(), threshold)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return whole.unionByName(cut).groupBy("cell").applyInPandas(run, "a long, b long")
+    return rows.groupBy("cell").applyInPandas(run, "a long, b long")
+
+
+def _copies(rows: DataFrame, times: DataFrame, count: str, name: str) -> DataFrame:
+    """Every row once for each number below its component's ``count``."""
+    numbers = times.where(F.col(count) > 0).select("component", F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(name))
+    return rows.join(numbers, "component")
+
+
+def search(sets: DataFrame, threshold: Threshold, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Links ``a, b`` within each component of ``component, owner, n, shingles``.
+
+    A component that fits into a tile is searched at once.  The tiles of a larger one are searched each on
+    its own, then against a few hubs, which connects what is densely linked.  What is then not in the component's main
+    part is searched against all tiles; pairs within the main part are connected already.  So a large group of near
+    copies is moved a fixed number of times, not once for every pair of tiles.
+    """
+    tiles = stage("join-tiles")(sets.groupBy("component").agg(
+        F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles"), F.count("*").alias("members")))
+    placed = sets.join(tiles.select("component", "tiles"), "component").withColumn(
+        "tile", F.pmod(F.hash("owner"), F.col("tiles")))
+    cell = F.concat_ws(":", "component", "tile")
+    alone = stage("join-alone")(_cells(
+        placed.select(cell.alias("cell"), F.lit(False).alias("asks"), "owner", "shingles"), threshold))
+    large = tiles.where("tiles > 1")
+    if large.isEmpty():
+        return alone
+    members = placed.where("tiles > 1").drop("tiles")
+    of_members = members.select(cell.alias("cell"), F.lit(False).alias("asks"), "owner", "shingles")
+
+    by_owner = Window.partitionBy("component").orderBy("owner")
+    hubs = sets.select("component", "owner").join(large, "component").withColumn("_k", F.row_number().over(by_owner)).where(
+        F.col("_k") <= HUBS).select("component", "owner")
+    asking = _copies(sets.join(hubs, ["component", "owner"]), large, "tiles", "tile").select(
+        cell.alias("cell"), F.lit(True).alias("asks"), "owner", "shingles")
+    to_hubs = stage("join-hubs")(alone.unionByName(_cells(of_members.unionByName(asking), threshold)))
+
+    known = components(to_hubs).withColumnsRenamed({"node": "owner", "component": "part"})
+    parts = stage("join-parts")(members.select("component", "owner", "n").join(known, "owner", "left").withColumn(
+        "part", F.coalesce("part", "owner")))
+    main = parts.groupBy("component", "part").count().groupBy("component").agg(
+        F.max(F.struct("count", "part"))["part"].alias("part"))
+    outside = parts.join(main, ["component", "part"], "left_anti").select("component", "owner", "n")
+    blocks = stage("join-blocks")(outside.groupBy("component").agg(
+        F.ceil(F.sum("n") / tile_shingles).cast("int").alias("blocks")).join(large, "component"))
+    outside = members.join(outside.drop("n"), ["component", "owner"], "left_semi").join(
+        blocks.select("component", "blocks"), "component").withColumn(
+        "block", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int")).drop("tile")
+    cell = F.concat_ws(":", "component", "tile", "block")
+    columns = [cell.alias("cell"), "asks", "owner", "shingles"]
+    rows = _copies(members, blocks, "blocks", "block").withColumn("asks", F.lit(False)).select(*columns).unionByName(
+        _copies(outside, blocks, "tiles", "tile").withColumn("asks", F.lit(True)).select(*columns))
+    return to_hubs.unionByName(_cells(rows, threshold))
 
 
 def linked(docs: DataFrame, words: int = 3, percent: int = 90, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
