@@ -40,6 +40,7 @@ CLASS_RATIO = 1.5
 FAN_OUT = 16
 # Shingles of the sets that one task holds while it searches.
 TILE_SHINGLES = 4_000_000
+NO_CONTENT = np.empty(0, dtype=np.int64)
 # Sets of a large component that all its tiles are compared with first.
 HUBS = 16
 
@@ -92,20 +93,35 @@ def owner_of(shingles: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
-    """``doc_id, text_hash, n, owner, contents`` of every document; contents only for the first of equal sets in a batch."""
+    """``doc_id, text_hash, n, owner, contents, met`` of every document.
 
-    @F.pandas_udf("n long, owner long, contents array<long>")
+    Within a batch, only the first set that has a content keeps it in ``contents``; the others name that
+    set in ``met``.  So what many sets share is sent once a batch.
+    """
+
+    @F.pandas_udf("n long, owner long, contents array<long>, met array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, owners, contents, seen = [], [], [], set()
+            sizes, owners, contents = [], [], []
+            seen = set()
             for text in batch:
                 found = shingle_set(text, words)
                 owner = owner_of(found)
                 sizes.append(len(found))
                 owners.append(owner)
-                contents.append(group_contents(found, threshold) if len(found) and owner not in seen else None)
+                contents.append(group_contents(found, threshold) if len(found) and owner not in seen else NO_CONTENT)
                 seen.add(owner)
-            yield pd.DataFrame({"n": sizes, "owner": owners, "contents": pd.Series(contents, dtype=object)})
+            row = np.repeat(np.arange(len(contents)), [len(c) for c in contents])
+            _, first, place = np.unique(np.concatenate([NO_CONTENT, *contents]), return_index=True, return_inverse=True)
+            head = row[first[place]]
+            cuts = np.searchsorted(row, np.arange(1, len(contents)))
+            names = np.array(owners, dtype=np.int64)
+            own, met = [], []
+            for k, (content, heads) in enumerate(zip(contents, np.split(head, cuts))):
+                own.append(content[heads == k])
+                met.append(names[np.unique(heads[heads != k])])
+            yield pd.DataFrame({"n": sizes, "owner": owners, "contents": pd.Series(own, dtype=object),
+                                "met": pd.Series(met, dtype=object)})
 
     return with_text_hash(docs).select("doc_id", "text_hash", run("text").alias("_s")).select("doc_id", "text_hash", "_s.*")
 
@@ -114,8 +130,8 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def strings(contents: DataFrame) -> DataFrame:
-    """Edges ``a, b`` from the first set that has a content to all others that have it."""
+def strings(sketches: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that string together the sets that share a content, batch by batch and then over all batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         content, first = None, None
@@ -130,7 +146,9 @@ def strings(contents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": heads[others], "b": owner[others]})
             content, first = key[-1], heads[-1]
 
-    return contents.repartition("content").sortWithinPartitions("content", "owner").mapInPandas(run, "a long, b long").distinct()
+    contents = sketches.select("owner", F.explode("contents").alias("content"))
+    over_all = contents.repartition("content").sortWithinPartitions("content", "owner").mapInPandas(run, "a long, b long")
+    return over_all.unionByName(sketches.select(F.explode("met").alias("a"), F.col("owner").alias("b"))).distinct()
 
 
 class CountTree:
@@ -267,8 +285,7 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90, tile_shingles: in
     """``doc_id, text_hash, n_shingles, owner, component_id``: every document with its component of linked documents."""
     threshold = Threshold(percent)
     sketches = stage("join-sketches")(sketch(docs, words, threshold))
-    met = stage("join-strings")(strings(
-        sketches.where("contents is not null").select("owner", F.explode("contents").alias("content"))))
+    met = stage("join-strings")(strings(sketches))
     around = stage("join-around")(components(met))
 
     # The full sets of those that met others: their texts are read again.
