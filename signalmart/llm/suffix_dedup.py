@@ -47,6 +47,7 @@ GROUP_ENTRIES = 20_000
 VALUE = np.random.default_rng(77_003).integers(1, 2**63, 256, dtype=np.uint64)
 PLACE = np.uint64(2**31 - 1)
 FIRST_ID = -(2**63)
+MARK = 2**62
 SPANS = "kind int, doc_id long, text_hash long, start long, stop long, right binary, left binary"
 
 
@@ -145,25 +146,51 @@ def _documents(docs: DataFrame) -> DataFrame:
                        F.xxhash64("text").alias("text_hash"), F.col("text")).withColumn("doc", F.xxhash64("doc_id", "text_hash"))
 
 
+def _known_repeats(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors repeat within these, told by a sign, and one more row, ``MARK``, for each of their hashes."""
+    if not len(hashes):
+        return places, hashes
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    again = np.zeros(len(hashes), dtype=bool)
+    again[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    marks = hashes[order][np.concatenate([same, [False]]) & ~np.concatenate([[False], same])]
+    return np.where(again, ~places, places), marks
+
+
 def sampled(docs: DataFrame, sampling: Sampling) -> DataFrame:
-    """``hash, doc, place``: all anchors; ``place`` packs the anchor and the two offsets of its strings."""
+    """``hash, doc, place``: all anchors; ``place`` packs the anchor and the two offsets of its strings.
+
+    Anchors that repeat within a batch have ``~place``: they are known to repeat, whatever others have.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names, bodies = batch["doc"].to_numpy(), _bodies(batch["text"])
+            found = []
             for first, last in _chunks(bodies):
                 body, stops = _joined(bodies[first:last])
                 hashes, at, low, high = anchors(body, stops, sampling)
                 owner = np.searchsorted(stops, at, side="right")
                 begin = np.concatenate([[0], stops])[owner]
-                yield pd.DataFrame({"hash": hashes.view(np.int64), "doc": names[first:last][owner],
-                                    "place": (at - begin) * 65_536 * 256 + (at - low) * 4_096 + (at - high)})
+                found.append((hashes.view(np.int64), names[first:last][owner],
+                              ((at - begin) << 24) + ((at - low) << 12) + (at - high)))
+            if found:
+                hashes, doc, place = (np.concatenate(x) for x in zip(*found))
+                place, marks = _known_repeats(hashes, place)
+                yield pd.DataFrame({"hash": np.concatenate([hashes, marks]),
+                                    "doc": np.concatenate([doc, np.zeros(len(marks), np.int64)]),
+                                    "place": np.concatenate([place, np.full(len(marks), MARK)])})
 
     return _documents(docs).select("doc", "text").mapInPandas(run, "hash long, doc long, place long")
 
 
 def repeated(anchor_rows: DataFrame) -> DataFrame:
-    """``doc, place`` of the anchors whose hash is there more than once."""
+    """``doc, place`` of the anchors whose hash is there more than once.
+
+    Anchors known to repeat are dealt by their place, so that none of the tasks gets all of a frequent one; the mark
+    that stands for them goes where their hash belongs.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, again = None, False  # the row not decided yet, and whether it equals the one before
@@ -172,16 +199,21 @@ def repeated(anchor_rows: DataFrame) -> DataFrame:
                 batch = pd.concat([held, batch], ignore_index=True)
             if not len(batch):
                 continue
-            key = batch["hash"].to_numpy()
+            key, place = batch["hash"].to_numpy(), batch["place"].to_numpy()
             same = key[1:] == key[:-1]
-            found = np.concatenate([[again], same]) | np.concatenate([same, [False]])
-            again = bool(found[-1])
+            found = np.concatenate([[again], same]) | np.concatenate([same, [False]]) | (place < 0)
+            found &= place != MARK
+            again = bool(same[-1]) if len(same) else again
             held = batch.iloc[-1:]
-            yield batch.loc[found[:-1].nonzero()[0], ["doc", "place"]]
-        if again:
-            yield held[["doc", "place"]]
-
-    return anchor_rows.repartition("hash").sortWithinPartitions("hash").mapInPandas(run, "doc long, place long")
+            rows = batch.iloc[found[:-1].nonzero()[0]]
+            yield pd.DataFrame({"doc": rows["doc"], "place": np.where(rows["place"] < 0, ~rows["place"], rows["place"])})
+        if held is not None:
+            last = int(held["place"].iloc[0])
+            if last < 0 or again and last != MARK:
+                yield pd.DataFrame({"doc": held["doc"], "place": ~last if last < 0 else last})
+
+    dealt = F.when(F.col("place") < 0, F.xxhash64("doc", "place")).otherwise(F.col("hash"))
+    return anchor_rows.repartition(dealt).sortWithinPartitions("hash").mapInPandas(run, "doc long, place long")
 
 
 def entries(body: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, sampling: Sampling) -> np.ndarray:
