@@ -54,6 +54,8 @@ class Merges:
         self.ids, self.end = vocabulary, end
         self.rank = {pair: rank for rank, pair in enumerate(merges)}
         self.parts = {a + b: (a, b) for a, b in self.rank}
+        if len(self.parts) < len(self.rank):
+            raise ValueError("two merges make the same token")
         spelled = {t: self.symbols(t) for t in vocabulary if t in self.parts or len(self.symbols(t)) == 1}
         # Tokens that the merges make of their own spelling, and how many symbols they have.
         self.size = {t: len(s) for t, s in spelled.items() if len(s) == 1 or self.merge(s) == [t]}

@@ -2,15 +2,18 @@
 
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold.
 
-*Which sets meet.*  Sets of similar size are cut into M groups by hash value, M being one more than the number of
-shingles in which two linked sets of that size can differ.  Some group is then the same in both, so linked
-sets share a group's content.  Rows of (content, set) are sorted by Spark and read in one stream; sets that
-share a content are strung together, and the strings' connected components are searched each on its own.
-
-*The search.*  Within a component the shingles are hashed into groups anew and every set becomes the point of
-its group counts.  The points are bulk loaded into an R-tree.  The sum of coordinate minima of a
-point and a node's upper corner bounds the overlap with everything below the node; what survives
-in the leaves is verified on the full sets.  Pairs that earlier links already connect are not verified again.
+*Which sets meet.*  Any set that links to one of n shingles shares ``percent`` of the n, so if all sets order their shingles
+alike, linked sets have one of the first ``n - needed + 1`` in common.  The order puts frequent shingles last: all
+shingles of the corpus are counted in a table of ``COUNTERS`` hashed counters, whose size does not depend on the corpus.
+Rows of (shingle, set) are sorted by Spark and read in one stream, which yields the meetings of two and more sets.
+
+*Points.*  The shingles of a set are hashed into groups, and the set becomes the point of its group counts.  The points of a
+meeting are bulk loaded into an R-tree.  The sum of coordinate minima of a point and a node's upper corner bounds
+the overlap with everything below the node.  What passes in the leaves strings sets together; no link is lost, and of those that
+just met by chance hardly any pass.
+
+*Verification.*  Each connected component of such strings is searched on its own, with finer points, and what passes is verified
+on the full sets.  Pairs that earlier links already connect are not verified again.
 A component that is too large for one task is cut into tiles (``search``).
 
 Equal sets are one point from the start, so copies never multiply.  Sets are compared as 64-bit hashes.
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +40,16 @@ from signalmart.llm.shingles import mix, shingle_set
 from signalmart.operators.sizing import broadcast_if_small
 from signalmart.sources.shared import stage
 
-CLASS_RATIO = 1.5
+# Hashed counters of shingles: their number bounds what is sent to every worker.
+COUNTERS = 1 << 18
 FAN_OUT = 16
+# Sets that one meeting gathers.
+CROWD = 20_000
+# Groups of a point, at most, and the bytes of a point with wide counts.
+MOST_GROUPS = 1 << 14
+WIDE_POINT = 4 * MOST_GROUPS
 # Shingles of the sets that one task holds while it searches.
 TILE_SHINGLES = 4_000_000
-NO_CONTENT = np.empty(0, dtype=np.int64)
 # Sets of a large component that all its tiles are compared with first.
 HUBS = 16
 
@@ -58,33 +67,39 @@ class Threshold:
     def linked(self, overlap: int, total: int) -> bool:
         return 100 * overlap >= self.percent * (total - overlap)
 
-    def size_class(self, n: int) -> int:
-        return int(np.floor(np.log(n) / np.log(CLASS_RATIO) + 1e-12))
+    def leading(self, n: int) -> int:
+        """How many of n shingles a linked set cannot miss altogether."""
+        return n - -(-self.percent * n // 100) + 1
 
-    def groups(self, size_class: int) -> int:
-        """One more than two linked sets can differ in, when the smaller one is of this class."""
-        largest = int(np.ceil(CLASS_RATIO ** (size_class + 1)))
-        total = largest + 100 * largest // self.percent
-        return total * (100 - self.percent) // (100 + self.percent) + 1
 
-    def classes(self, n: int) -> list[int]:
-        """The own class, and the one below if a linked set may be that small."""
-        own, least = self.size_class(n), self.size_class(max(1, -(-self.percent * n // 100)))
-        return list(range(least, own + 1))
+def count_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Counters of all shingles of all documents, each counted once a document."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                found = [shingle_set(text, words) for text in batch["text"].iloc[at:at + 64]]
+                total += np.bincount(counter(np.concatenate(found)), minlength=COUNTERS)
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": seen.astype(np.int32), "n": total[seen]})
+
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    # One row for each counter at most.
+    counted = docs.select("text").mapInPandas(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    for row in counted.toLocalIterator():
+        out[row["counter"]] = row["n"]
+    return out
+
+
+def counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-def group_contents(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """One number for the content of every group, for each size class the set may meet others in."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles))])
-    out = []
-    for size_class in threshold.classes(len(shingles)):
-        m = threshold.groups(size_class)
-        limits = np.arange(1, m, dtype=np.uint64) * np.uint64(min(2**64 // m, 2**64 - 1))
-        cuts = np.concatenate([[0], np.searchsorted(shingles, limits), [len(shingles)]])
-        inside = sums[cuts[1:]] - sums[cuts[:-1]]
-        place = mix(np.arange(m, dtype=np.uint64) + np.uint64(size_class << 40))
-        out.append(mix(mix(inside + np.diff(cuts).astype(np.uint64)) ^ place))
-    return np.concatenate(out).view(np.int64)
+
+def leading_shingles(shingles: np.ndarray, counts: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """The rarest shingles of a set, as many as a linked set cannot miss."""
+    order = np.lexsort((shingles, counts[counter(shingles)]))
+    return shingles[order[:threshold.leading(len(shingles))]].view(np.int64)
 
 
 def owner_of(shingles: np.ndarray) -> int:
@@ -92,36 +107,38 @@ def owner_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketch(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
-    """``doc_id, text_hash, n, owner, contents, met`` of every document.
+def point_of(shingles: np.ndarray) -> bytes:
+    """Counts of the shingles by group; about four shingles a group, so that both halves of a point can be folded onto another."""
+    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, len(shingles)) / 4)), 4, np.log2(MOST_GROUPS)))
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint16 if len(shingles) < 2**16 else np.uint32).tobytes()
 
-    Within a batch, only the first set that has a content keeps it in ``contents``; the others name that
-    set in ``met``.  So what many sets share is sent once a batch.
-    """
 
-    @F.pandas_udf("n long, owner long, contents array<long>, met array<long>")
+def same_groups(points: list[bytes]) -> np.ndarray:
+    """Points brought to the coarsest grouping among them."""
+    counts = [np.frombuffer(p, dtype=np.uint32 if len(p) == WIDE_POINT else np.uint16) for p in points]
+    groups = min(map(len, counts))
+    return np.stack([c.reshape(-1, groups).sum(axis=0) for c in counts]).astype(np.int32)
+
+
+def sketch(docs: DataFrame, words: int, threshold: Threshold, counts: Broadcast) -> DataFrame:
+    """``doc_id, text_hash, n, owner, leading, point`` of every document; the last two only for the first of equal sets in a batch."""
+
+    @F.pandas_udf("n long, owner long, leading array<long>, point binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, owners, contents = [], [], []
-            seen = set()
+            sizes, owners, leading, points, seen = [], [], [], [], set()
             for text in batch:
                 found = shingle_set(text, words)
                 owner = owner_of(found)
+                fresh = len(found) and owner not in seen
                 sizes.append(len(found))
                 owners.append(owner)
-                contents.append(group_contents(found, threshold) if len(found) and owner not in seen else NO_CONTENT)
+                leading.append(leading_shingles(found, counts.value, threshold) if fresh else None)
+                points.append(point_of(found) if fresh else None)
                 seen.add(owner)
-            row = np.repeat(np.arange(len(contents)), [len(c) for c in contents])
-            _, first, place = np.unique(np.concatenate([NO_CONTENT, *contents]), return_index=True, return_inverse=True)
-            head = row[first[place]]
-            cuts = np.searchsorted(row, np.arange(1, len(contents)))
-            names = np.array(owners, dtype=np.int64)
-            own, met = [], []
-            for k, (content, heads) in enumerate(zip(contents, np.split(head, cuts))):
-                own.append(content[heads == k])
-                met.append(names[np.unique(heads[heads != k])])
-            yield pd.DataFrame({"n": sizes, "owner": owners, "contents": pd.Series(own, dtype=object),
-                                "met": pd.Series(met, dtype=object)})
+            yield pd.DataFrame({"n": sizes, "owner": owners, "leading": pd.Series(leading, dtype=object),
+                                "point": pd.Series(points, dtype=object)})
 
     return with_text_hash(docs).select("doc_id", "text_hash", run("text").alias("_s")).select("doc_id", "text_hash", "_s.*")
 
@@ -130,25 +147,112 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def strings(sketches: DataFrame) -> DataFrame:
-    """Edges ``a, b`` that string together the sets that share a content, batch by batch and then over all batches."""
+def meetings(sketches: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``meeting, owner`` of sets that share a leading shingle; meetings of the same sets are one.
+
+    More than ``crowd`` sets are not gathered: each makes a meeting with the first of them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        content, first = None, None
+        held = None
+        head = None  # the shingle and first set of a crowd that goes on
+
+        def found(shingle: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
+            starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            size = np.diff(np.concatenate([starts, [len(shingle)]]))
+            name = np.add.reduceat(mix(owner.view(np.uint64)), starts).view(np.int64)
+            row = np.repeat(np.arange(len(starts)), size)
+            keep = size[row] > 1
+            return pd.DataFrame({"meeting": name[row][keep], "owner": owner[keep]}).drop_duplicates()
+
+        def with_first(first: int, owner: np.ndarray) -> pd.DataFrame:
+            name = (mix(owner.view(np.uint64)) + mix(np.array([first]).view(np.uint64))).view(np.int64)
+            return pd.DataFrame({"meeting": np.concatenate([name, name]),
+                                 "owner": np.concatenate([owner, np.full(len(owner), first)])}).drop_duplicates()
+
         for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(batch):
                 continue
-            key, owner = batch["content"].to_numpy(), batch["owner"].to_numpy()
-            fresh = np.concatenate([[content is None or key[0] != content], key[1:] != key[:-1]])
-            run_of = np.cumsum(fresh)
-            heads = np.concatenate([[first if first is not None else 0], owner[fresh]])[run_of]
-            others = heads != owner
-            yield pd.DataFrame({"a": heads[others], "b": owner[others]})
-            content, first = key[-1], heads[-1]
+            shingle, owner = batch["shingle"].to_numpy(), batch["owner"].to_numpy()
+            if head is not None:
+                going_on = int((shingle == head[0]).sum())
+                yield with_first(head[1], owner[:going_on])
+                shingle, owner = shingle[going_on:], owner[going_on:]
+                if not len(shingle):
+                    held = None
+                    continue
+                head = None
+            last = int(np.flatnonzero(shingle != shingle[-1])[-1]) + 1 if (shingle != shingle[-1]).any() else 0
+            if last:
+                yield found(shingle[:last], owner[:last])
+            shingle, owner = shingle[last:], owner[last:]
+            held = pd.DataFrame({"shingle": shingle, "owner": owner})
+            if len(held) > crowd:
+                head, held = (shingle[0], owner[0]), None
+                yield with_first(head[1], owner[1:])
+        if held is not None and len(held) > 1:
+            yield found(held["shingle"].to_numpy(), held["owner"].to_numpy())
+
+    rows = sketches.select("owner", F.explode("leading").alias("shingle"))
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "owner").mapInPandas(run, "meeting long, owner long").distinct()
+
+
+def strings(met: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
+    """Edges ``a, b`` that string together the sets of a meeting whose points allow a link."""
+
+    def bounded(owners: list[int], sizes: np.ndarray, points: list[bytes]) -> Iterator[tuple[int, int]]:
+        if len(owners) == 2:
+            small, large = sorted(map(int, sizes))
+            if 100 * small >= threshold.percent * large:
+                bound = int(np.minimum(*same_groups(points)).sum())
+                if bound >= threshold.needed(small + large):
+                    yield owners[0], owners[1]
+            return
+        counts = same_groups(points)
+        tree, roots = CountTree(counts, sizes), Roots(len(owners))
+        for i in range(len(owners)):
+            for j in tree.search(counts[i], int(sizes[i]), threshold).tolist():
+                if j < i and roots.join(i, j):
+                    yield owners[i], owners[j]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            name = rows["meeting"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, int)
+            edges: list[tuple[int, int]] = []
+            owners, sizes, points = rows["owner"].tolist(), rows["n"].to_numpy(), rows["point"].tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                edges += bounded(owners[a:b], sizes[a:b], points[a:b])
+            held = rows.iloc[cuts[-1]:] if len(cuts) else rows
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        if held is not None and len(held):
+            yield pd.DataFrame(list(bounded(held["owner"].tolist(), held["n"].to_numpy(), held["point"].tolist())),
+                               columns=["a", "b"], dtype="int64")
+
+    rows = met.join(points, "owner").select("meeting", "owner", "n", "point")
+    return rows.repartition("meeting").sortWithinPartitions("meeting", "owner").mapInPandas(run, "a long, b long").distinct()
+
+
+class Roots:
+    """Which of a few members are connected."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
 
-    contents = sketches.select("owner", F.explode("contents").alias("content"))
-    over_all = contents.repartition("content").sortWithinPartitions("content", "owner").mapInPandas(run, "a long, b long")
-    return over_all.unionByName(sketches.select(F.explode("met").alias("a"), F.col("owner").alias("b"))).distinct()
+    def join(self, i: int, j: int) -> bool:
+        """Connect two; whether they were not before."""
+        i, j = self.root(i), self.root(j)
+        self.parent[i] = j
+        return i != j
 
 
 class CountTree:
@@ -198,21 +302,14 @@ def local_links(owners: list[int], sets: list[np.ndarray], asks: list[bool], thr
     if not indexed:
         return []
     tree = CountTree(points[indexed], sizes[indexed])
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    roots = Roots(len(sets))
     links = []
     for i in [i for i, asking in enumerate(asks) if asking] if across else indexed:
         for j in tree.search(points[i], int(sizes[i]), threshold).tolist():
             j = indexed[j]
-            if (owners[i] != owners[j] if across else j < i) and root(i) != root(j) and threshold.linked(
+            if (owners[i] != owners[j] if across else j < i) and roots.root(i) != roots.root(j) and threshold.linked(
                     overlap(sets[i], sets[j]), int(sizes[i] + sizes[j])):
-                parent[root(i)] = root(j)
+                roots.join(i, j)
                 links.append((owners[i], owners[j]))
     return links
 
@@ -281,12 +378,16 @@ def search(sets: DataFrame, threshold: Threshold, tile_shingles: int = TILE_SHIN
     return to_hubs.unionByName(_cells(rows, threshold))
 
 
-def linked(docs: DataFrame, words: int = 3, percent: int = 90, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+def linked(
+    docs: DataFrame, words: int = 3, percent: int = 90, tile_shingles: int = TILE_SHINGLES, crowd: int = CROWD,
+) -> DataFrame:
     """``doc_id, text_hash, n_shingles, owner, component_id``: every document with its component of linked documents."""
     threshold = Threshold(percent)
-    sketches = stage("join-sketches")(sketch(docs, words, threshold))
-    met = stage("join-strings")(strings(sketches))
-    around = stage("join-around")(components(met))
+    counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, words))
+    sketches = stage("join-sketches")(sketch(docs, words, threshold, counts))
+    met = stage("join-meetings")(meetings(sketches, crowd))
+    points = sketches.where("point is not null").select("owner", "n", "point").dropDuplicates(["owner"])
+    around = stage("join-around")(components(stage("join-strings")(strings(met, points, threshold))))
 
     # The full sets of those that met others: their texts are read again.
     first = sketches.where("n > 0").groupBy("owner").agg(F.min(F.struct("doc_id", "text_hash")).alias("_f")).select(

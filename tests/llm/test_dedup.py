@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from signalmart.llm import exact_dedup, jaccard_join, suffix_dedup
@@ -105,7 +106,8 @@ def near_copies(seed, families, members, words):
 @pytest.mark.parametrize(("words", "percent", "tile"), [(3, 90, 4_000_000), (5, 80, 4_000_000), (3, 80, 700)])
 def test_components_match_all_pairs(spark, words, percent, tile):
     texts = near_copies(words, 6, 25, 60) + [(900 + k, " ".join(["one", "two", "three", "four"][:k])) for k in range(5)]
-    got = jaccard_join.linked(spark.createDataFrame(texts, "doc_id long, text string"), words, percent, tile).collect()
+    crowd = 5 if tile < 1_000 else jaccard_join.CROWD
+    got = jaccard_join.linked(spark.createDataFrame(texts, "doc_id long, text string"), words, percent, tile, crowd).collect()
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == brute_components(texts, words, percent)
 
 
@@ -128,14 +130,21 @@ def test_shingle_sets_ignore_only_ascii_case_and_spaces():
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_group_numbers_suffice(percent):
-    """Sets that link differ in fewer shingles than there are groups in the class they meet in."""
+def test_leading_shingles_of_linked_sets_meet(percent):
+    random.seed(percent)
     threshold = jaccard_join.Threshold(percent)
-    for a in range(1, 400):
-        for b in range(a, 100 * a // percent + 1):
-            most_apart = a + b - 2 * threshold.needed(a + b)
-            assert threshold.size_class(a) in threshold.classes(b) and threshold.size_class(a) in threshold.classes(a)
-            assert most_apart < threshold.groups(threshold.size_class(a))
+    counts = np.random.default_rng(1).integers(0, 4, jaccard_join.COUNTERS)
+    draw = np.random.default_rng(2)
+    linked = 0
+    for n in [*range(1, 40), 100, 300]:
+        for _ in range(10):
+            a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[draw.random(len(a)) < 0.97], draw.integers(0, 2**63, n // 20, dtype=np.uint64)]))
+            if len(b) and threshold.linked(jaccard_join.overlap(a, b), len(a) + len(b)):
+                linked += 1
+                first = [set(jaccard_join.leading_shingles(x, counts, threshold).tolist()) for x in (a, b)]
+                assert first[0] & first[1]
+    assert linked > 100
 
 
 # --- byte strings ---------------------------------------------------------------------
