@@ -26,6 +26,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,13 +42,13 @@ from signalmart.operators.sizing import broadcast_if_small
 from signalmart.sources.shared import stage
 
 # Hashed counters of shingles: their number bounds what is sent to every worker.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
+SLICES = 64
 FAN_OUT = 16
 # Sets that one meeting gathers.
 CROWD = 20_000
-# Groups of a point, at most, and the bytes of a point with wide counts.
+# Groups of a point, at most.
 MOST_GROUPS = 1 << 14
-WIDE_POINT = 4 * MOST_GROUPS
 # Shingles of the sets that one task holds while it searches.
 TILE_SHINGLES = 4_000_000
 # Sets of a large component that all its tiles are compared with first.
@@ -73,7 +74,10 @@ class Threshold:
 
 
 def count_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Counters of all shingles of all documents, each counted once a document."""
+    """Counters of all shingles of all documents, each counted once a document.
+
+    Tasks send their counters in slices, which are added up slice by slice, in two steps.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -81,15 +85,27 @@ def count_shingles(docs: DataFrame, words: int) -> np.ndarray:
             for at in range(0, len(batch), 64):
                 found = [shingle_set(text, words) for text in batch["text"].iloc[at:at + 64]]
                 total += np.bincount(counter(np.concatenate(found)), minlength=COUNTERS)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": seen.astype(np.int32), "n": total[seen]})
+        yield from sliced({k: part for k, part in enumerate(np.split(total, SLICES)) if part.any()})
+
+    def sliced(parts: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        if parts:
+            yield pd.DataFrame({"slice": pd.Series(list(parts), dtype="int64"), "counts": [zlib.compress(v.tobytes(), 1) for v in parts.values()]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch["slice"].tolist(), batch["counts"]):
+                part = np.frombuffer(zlib.decompress(data), dtype=np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        yield from sliced(sums)
 
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    # One row for each counter at most.
-    counted = docs.select("text").mapInPandas(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    for row in counted.toLocalIterator():
-        out[row["counter"]] = row["n"]
-    return out
+    schema = "slice long, counts binary"
+    parts = docs.select("text").mapInPandas(run, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    parts = parts.repartition("slice", "salt").drop("salt").mapInPandas(added, schema)
+    out = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int64)
+    for row in parts.repartition("slice").mapInPandas(added, schema).toLocalIterator():
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+    return out.ravel()
 
 
 def counter(shingles: np.ndarray) -> np.ndarray:
@@ -108,15 +124,15 @@ def owner_of(shingles: np.ndarray) -> int:
 
 
 def point_of(shingles: np.ndarray) -> bytes:
-    """Counts of the shingles by group; about four shingles a group, so that both halves of a point can be folded onto another."""
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, len(shingles)) / 4)), 4, np.log2(MOST_GROUPS)))
+    """Counts of the shingles by group, about eight a group, one byte each or, where one does not fit, all in four."""
+    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, len(shingles)) / 8)), 4, np.log2(MOST_GROUPS)))
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return counts.astype(np.uint16 if len(shingles) < 2**16 else np.uint32).tobytes()
+    return bytes([int(counts.max() > 255)]) + counts.astype(np.uint32 if counts.max() > 255 else np.uint8).tobytes()
 
 
 def same_groups(points: list[bytes]) -> np.ndarray:
-    """Points brought to the coarsest grouping among them."""
-    counts = [np.frombuffer(p, dtype=np.uint32 if len(p) == WIDE_POINT else np.uint16) for p in points]
+    """Points brought to the coarsest grouping among them: halves of a finer one are added up."""
+    counts = [np.frombuffer(p, dtype=np.uint32 if p[0] else np.uint8, offset=1).astype(np.int32) for p in points]
     groups = min(map(len, counts))
     return np.stack([c.reshape(-1, groups).sum(axis=0) for c in counts]).astype(np.int32)
 
@@ -147,55 +163,57 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def meetings(sketches: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """``meeting, owner`` of sets that share a leading shingle; meetings of the same sets are one.
+def meetings(sketches: DataFrame, threshold: Threshold, crowd: int = CROWD) -> DataFrame:
+    """``meeting, owner, loose`` of sets of comparable size that share a leading shingle; meetings of the same sets are one.
 
-    More than ``crowd`` sets are not gathered: each makes a meeting with the first of them.
+    Rows of a shingle come by size, and a step too large for a link ends a meeting.  More than ``crowd`` sets are not
+    gathered: each is ``loose``, a string from the first of them, whose name the meeting then has.
     """
 
+    def found(starts: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
+        size = np.diff(np.concatenate([starts, [len(owner)]]))
+        row = np.repeat(np.arange(len(starts)), size)
+        distinct = np.concatenate([[True], (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])])
+        row, owner = row[distinct], owner[distinct]
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        name = np.add.reduceat(mix(owner.view(np.uint64)), starts).view(np.int64)
+        keep = np.bincount(row)[row] > 1
+        return pd.DataFrame({"meeting": name[row][keep], "owner": owner[keep], "loose": False}).drop_duplicates()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        head = None  # the shingle and first set of a crowd that goes on
-
-        def found(shingle: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
-            starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-            size = np.diff(np.concatenate([starts, [len(shingle)]]))
-            name = np.add.reduceat(mix(owner.view(np.uint64)), starts).view(np.int64)
-            row = np.repeat(np.arange(len(starts)), size)
-            keep = size[row] > 1
-            return pd.DataFrame({"meeting": name[row][keep], "owner": owner[keep]}).drop_duplicates()
-
-        def with_first(first: int, owner: np.ndarray) -> pd.DataFrame:
-            name = (mix(owner.view(np.uint64)) + mix(np.array([first]).view(np.uint64))).view(np.int64)
-            return pd.DataFrame({"meeting": np.concatenate([name, name]),
-                                 "owner": np.concatenate([owner, np.full(len(owner), first)])}).drop_duplicates()
-
+        head = None  # shingle, last size and first set of a crowd that goes on
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(batch):
                 continue
-            shingle, owner = batch["shingle"].to_numpy(), batch["owner"].to_numpy()
+            shingle, size, owner = (batch[c].to_numpy() for c in ("shingle", "n", "owner"))
+            fresh = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (threshold.percent * size[1:] > 100 * size[:-1])])
+            starts = np.flatnonzero(fresh)
             if head is not None:
-                going_on = int((shingle == head[0]).sum())
-                yield with_first(head[1], owner[:going_on])
-                shingle, owner = shingle[going_on:], owner[going_on:]
-                if not len(shingle):
-                    held = None
-                    continue
+                if shingle[0] == head[0] and threshold.percent * size[0] <= 100 * head[1]:
+                    end = int(starts[1]) if len(starts) > 1 else len(owner)
+                    yield pd.DataFrame({"meeting": head[2], "owner": owner[:end], "loose": True})
+                    head = (head[0], size[end - 1], head[2])
+                    starts = starts[1:] - end
+                    shingle, size, owner = shingle[end:], size[end:], owner[end:]
+                    if not len(owner):
+                        held = None
+                        continue
                 head = None
-            last = int(np.flatnonzero(shingle != shingle[-1])[-1]) + 1 if (shingle != shingle[-1]).any() else 0
+            last = int(starts[-1])
             if last:
-                yield found(shingle[:last], owner[:last])
-            shingle, owner = shingle[last:], owner[last:]
-            held = pd.DataFrame({"shingle": shingle, "owner": owner})
+                yield found(starts[:-1], owner[:last])
+            held = pd.DataFrame({"shingle": shingle[last:], "n": size[last:], "owner": owner[last:]})
             if len(held) > crowd:
-                head, held = (shingle[0], owner[0]), None
-                yield with_first(head[1], owner[1:])
+                head, held = (shingle[-1], size[-1], owner[last]), None
+                yield pd.DataFrame({"meeting": head[2], "owner": owner[last + 1:], "loose": True})
         if held is not None and len(held) > 1:
-            yield found(held["shingle"].to_numpy(), held["owner"].to_numpy())
+            yield found(np.zeros(1, dtype=np.int64), held["owner"].to_numpy())
 
-    rows = sketches.select("owner", F.explode("leading").alias("shingle"))
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "owner").mapInPandas(run, "meeting long, owner long").distinct()
+    rows = sketches.select("owner", "n", F.explode("leading").alias("shingle"))
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "owner").mapInPandas(
+        run, "meeting long, owner long, loose boolean").distinct()
 
 
 def strings(met: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
@@ -232,8 +250,9 @@ def strings(met: DataFrame, points: DataFrame, threshold: Threshold) -> DataFram
             yield pd.DataFrame(list(bounded(held["owner"].tolist(), held["n"].to_numpy(), held["point"].tolist())),
                                columns=["a", "b"], dtype="int64")
 
-    rows = met.join(points, "owner").select("meeting", "owner", "n", "point")
-    return rows.repartition("meeting").sortWithinPartitions("meeting", "owner").mapInPandas(run, "a long, b long").distinct()
+    rows = met.where("not loose").join(points, "owner").select("meeting", "owner", "n", "point")
+    close = rows.repartition("meeting").sortWithinPartitions("meeting", "owner").mapInPandas(run, "a long, b long")
+    return close.unionByName(met.where("loose").select(F.col("meeting").alias("a"), F.col("owner").alias("b"))).distinct()
 
 
 class Roots:
@@ -385,7 +404,7 @@ def linked(
     threshold = Threshold(percent)
     counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, words))
     sketches = stage("join-sketches")(sketch(docs, words, threshold, counts))
-    met = stage("join-meetings")(meetings(sketches, crowd))
+    met = stage("join-meetings")(meetings(sketches, threshold, crowd))
     points = sketches.where("point is not null").select("owner", "n", "point").dropDuplicates(["owner"])
     around = stage("join-around")(components(stage("join-strings")(strings(met, points, threshold))))
 

@@ -103,10 +103,10 @@ def near_copies(seed, families, members, words):
     return rows
 
 
-@pytest.mark.parametrize(("words", "percent", "tile"), [(3, 90, 4_000_000), (5, 80, 4_000_000), (3, 80, 700)])
+@pytest.mark.parametrize(("words", "percent", "tile"), [(3, 90, 4_000_000), (5, 80, 4_000_000), (3, 80, 700), (5, 80, 701)])
 def test_components_match_all_pairs(spark, words, percent, tile):
     texts = near_copies(words, 6, 25, 60) + [(900 + k, " ".join(["one", "two", "three", "four"][:k])) for k in range(5)]
-    crowd = 5 if tile < 1_000 else jaccard_join.CROWD
+    crowd = tile - 697 if tile < 1_000 else jaccard_join.CROWD
     got = jaccard_join.linked(spark.createDataFrame(texts, "doc_id long, text string"), words, percent, tile, crowd).collect()
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == brute_components(texts, words, percent)
 
