@@ -13,6 +13,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -54,7 +55,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
-        spark__driver__memory="12g",
+        spark__driver__memory="12g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="signalmart-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -11,9 +11,9 @@ def words(text: Column) -> Column:
     """Lower-case letter runs of the whole text, led by an empty entry.
 
     The leading entry makes sure that exploding keeps texts without a word.  Another one
-    follows the last word when the text goes on after it.
+    follows the last word when the text goes on after it.  A null text is one without words.
     """
-    return F.split(F.concat(F.lit(" "), F.lower(text)), "[^a-z]+")
+    return F.split(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit("")))), "[^a-z]+")
 
 
 def compound(valence_sum: Column, alpha: float = C.COMPOUND_ALPHA) -> Column:
@@ -51,5 +51,6 @@ def iso_year_week(day: Column) -> Column:
 
 
 def article_id(url: Column, published_at: Column) -> Column:
-    """Stable surrogate id; not a join key."""
-    return F.xxhash64(F.coalesce(url, F.lit("")), F.coalesce(published_at, F.lit("")))
+    """Stable surrogate id, 60 bits of a digest; not a join key."""
+    digest = F.md5(F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(published_at, F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")

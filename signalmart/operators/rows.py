@@ -21,17 +21,27 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], chooser) ->
     return picked.select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def tie_key(columns: Sequence[str]) -> Column:
+    """A digest that orders rows by all of ``columns`` alike, whichever of them are read later."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
+
+
 def dedupe(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), columns: Sequence[str] | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), columns: Sequence[str] | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Keep the first row of every key; null keys form a group, as in ``dropDuplicates``.
 
     Rows are moved whole, so Spark cannot prune what is not read later: name the
-    ``columns`` that are needed besides keys and order.
+    ``columns`` that are needed besides keys and order.  ``ties`` decide between rows that the order
+    leaves equal; they are read before anything is pruned, so the kept row does not depend on ``columns``.
     """
+    if ties:
+        df = df.withColumn("_tie", tie_key(ties))
+        order = [*order, "_tie"]
     if columns is not None:
         df = df.select(*dict.fromkeys([*keys, *order, *columns]))
-    return _pick(df, keys, order, F.min)
+    return _pick(df, keys, order, F.min).drop("_tie")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, as_of: Column | str | None = None) -> DataFrame:

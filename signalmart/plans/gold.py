@@ -25,7 +25,7 @@ def join_sources(news: DataFrame, trends: DataFrame, stocks: DataFrame, as_of: s
     """News per brand with its trends and, where there are any, its share prices.
 
     ``grain="latest"`` takes the newest row per brand and source up to ``as_of``: one
-    row per brand.  ``grain="all"`` joins every row of the given tables on the brand
+    row per brand, category and type.  ``grain="all"`` joins every row of the given tables on the brand
     keys alone, so its output multiplies; give it one ingestion.
     """
     sources = [(news, "news_date", NEWS_COLUMNS), (trends, "trend_date", TRENDS_COLUMNS),
@@ -33,7 +33,7 @@ def join_sources(news: DataFrame, trends: DataFrame, stocks: DataFrame, as_of: s
     if grain == "latest":
         limit = {"news_date": F.lit(as_of).cast("date")}
         sources = [
-            (latest_per_key(df.select(*JOIN_KEYS, date, *columns), ["brand_name"], date, limit.get(date, F.lit(as_of))),
+            (latest_per_key(df.select(*JOIN_KEYS, date, *columns), JOIN_KEYS, date, limit.get(date, F.lit(as_of))),
              date, columns)
             for df, date, columns in sources
         ]
@@ -78,7 +78,7 @@ def alerts(df: DataFrame) -> DataFrame:
 def last_week(gold: DataFrame, day: Column | str) -> DataFrame:
     """The comparison columns of the gold rows processed on ``day``."""
     return gold.where(F.col("processed_date") == F.lit(day).cast("date")).select(
-        "brand_name",
+        *JOIN_KEYS,
         F.col("brand_health_index").alias("last_week_index"),
         F.col("health_label").alias("last_week_label"),
         F.col("sentiment_normalized").alias("last_week_sentiment"),
@@ -97,9 +97,9 @@ def week_over_week(gold: DataFrame, history: DataFrame | None) -> DataFrame:
         fields = {f.name: f.dataType for f in schemas.BRAND_HEALTH if f.name in WOW_COLUMNS}
         return gold.withColumns({name: F.lit(None).cast(fields[name]) for name in WOW_COLUMNS})
     any_history = history.agg((F.count("*") > 0).alias("any_history")).scalar()
-    one_per_brand = dedupe(history, ["brand_name"])
+    one_per_brand = dedupe(history, JOIN_KEYS)
     change = scaling.point_change(F.col("brand_health_index"), F.col("last_week_index"))
-    compared = gold.join(one_per_brand, "brand_name", "left").withColumn("index_change_wow", change)
+    compared = gold.join(one_per_brand, JOIN_KEYS, "left").withColumn("index_change_wow", change)
     label_changed = labels.holds(F.col("health_label") != F.col("last_week_label"))
     return compared.withColumn("_any_history", any_history).withColumns({
         "wow_direction": F.when(F.col("_any_history"), labels.wow_direction(F.col("index_change_wow"))),
@@ -113,9 +113,8 @@ def week_over_week(gold: DataFrame, history: DataFrame | None) -> DataFrame:
 
 def brand_health(
     news: DataFrame, trends: DataFrame, stocks: DataFrame, as_of: str, history: DataFrame | None = None,
-    grain: str = "latest",
 ) -> DataFrame:
     """The gold table for ``as_of`` from the three silver tables."""
-    current = alerts(health(normalize(join_sources(news, trends, stocks, as_of, grain))))
+    current = alerts(health(normalize(join_sources(news, trends, stocks, as_of))))
     dated = current.withColumn("processed_date", F.lit(as_of).cast("date"))
     return week_over_week(dated, history).select(*schemas.BRAND_HEALTH.fieldNames())

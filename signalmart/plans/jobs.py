@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from signalmart.plans.stocks import stocks_silver
 from signalmart.plans.trends import trends_silver
 from signalmart.sources.bronze import landed_units, read_bronze, write_bronze
 from signalmart.sources.gold import read_history, write_gold
-from signalmart.sources.shared import stage
-from signalmart.sources.silver import read_silver, write_silver
+from signalmart.sources.shared import remove, stage
+from signalmart.sources.silver import SCHEMAS, read_silver, write_silver
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -44,43 +46,54 @@ def land(records: DataFrame, units: DataFrame, root: str, source: str, day: str)
 def run_silver(
     spark: SparkSession, bronze_root: str, silver_root: str, as_of: str, lexicon: DataFrame | None = None,
     scorer: Callable[[Column], Column] | None = None, mode: str = "overwrite", long_texts: bool = False,
+    look_back: int = 0,
 ) -> dict[str, int]:
-    """Build the silver tables of one landing day; a source without records is left out.
+    """Build the silver tables of one landing day; a source without records gets an empty day.
 
-    The sources are independent and run side by side.  Returns the rows written per source.
+    ``look_back`` adds the records landed on that many days before, so that rolling figures see them; all
+    rows carry ``as_of`` as ingestion date.  The sources are independent and run side by side.  Returns
+    the rows written per source.
     """
+    made: list[str] = []
     builders = {
         "news": lambda df: news_silver(
-            df, as_of, lexicon, scorer=scorer, stage=stage("news-daily"), long_texts=long_texts),
+            df, as_of, lexicon, scorer=scorer, stage=stage("news-daily", made), long_texts=long_texts),
         "stocks": lambda df: stocks_silver(df, as_of),
         "trends": lambda df: trends_silver(df, as_of),
     }
 
     def run(source: str) -> int:
-        landed = read_bronze(spark, bronze_root, source, as_of)
+        last = date.fromisoformat(as_of).toordinal()
+        days = [date.fromordinal(last - k).isoformat() for k in range(look_back + 1)]
+        landed = reduce(DataFrame.unionByName, [read_bronze(spark, bronze_root, source, day) for day in days])
         if landed.isEmpty():
+            write_silver(spark.createDataFrame([], SCHEMAS[source]), silver_root, source, as_of, mode)
             return 0
         rows, observation = observed(builders[source](landed), f"silver-{source}")
-        write_silver(rows, silver_root, source, mode)
+        write_silver(rows, silver_root, source, as_of, mode)
         return observation.get["rows"]
 
-    with ThreadPoolExecutor(len(builders)) as pool:
-        return dict(zip(builders, pool.map(run, builders)))
+    try:
+        with ThreadPoolExecutor(len(builders)) as pool:
+            return dict(zip(builders, pool.map(run, builders)))
+    finally:
+        for path in made:
+            remove(spark, path)
 
 
 def build_gold(
-    spark: SparkSession, silver_root: str, as_of: str, history: DataFrame | None = None, grain: str = "latest"
+    spark: SparkSession, silver_root: str, as_of: str, history: DataFrame | None = None
 ) -> DataFrame:
     """The gold rows of one day from that day's silver, for any sink."""
     news, trends, stocks = (read_silver(spark, silver_root, s, as_of) for s in ("news", "trends", "stocks"))
-    return brand_health(news, trends, stocks, as_of, history, grain)
+    return brand_health(news, trends, stocks, as_of, history)
 
 
 def run_gold(
-    spark: SparkSession, silver_root: str, gold_path: str, as_of: str, grain: str = "latest", mode: str = "overwrite",
+    spark: SparkSession, silver_root: str, gold_path: str, as_of: str, mode: str = "overwrite",
 ) -> int:
     """Build the gold rows of one day and write them to the gold table; returns their number."""
-    gold = build_gold(spark, silver_root, as_of, read_history(spark, gold_path, as_of), grain)
+    gold = build_gold(spark, silver_root, as_of, read_history(spark, gold_path, as_of))
     rows, observation = observed(gold, "gold")
     write_gold(rows, gold_path, mode)
     return observation.get["rows"]

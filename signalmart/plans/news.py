@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from signalmart import constants as C
 from signalmart import schemas
 from signalmart.functions import labels, text
-from signalmart.operators.rows import dedupe
+from signalmart.operators.rows import dedupe, tie_key
 from signalmart.operators.sentiment import score_with, sentiment
 from signalmart.operators.series import in_periods, velocity
 from signalmart.operators.voice import share_of_voice
@@ -18,6 +18,8 @@ from signalmart.operators.voice import share_of_voice
 ARTICLE_KEYS = ["url", "brand_name"]
 DAY_KEYS = ["brand_name", "category", "brand_type", "news_date"]
 LOAD_ORDER = ["ingested_at", "published_at"]
+# Decide between articles that were loaded and published at the same time.
+TIES = ["category", "brand_type", "ticker", "source_name", "headline"]
 SCORED_COLUMNS = ["category", "brand_type", "news_date", "headline"]
 
 
@@ -37,7 +39,7 @@ def drop_incomplete(articles: DataFrame) -> DataFrame:
 
 def clean(bronze: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Standardised, complete articles, one per url and brand: the one loaded first; all columns or those named."""
-    return dedupe(drop_incomplete(standardize(bronze)), ARTICLE_KEYS, LOAD_ORDER, columns)
+    return dedupe(drop_incomplete(standardize(bronze)), ARTICLE_KEYS, LOAD_ORDER, columns, TIES)
 
 
 def score(articles: DataFrame, lexicon: DataFrame | None, scorer: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -59,10 +61,10 @@ def score_before_dedupe(bronze: DataFrame, lexicon: DataFrame) -> DataFrame:
     shuffled (twice); ``score`` after ``clean`` shuffles the texts (once) and scores
     no copies, which suits headlines.
     """
-    articles = drop_incomplete(standardize(bronze)).withColumn("_text", F.xxhash64("headline"))
+    articles = drop_incomplete(standardize(bronze)).withColumn("_article", tie_key(TIES))
     carry = [c for c in SCORED_COLUMNS if c != "headline"]
-    scored = sentiment(articles, "headline", lexicon, [*ARTICLE_KEYS, *LOAD_ORDER, "_text"], carry)
-    unique = dedupe(scored, ARTICLE_KEYS, LOAD_ORDER).drop(*LOAD_ORDER, "_text")
+    scored = sentiment(articles, "headline", lexicon, [*ARTICLE_KEYS, *LOAD_ORDER, "_article"], carry)
+    unique = dedupe(scored, ARTICLE_KEYS, [*LOAD_ORDER, "_article"]).drop(*LOAD_ORDER, "_article")
     return unique.withColumn("sentiment_label", labels.sentiment_label(F.col("sentiment_score")))
 
 

@@ -27,14 +27,14 @@ def leaderboard(gold: DataFrame, as_of: str) -> DataFrame:
     """Brands by index, best first; brands without an index lead, as in the warehouse."""
     return _on(gold, as_of).select(
         "brand_name", "category", "brand_health_index", "health_label", "alert_flag"
-    ).orderBy(F.desc_nulls_first("brand_health_index"))
+    ).orderBy(F.desc_nulls_first("brand_health_index"), "brand_name", "category")
 
 
 def alert_list(gold: DataFrame, as_of: str) -> DataFrame:
     """Brands with an alert and its reason, worst first."""
     return _on(gold, as_of).where("alert_flag").select(
         "brand_name", "category", "brand_health_index", "health_label", "alert_reason"
-    ).orderBy(F.asc_nulls_last("brand_health_index"))
+    ).orderBy(F.asc_nulls_last("brand_health_index"), "brand_name", "category")
 
 
 def category_summary(gold: DataFrame, as_of: str) -> DataFrame:
@@ -45,7 +45,7 @@ def category_summary(gold: DataFrame, as_of: str) -> DataFrame:
         F.count_if(F.col("health_label") == "STRONG").alias("strong"),
         F.count_if(F.col("health_label") == "HEALTHY").alias("healthy"),
         F.count_if("alert_flag").alias("alerts"),
-    ).orderBy(F.desc_nulls_first("avg_health"))
+    ).orderBy(F.desc_nulls_first("avg_health"), "category")
 
 
 def week_over_week_report(gold: DataFrame, as_of: str) -> DataFrame:
@@ -59,7 +59,7 @@ def week_over_week_report(gold: DataFrame, as_of: str) -> DataFrame:
         "label_changed",
         F.col("last_week_label").alias("was"),
         F.col("health_label").alias("now"),
-    ).orderBy(F.asc_nulls_last("change"))
+    ).orderBy(F.asc_nulls_last("change"), "brand_name")
 
 
 def brand_type_summary(gold: DataFrame, as_of: str) -> DataFrame:

@@ -26,7 +26,7 @@ def drop_unpriced(bronze: DataFrame) -> DataFrame:
 
 def clean(bronze: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Priced bars, one per ticker and date: the one loaded first; all columns or those named."""
-    return dedupe(drop_unpriced(bronze), BAR_KEYS, ["ingested_at"], columns)
+    return dedupe(drop_unpriced(bronze), BAR_KEYS, ["ingested_at"], columns, BAR_COLUMNS)
 
 
 def returns(bars: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:

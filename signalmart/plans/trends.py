@@ -23,7 +23,7 @@ def drop_incomplete(bronze: DataFrame) -> DataFrame:
 
 def clean(bronze: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Complete scores, one per brand and date: the one loaded first; all columns or those named."""
-    return dedupe(drop_incomplete(bronze), SCORE_KEYS, ["ingested_at"], columns)
+    return dedupe(drop_incomplete(bronze), SCORE_KEYS, ["ingested_at"], columns, SCORE_COLUMNS)
 
 
 def momentum(scores: DataFrame, lag: int = 1, keys: Sequence[str] = ("brand_name",)) -> DataFrame:

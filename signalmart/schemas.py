@@ -111,6 +111,8 @@ BRAND_HEALTH = _table(
 
 LAST_WEEK = _table(
     (STRING, "brand_name"),
+    (STRING, "category"),
+    (STRING, "brand_type"),
     (DOUBLE, "last_week_index"),
     (STRING, "last_week_label"),
     (DOUBLE, "last_week_sentiment"),

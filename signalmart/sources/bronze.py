@@ -22,9 +22,10 @@ def _layout(source: str) -> list[str]:
     return [*UNIT_COLUMNS[source], *DAY_COLUMNS]
 
 
-def _on_day(df: DataFrame, day: str) -> DataFrame:
+def _day_folders(root: str, source: str, day: str) -> str:
+    """A pattern of the day's folders of all units."""
     d = date.fromisoformat(day)
-    return df.where((F.col("year") == d.year) & (F.col("month") == d.month) & (F.col("day") == d.day))
+    return f"{root}/{source}{'/*' * len(UNIT_COLUMNS[source])}/year={d.year}/month={d.month:02}/day={d.day:02}"
 
 
 def rebalanced(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,7 +69,7 @@ def read_bronze(spark: SparkSession, root: str, source: str, day: str | None = N
     """Landed records of one day, or of all days.
 
     Types come from the table's schema, so there is no pass over the files to infer
-    them; a day is selected by its directories and nothing else is listed or read.
+    them; of a day only its own folders are listed and read.
     """
     schema = SCHEMAS[source]
     layout = _layout(source)
@@ -76,17 +77,24 @@ def read_bronze(spark: SparkSession, root: str, source: str, day: str | None = N
     with_layout = T.StructType([
         *schema.fields, *[T.StructField(c, T.IntegerType() if c in DAY_COLUMNS else T.StringType()) for c in missing]
     ])
-    df = read_or_empty(spark, f"{root}/{source}", with_layout)
-    if day is not None:
-        df = _on_day(df, day)
-    return df.select(*schema.fieldNames())
+    base = f"{root}/{source}"
+    path = base if day is None else _day_folders(root, source, day)
+    return read_or_empty(spark, path, with_layout, basePath=base).select(*schema.fieldNames())
 
 
 def landed_units(spark: SparkSession, root: str, source: str, day: str) -> DataFrame:
-    """Units that already landed on a day, for ``operators.landing.skip_existing``; read from the directories."""
+    """Units that already landed on a day, for ``operators.landing.skip_existing``.
+
+    The day's files are listed and not opened: no column of their content is asked for.
+    """
     units = UNIT_COLUMNS[source]
-    layout = T.StructType([
-        *[T.StructField(c, T.StringType()) for c in units], *[T.StructField(c, T.IntegerType()) for c in DAY_COLUMNS]
-    ])
-    landed = _on_day(read_or_empty(spark, f"{root}/{source}", layout), day)
-    return landed.select(*units).distinct().withColumnRenamed("brand", "brand_name")
+    names = T.StructType([T.StructField(c, T.StringType()) for c in units])
+    try:
+        files = spark.read.format("binaryFile").option("basePath", f"{root}/{source}").load(_day_folders(root, source, day))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], names).withColumnRenamed("brand", "brand_name")
+    # From the paths, because values of directory columns are guessed to be numbers or dates.
+    named = [F.url_decode(F.replace(F.regexp_extract("path", f"/{c}=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))).alias(c) for c in units]
+    return files.select(*named).distinct().withColumnRenamed("brand", "brand_name")

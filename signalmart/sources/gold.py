@@ -56,7 +56,7 @@ def write_gold_jdbc(
 def history_query(as_of: str, table: str = TABLE) -> str:
     """The warehouse query for last week's comparison columns."""
     return (
-        "SELECT brand_name, brand_health_index AS last_week_index, health_label AS last_week_label, "
+        "SELECT brand_name, category, brand_type, brand_health_index AS last_week_index, health_label AS last_week_label, "
         "sentiment_normalized AS last_week_sentiment, trend_normalized AS last_week_trend "
         f"FROM {table} WHERE processed_date = DATE '{week_before(as_of)}'"
     )

@@ -1,33 +1,34 @@
-"""Silver: parquet partitioned by category, brand and ingestion date."""
+"""Silver: parquet in one folder per ingestion date, partitioned by category and brand."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from signalmart import schemas
 from signalmart.sources.bronze import read_or_empty, rebalanced
 
-PARTITIONS = ("category", "brand_name", "ingestion_date")
+PARTITIONS = ("category", "brand_name")
 SCHEMAS = {"news": schemas.NEWS_SILVER, "stocks": schemas.STOCKS_SILVER, "trends": schemas.TRENDS_SILVER}
 
 
-def write_silver(
-    df: DataFrame, root: str, source: str, mode: str = "overwrite", partitions: Sequence[str] = PARTITIONS
-) -> None:
-    """Write one run's rows.
+def _day_folder(root: str, source: str, day: str) -> str:
+    return f"{root}/{source}/ingestion_date={day}"
+
+
+def write_silver(df: DataFrame, root: str, source: str, day: str, mode: str = "overwrite") -> None:
+    """Write one run's rows, all of ingestion date ``day``.
 
-    ``overwrite`` replaces just the partitions the run produces, so repeating a run
-    changes nothing; ``append`` adds to them.
+    ``overwrite`` replaces the day's folder as a whole, also by no rows, so a run after a correction leaves
+    nothing of the run before; ``append`` adds to it.
     """
-    rebalanced(df, partitions).write.partitionBy(*partitions).mode(mode).option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(f"{root}/{source}")
+    rebalanced(df.drop("ingestion_date"), PARTITIONS).write.partitionBy(*PARTITIONS).mode(mode).option(
+        "partitionOverwriteMode", "static"
+    ).parquet(_day_folder(root, source, day))
 
 
 def read_silver(spark: SparkSession, root: str, source: str, ingestion_date: str | None = None) -> DataFrame:
-    """Rows of one ingestion date, pruned to its partitions, or all rows."""
-    df = read_or_empty(spark, f"{root}/{source}", SCHEMAS[source], "parquet")
-    return df if ingestion_date is None else df.where(F.col("ingestion_date") == ingestion_date)
+    """Rows of one ingestion date, of which nothing but its folder is listed, or all rows."""
+    path = f"{root}/{source}"
+    return read_or_empty(
+        spark, path if ingestion_date is None else _day_folder(root, source, ingestion_date), SCHEMAS[source], "parquet",
+        basePath=path)

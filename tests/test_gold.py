@@ -43,8 +43,8 @@ def golden(spark):
         "trend_score": F.col("trend_normalized"), "processed_date": F.lit(AS_OF).cast("date"),
     }))
     history = spark.createDataFrame(
-        [(b, i, 45.0, 41) for b, _, _, _, i in GOLDEN if i is not None],
-        "brand_name string, last_week_index double, last_week_sentiment double, last_week_trend bigint"
+        [(b, c, t, i, 45.0, 41) for b, c, t, _, i in GOLDEN if i is not None],
+        "brand_name string, category string, brand_type string, last_week_index double, last_week_sentiment double, last_week_trend bigint"
     ).withColumn("last_week_label", labels.health_label(F.col("last_week_index")))
     return G.week_over_week(labelled, history)
 
@@ -133,6 +133,14 @@ def test_latest_grain_has_one_row_per_brand(spark):
     assert listed_without_price.brand_health_index is None and listed_without_price.health_label == "AT_RISK"
 
 
+def test_a_brand_in_two_categories_keeps_both_rows(spark):
+    news, trends, stocks = silver(spark, NEWS, TRENDS, STOCKS)
+    other = news.where("brand_name = 'A' and news_date < '2026-03-21'").withColumn("category", F.lit("d"))
+    gold = G.brand_health(news.unionByName(other), trends, stocks, AS_OF)
+    got = {(r.category, r.brand_type): r.trend_score for r in gold.where("brand_name = 'A'").collect()}
+    assert got == {("c", "listed"): 21, ("d", "listed"): None}
+
+
 def test_all_grain_multiplies_and_its_size_is_known_before(spark):
     tables = silver(spark, NEWS[:2], TRENDS[:3], STOCKS)
     assert G.join_sources(*tables, AS_OF, grain="all").count() == 12
@@ -152,8 +160,8 @@ def test_first_run_has_no_comparison(spark):
 
 def test_brand_missing_from_history_is_stable(spark):
     tables = silver(spark, NEWS, TRENDS, STOCKS)
-    history = spark.createDataFrame([("A", 20.0, "AT_RISK", 50.0, 30), ("A", 99.0, "STRONG", 50.0, 30),
-                                     ("P", 48.0, "WEAK", 21.5, None)], schemas.LAST_WEEK)
+    history = spark.createDataFrame([("A", "c", "listed", 20.0, "AT_RISK", 50.0, 30), ("A", "c", "listed", 99.0, "STRONG", 50.0, 30),
+                                     ("P", "c", "private", 48.0, "WEAK", 21.5, None)], schemas.LAST_WEEK)
     gold = G.brand_health(*tables, AS_OF, history)
     got = {r.brand_name: tuple(r) for r in gold.select("brand_name", *G.WOW_COLUMNS).collect()}
     assert gold.count() == 3  # duplicated history does not multiply

@@ -255,3 +255,12 @@ def test_size_check_bounds_rows_and_bytes(spark):
     assert is_small(df, 100) and not is_small(df, 99) and not is_small(df, 100, 50)
     assert is_small(df.where("false"))
     assert broadcast_if_small(df, 99) is df
+
+
+def test_the_kept_row_does_not_depend_on_the_columns(spark):
+    df = spark.createDataFrame([("k", 1, s, h) for s, h in [("z", "a"), ("a", "b"), ("m", "c"), ("b", None)]],
+                               "k string, t int, s string, h string")
+    whole = R.dedupe(df, ["k"], ["t"], ties=["s", "h"]).first()
+    for columns in (["s"], ["h"], ["h", "s"]):
+        row = R.dedupe(df, ["k"], ["t"], columns, ["s", "h"]).first()
+        assert all(row[c] == whole[c] for c in columns) and "_tie" not in row.asDict()

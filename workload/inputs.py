@@ -88,20 +88,19 @@ class Inputs:
     def news_bronze(self) -> DataFrame:
         """One article per document, in the order of ``doc_id``; the headline is the whole text.
 
-        Very short texts have no headline, some others no readable date.  Articles land
+        Blank texts have no headline, texts with a run of number signs no readable date.  Articles land
         on their day, so every landing day has rows.
         """
-        n = F.col("n_chars")
         day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
         keyed = self.table("documents").withColumn("k", (hash_number(F.col("text")) % BRANDS + 1).cast("int"))
         return keyed.withColumns(brand_columns(F.col("k"))).select(
             "brand_name", "brand_type", "category",
             F.when(F.col("k") <= LISTED, F.concat(F.lit("T"), F.col("k").cast("string"))).alias("ticker"),
             F.col("source").alias("search_term"),
-            F.when(n >= 20, F.col("text")).alias("headline"),
+            F.when(F.trim("text") != "", F.col("text")).alias("headline"),
             F.col("source").alias("source_name"),
             F.concat(F.lit("u"), F.md5("text")).alias("url"),
-            F.when((n >= 20) & (n < 60), F.lit("unknown")).otherwise(
+            F.when(F.contains("text", F.lit("###")), F.lit("unknown")).otherwise(
                 F.date_format(day, "yyyy-MM-dd'T12:00:00Z'")
             ).alias("published_at"),
             F.concat(
@@ -110,6 +109,21 @@ class Inputs:
             "lang",
         )
 
+    @cached_property
+    def news_tied(self) -> DataFrame:
+        """The articles under a hundred urls, brands by their order: many texts of a url are loaded at the same time."""
+        k = (F.col("doc_id") % BRANDS + 1).cast("int")
+        day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd")
+        return self.table("documents").withColumn("k", k).withColumns(brand_columns(F.col("k"))).select(
+            "brand_name", "brand_type", "category",
+            F.when(F.col("k") <= LISTED, F.concat(F.lit("T"), F.col("k").cast("string"))).alias("ticker"),
+            F.when(F.trim("text") != "", F.col("text")).alias("headline"),
+            F.col("source").alias("source_name"),
+            F.concat(F.lit("u"), (F.col("doc_id") % 100).cast("string")).alias("url"),
+            F.concat(day, F.lit("T12:00:00Z")).alias("published_at"),
+            day.alias("ingested_at"),
+        )
+
     @cached_property
     def payloads(self) -> DataFrame:
         """One response per document: the brand's answer for a source, one article per line of the text.

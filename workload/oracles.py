@@ -40,8 +40,8 @@ VIEWS: dict[str, str] = {
                + ", ".join(f"('{t}', {v})" for t, v in LEXICON) + ") v(term, valence)",
     "news_bronze": f"""
         SELECT {brand('k')}, CASE WHEN k <= {LISTED} THEN 'T' || k END AS ticker, source AS search_term,
-               CASE WHEN n_chars >= 20 THEN text END AS headline, source AS source_name, 'u' || md5(text) AS url,
-               CASE WHEN n_chars >= 20 AND n_chars < 60 THEN 'unknown'
+               CASE WHEN trim(text) <> '' THEN text END AS headline, source AS source_name, 'u' || md5(text) AS url,
+               CASE WHEN contains(text, '###') THEN 'unknown'
                     ELSE strftime({DOC_DAY}, '%Y-%m-%d') || 'T12:00:00Z' END AS published_at,
                strftime({DOC_DAY}, '%Y-%m-%d') || 'T' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS ingested_at, lang
         FROM (SELECT *, {HASHED_BRAND} AS k FROM documents)""",
@@ -97,8 +97,21 @@ VIEWS: dict[str, str] = {
     "news_complete": """
         SELECT * FROM news_standard WHERE headline IS NOT NULL AND brand_name IS NOT NULL AND url IS NOT NULL""",
     "news_clean": """
-        SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url, brand_name ORDER BY ingested_at) AS rn
-        FROM news_complete) WHERE rn = 1""",
+        SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url, brand_name
+        ORDER BY ingested_at, published_at) AS rn FROM news_complete) WHERE rn = 1""",
+    "tied_articles": f"""
+        SELECT {brand('k')}, source AS source_name, text AS headline, 'u' || (doc_id % 100) AS url,
+               CASE WHEN k <= {LISTED} THEN 'T' || k END AS ticker, strftime({DOC_DAY}, '%Y-%m-%d') AS ingested_at,
+               strftime({DOC_DAY}, '%Y-%m-%d') || 'T12:00:00Z' AS published_at
+        FROM (SELECT *, doc_id % {BRANDS} + 1 AS k FROM documents)""",
+    "tied_clean": """
+        SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url, brand_name
+        ORDER BY ingested_at, published_at, md5(concat_ws('|', category, brand_type, coalesce(ticker, '~'), source_name, headline)))
+        AS rn FROM tied_articles WHERE trim(headline) <> '') WHERE rn = 1""",
+    "tied_scores": """
+        SELECT c.url, c.brand_name, sum(coalesce(valence, 0)) AS s
+        FROM (SELECT url, brand_name, unnest(list_concat([''], regexp_extract_all(lower(headline), '[a-z]+'))) AS term FROM tied_clean) c
+        LEFT JOIN lexicon USING (term) GROUP BY 1, 2""",
     "hits": """
         SELECT url, brand_name, sum(valence) AS s
         FROM (SELECT url, brand_name, unnest(regexp_extract_all(lower(headline), '[a-z]+')) AS term FROM news_clean)
@@ -160,8 +173,8 @@ def silver_stocks(bars: str) -> str:
 
 
 def latest(view: str, date: str, day: str) -> str:
-    return f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY {date} DESC)
-        AS rn FROM {view} WHERE {date} <= '{day}') WHERE rn = 1)"""
+    return f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY brand_name, category, brand_type
+        ORDER BY {date} DESC) AS rn FROM {view} WHERE {date} <= '{day}') WHERE rn = 1)"""
 
 
 def joined(day: str) -> str:
@@ -280,6 +293,9 @@ _BODIES: dict[str, str] = {
                'newsapi' AS pipeline_source, 'bronze' AS data_layer
         FROM first_seen JOIN brands USING (brand_name)""",
     "news_drop_removed": "SELECT brand_name, search_term, term_pos, article_pos, headline, url FROM titled",
+    "article_id": """
+        SELECT url, published_at,
+               CAST('0x' || left(md5(url || ' ' || coalesce(published_at, '')), 15) AS BIGINT) AS article_id FROM news_bronze""",
     "article_id_uniqueness": """
         SELECT brand_name, count(*) AS n_articles, count(DISTINCT url || ' ' || published_at) AS n_ids
         FROM news_bronze GROUP BY brand_name""",
@@ -333,11 +349,16 @@ _BODIES: dict[str, str] = {
         FROM trends_silver WHERE trend_date = '{SCAN_DAY}'""",
     "gold_roundtrip": f"SELECT {GOLD_COLUMNS} FROM gold",
     "history_scan": """
-        SELECT brand_name, brand_health_index AS last_week_index, health_label AS last_week_label,
+        SELECT brand_name, category, brand_type, brand_health_index AS last_week_index, health_label AS last_week_label,
                sentiment_normalized AS last_week_sentiment, trend_normalized AS last_week_trend FROM before""",
     "stage_counts": " UNION ALL ".join(
         f"SELECT '{v}' AS stage, count(*) AS n_rows FROM {v}"
         for v in ("news_bronze", "news_clean", "stocks_bronze", "stocks_silver", "trends_bronze", "trends_silver")),
+    "silver_rerun_corrected": """
+        SELECT brand_name, category, trend_date, trend_score FROM trends_silver WHERE brand_type = 'listed'""",
+    "news_dedup_ties": "SELECT brand_name, url, source_name, headline, ingested_at FROM tied_clean",
+    **dict.fromkeys(("news_scores_ties", "news_scores_ties_long"), f"""
+        SELECT brand_name, url, {rnd('s / sqrt(s * s + 15)', 6)} AS sentiment_score FROM tied_scores"""),
     "lowercase_columns": "SELECT brand_name, date, trend_score FROM trends_bronze",
     "news_standardize": "SELECT * FROM news_standard",
     "news_filter_nulls": "SELECT brand_name, url, headline, published_at FROM news_complete",

@@ -181,15 +181,25 @@ def silver_roundtrip(i: Inputs) -> DataFrame:
     """A repeated run replaces its own partitions."""
     root = shared_folder(i.spark, "silver")
     for _ in range(2):
-        silver.write_silver(i.trends_silver, root, "trends")
+        silver.write_silver(i.trends_silver, root, "trends", AS_OF)
     return silver.read_silver(i.spark, root, "trends").drop("ingested_at")
 
 
+@query
+def silver_rerun_corrected(i: Inputs) -> DataFrame:
+    """A second run of the day without the private brands leaves nothing of them."""
+    root = shared_folder(i.spark, "silver")
+    for rows in (i.trends_silver, i.trends_silver.where("brand_type = 'listed'")):
+        silver.write_silver(rows, root, "trends", AS_OF)
+    return silver.read_silver(i.spark, root, "trends", AS_OF).select("brand_name", "category", "trend_date", "trend_score")
+
+
 @query
 def silver_scan_by_ingestion(i: Inputs) -> DataFrame:
     root = shared_folder(i.spark, "silver")
     daily = i.trends_silver.withColumn("ingestion_date", F.col("trend_date"))
-    silver.write_silver(daily, root, "trends", partitions=["ingestion_date"])
+    for day in (SCAN_DAY, LAST_WEEK):
+        silver.write_silver(daily.where(F.col("ingestion_date") == day), root, "trends", day)
     return silver.read_silver(i.spark, root, "trends", SCAN_DAY).select(
         "brand_name", "category", "trend_date", "trend_score", "trend_zscore", "ingestion_date"
     )
@@ -260,6 +270,25 @@ def _scored(i: Inputs) -> DataFrame:
     return N.score(N.clean(i.news_bronze, N.SCORED_COLUMNS), i.lexicon)
 
 
+@query
+def news_dedup_ties(i: Inputs) -> DataFrame:
+    """Many texts of a url loaded at the same time: the kept one does not depend on the columns asked for."""
+    return N.clean(i.news_tied, ["source_name", "headline", "ingested_at"]).select(
+        "brand_name", "url", "source_name", "headline", "ingested_at")
+
+
+@query
+def news_scores_ties(i: Inputs) -> DataFrame:
+    scored = N.score(N.clean(i.news_tied, N.SCORED_COLUMNS), i.lexicon)
+    return rounded(scored.select("brand_name", "url", "sentiment_score"), "sentiment_score")
+
+
+@query
+def news_scores_ties_long(i: Inputs) -> DataFrame:
+    """The same in the other order of work."""
+    return rounded(N.score_before_dedupe(i.news_tied, i.lexicon).select("brand_name", "url", "sentiment_score"), "sentiment_score")
+
+
 @query
 def sentiment_before_dedupe(i: Inputs) -> DataFrame:
     scored = N.score_before_dedupe(i.news_bronze, i.lexicon)
