@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmart.llm.batches import bound_batches
+
 END = "</w>"
 # The pre-tokenizer's pattern, with Unicode's white space spelled out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -292,4 +294,5 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(spelled.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_column).alias("doc_id"), encoded(F.col(text_column)).alias("_e")).select("doc_id", "_e.*")

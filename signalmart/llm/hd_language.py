@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalmart.llm.batches import bound_batches
+
 UNKNOWN = "und"
 DIMENSIONS = 1024
 ORDER = 3
@@ -31,8 +33,8 @@ SEED = 20_011
 # A word boundary is a letter of its own.
 GAP = 0x20
 # Characters of text that are worked on at once, and n-grams whose vectors a worker remembers.
-CHUNK = 400_000
-REMEMBERED = 16_000
+CHUNK = 200_000
+REMEMBERED = 8_000
 # Code points take 21 bits, three of them an int64.
 BITS = 21
 
@@ -169,6 +171,7 @@ def learn(docs: DataFrame, text: Column, lang: Column, dimensions: int = DIMENSI
                     vector += n * vectors.build(gram).astype(np.int64)
                 yield pd.DataFrame({"lang": code, "place": np.arange(dimensions), "value": vector})
 
+    bound_batches(docs.sparkSession)
     counted = docs.select(lang.alias("_lang"), text.alias("_text")).where("_lang is not null and _text is not null") \
         .mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Whole numbers, so the order of summation does not matter; one vector per language comes to the driver.

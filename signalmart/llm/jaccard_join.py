@@ -36,6 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalmart.llm.batches import bound_batches
 from signalmart.llm.components import components
 from signalmart.llm.shingles import mix, shingle_set
 from signalmart.operators.sizing import broadcast_if_small
@@ -402,6 +403,7 @@ def linked(
 ) -> DataFrame:
     """``doc_id, text_hash, n_shingles, owner, component_id``: every document with its component of linked documents."""
     threshold = Threshold(percent)
+    bound_batches(docs.sparkSession)
     counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, words))
     sketches = stage("join-sketches")(sketch(docs, words, threshold, counts))
     met = stage("join-meetings")(meetings(sketches, threshold, crowd))

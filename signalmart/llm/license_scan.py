@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmart.llm.batches import bound_batches
+
 # Wordings of public licenses and their usual notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -126,6 +128,7 @@ def scan_documents(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) ->
         for batch in batches:
             yield pd.Series([[dict(zip(names, row)) for row in scanner.scan(text)] for text in batch], dtype=object)
 
+    bound_batches(docs.sparkSession)
     keyword = rf"(?i)(?<![a-z0-9])({'|'.join(KEYWORDS)})(?![a-z0-9])"
     found = docs.select("doc_id", "text").where(F.col("text").rlike(keyword)).select(
         "doc_id", F.explode(blocks("text")).alias("_b"))

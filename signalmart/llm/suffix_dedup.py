@@ -35,14 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmart.llm.batches import bound_batches
 from signalmart.llm.shingles import BASE, INVERSE, mix
 from signalmart.sources.shared import stage
 
 LENGTH = 100
 # Bytes of text whose places are computed at once, entries of a run, entries one merge holds, entries that share an anchor.
 CHUNK_BYTES = 1 << 20
-RUN_ENTRIES = 200_000
-MERGE_ENTRIES = 500_000
+RUN_ENTRIES = 100_000
+MERGE_ENTRIES = 250_000
 GROUP_ENTRIES = 20_000
 VALUE = np.random.default_rng(77_003).integers(1, 2**63, 256, dtype=np.uint64)
 PLACE = np.uint64(2**31 - 1)
@@ -498,6 +499,7 @@ def crowded_spans(rows: DataFrame, sampling: Sampling) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ENTRIES) -> DataFrame:
     """``doc_id, text_hash, start, stop``: bytes covered by a string that starts earlier too; spans may overlap."""
     sampling = Sampling(length)
+    bound_batches(docs.sparkSession)
     found = stage("suffix-places")(repeated(sampled(docs, sampling)))
     partitions = max(1, -(-found.count() // MERGE_ENTRIES))
     places = found.groupBy("doc").agg(F.collect_list("place").alias("places"))
