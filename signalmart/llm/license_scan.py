@@ -71,11 +71,19 @@ class Scanner:
                 " ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for name, words in self.words.items()}
 
-    def ranked(self, block: str) -> list[tuple[int, str]]:
-        """Templates by the bytes they save, most first."""
-        data = block.encode()
-        alone = len(self.plain.compress(data))
-        return sorted(((alone - len(c.compress(data)), name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def ranked(self, words: list[str], at: int, low: int) -> list[tuple[int, str]]:
+        """Bytes saved and names of the templates, by the share of the block that they save.
+
+        A short template is asked about a short block: the words around ``at`` that it could cover, from ``low`` on.
+        """
+        out = []
+        for name, compressor in self.given.items():
+            reach = min(AROUND, len(self.words[name]))
+            data = " ".join(words[max(low, at - reach):at + reach + 1]).encode()
+            alone = len(self.plain.compress(data))
+            saved = alone - len(compressor.compress(data))
+            out.append((-saved / alone, name, saved))
+        return [(saved, name) for _, name, saved in sorted(out)]
 
     def align(self, words: list[str], at: int, name: str) -> tuple[int, int, int, list[str], list[str]]:
         """Differences between a template and the words around ``at``, and where the template lies."""
@@ -103,9 +111,8 @@ class Scanner:
         for at, word in enumerate(words):
             if at < reached or word not in KEYWORDS:
                 continue
-            block = " ".join(words[max(reached, at - AROUND):at + AROUND + 1])
             best = None
-            for saved, name in self.ranked(block)[:ALIGNED]:
+            for saved, name in self.ranked(words, at, reached)[:ALIGNED]:
                 differences, start, stop, missing, extra = self.align(words, at, name)
                 size = len(self.words[name])
                 key = (100 * differences > MOST_DIFFERENT_PERCENT * size, differences / size, -size, name)
