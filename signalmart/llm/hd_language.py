@@ -33,8 +33,8 @@ SEED = 20_011
 # A word boundary is a letter of its own.
 GAP = 0x20
 # Characters of text that are worked on at once, and n-grams whose vectors a worker remembers.
-CHUNK = 200_000
-REMEMBERED = 8_000
+CHUNK = 100_000
+REMEMBERED = 6_000
 # Code points take 21 bits, three of them an int64.
 BITS = 21
 

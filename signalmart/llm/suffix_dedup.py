@@ -41,10 +41,10 @@ from signalmart.sources.shared import stage
 
 LENGTH = 100
 # Bytes of text whose places are computed at once, entries of a run, entries one merge holds, entries that share an anchor.
-CHUNK_BYTES = 1 << 20
-RUN_ENTRIES = 100_000
-MERGE_ENTRIES = 250_000
-GROUP_ENTRIES = 20_000
+CHUNK_BYTES = 1 << 18
+RUN_ENTRIES = 50_000
+MERGE_ENTRIES = 120_000
+GROUP_ENTRIES = 10_000
 VALUE = np.random.default_rng(77_003).integers(1, 2**63, 256, dtype=np.uint64)
 PLACE = np.uint64(2**31 - 1)
 FIRST_ID = -(2**63)
