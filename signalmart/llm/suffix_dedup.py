@@ -17,7 +17,9 @@ entries are compared from there on and never before.  Equal entries of different
 
 *Partial repeats.*  Entries that share the anchor's bytes but differ further out can still share some strings.
 Sorting both sides bounds which strings those can be; just those are looked up, whole, by content.
-Where more than ``most`` entries share an anchor, Spark groups their strings instead.
+Anchors with more than ``most`` places are told before runs are made, by counting hashes.  Their entries are in no merge of
+runs: tasks drop what repeats among a few of them.  Where at most ``most`` entries of an anchor are left, those are compared
+by themselves; else Spark groups their strings by content.
 
 Null text: empty.  Null ids come first.  Rows that repeat id and text are one document and get the same answer; rows
 that share just the id come in the order of a hash of their text.  An empty table gives no rows.
@@ -37,19 +39,25 @@ from pyspark.sql import functions as F
 
 from signalmart.llm.batches import bound_batches
 from signalmart.llm.shingles import BASE, INVERSE, mix
+from signalmart.operators.sizing import broadcast_if_small
 from signalmart.sources.shared import stage
 
 LENGTH = 100
-# Bytes of text whose places are computed at once, entries of a run, entries one merge holds, entries that share an anchor.
+# Bytes of text whose places are computed at once, entries of a run, entries one merge holds, places that share an anchor,
+# and entries of crowded anchors whose strings are compared at once.
 CHUNK_BYTES = 1 << 18
 RUN_ENTRIES = 50_000
 MERGE_ENTRIES = 120_000
 GROUP_ENTRIES = 10_000
+CROWD_ENTRIES = 1_000
 VALUE = np.random.default_rng(77_003).integers(1, 2**63, 256, dtype=np.uint64)
 PLACE = np.uint64(2**31 - 1)
 FIRST_ID = -(2**63)
 MARK = 2**62
-SPANS = "kind int, doc_id long, text_hash long, start long, stop long, right binary, left binary"
+SPANS = "doc_id long, text_hash long, start long, stop long"
+# What a row of ``runs`` is: a run of that partition, a span, or an entry of a crowded anchor.
+SPAN, CROWDED = -1, -2
+RUNS = f"partition long, run binary, {SPANS}, anchor long, right binary, left binary, offsets array<int>"
 
 
 @dataclass(frozen=True)
@@ -187,7 +195,7 @@ def sampled(docs: DataFrame, sampling: Sampling) -> DataFrame:
 
 
 def repeated(anchor_rows: DataFrame) -> DataFrame:
-    """``doc, place`` of the anchors whose hash is there more than once.
+    """``hash, doc, place`` of the anchors whose hash is there more than once.
 
     Anchors known to repeat are dealt by their place, so that none of the tasks gets all of a frequent one; the mark
     that stands for them goes where their hash belongs.
@@ -207,14 +215,23 @@ def repeated(anchor_rows: DataFrame) -> DataFrame:
             again = bool(same[-1]) if len(same) else again
             held = batch.iloc[-1:]
             rows = batch.iloc[found[:-1].nonzero()[0]]
-            yield pd.DataFrame({"doc": rows["doc"], "place": np.where(rows["place"] < 0, ~rows["place"], rows["place"])})
+            yield rows.assign(place=np.where(rows["place"] < 0, ~rows["place"], rows["place"]))
         if held is not None:
             last = int(held["place"].iloc[0])
             if last < 0 or again and last != MARK:
-                yield pd.DataFrame({"doc": held["doc"], "place": ~last if last < 0 else last})
+                yield held.assign(place=~last if last < 0 else last)
 
     dealt = F.when(F.col("place") < 0, F.xxhash64("doc", "place")).otherwise(F.col("hash"))
-    return anchor_rows.repartition(dealt).sortWithinPartitions("hash").mapInPandas(run, "doc long, place long")
+    return anchor_rows.repartition(dealt).sortWithinPartitions("hash").mapInPandas(run, "hash long, doc long, place long")
+
+
+def crowded_told(found: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """``doc, place`` with ``~place`` for anchors that more than ``most`` places have, and how many places are not of those."""
+    counts = stage("suffix-crowded")(found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    crowd = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = found.join(broadcast_if_small(counts.select("hash", F.lit(True).alias("_crowd"))), "hash", "left")
+    place = F.when(F.col("_crowd"), F.bitwise_not("place")).otherwise(F.col("place"))
+    return told.select("doc", place.alias("place")), found.count() - crowd
 
 
 def entries(body: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, sampling: Sampling) -> np.ndarray:
@@ -271,37 +288,88 @@ def _span(place: tuple[int, int, int], entry: bytes) -> tuple[int, int, int, int
     return place[0], place[1], place[2] - entry[-1] + 1, place[2] + entry[-2] - 1
 
 
-def _span_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "text_hash", "start", "stop"]).astype("int64")
-    return frame.assign(kind=np.int32(0), right=None, left=None)[[c.split()[0] for c in SPANS.split(", ")]]
+def open_strings(rows: np.ndarray, doc_id: np.ndarray, text_hash: np.ndarray, at: np.ndarray, anchor: np.ndarray,
+                 sampling: Sampling) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Spans of strings that come earlier among these entries, and the entries with the offsets of all other strings."""
+    right, left = rows[:, -2].astype(np.int64) - 1, rows[:, -1].astype(np.int64) - 1
+    low = sampling.length - right
+    counts = left - low + 1
+    who = np.repeat(np.arange(len(rows)), counts)
+    o = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts - low, counts)
+    start = at[who] - o
+    by_place = np.lexsort((start, text_hash[who], doc_id[who]))
+    who, o, start = who[by_place], o[by_place], start[by_place]
+    ahead = np.arange(sampling.length)
+    content = np.empty((len(who), sampling.length + 1), dtype=np.uint8)
+    content[:, :-1] = np.take(rows, who[:, None] * sampling.width + np.where(
+        ahead < o[:, None], sampling.length + ahead, ahead - o[:, None]))
+    content[:, -1] = o + 1
+    order = np.argsort(content.view(f"S{sampling.length + 1}").ravel(), kind="stable")
+    content = content[order]
+    first = np.ones(len(who), dtype=bool)
+    first[order[1:]] = (content[1:] != content[:-1]).any(axis=1)
+
+    again = np.flatnonzero(~first)
+    again = again[np.lexsort((start[again], who[again]))]
+    begins = np.ones(len(again), dtype=bool)
+    begins[1:] = (np.diff(who[again]) != 0) | (np.diff(start[again]) != 1)
+    head, tail = again[begins], again[np.append(begins[1:], True)[:len(again)]]
+    spans = pd.DataFrame({"doc_id": doc_id[who[head]], "text_hash": text_hash[who[head]],
+                          "start": start[head], "stop": start[tail] + sampling.length})
+
+    left_open = np.flatnonzero(first)
+    left_open = left_open[np.argsort(who[left_open], kind="stable")]
+    owners, cuts = np.unique(who[left_open], return_index=True)
+    kept = pd.DataFrame({
+        "doc_id": doc_id[owners], "text_hash": text_hash[owners], "start": at[owners],
+        "anchor": anchor[owners].view(np.int64),
+        "right": [rows[k, :right[k]].tobytes() for k in owners],
+        "left": [rows[k, sampling.length:sampling.length + left[k]].tobytes() for k in owners],
+        "offsets": np.split(o[left_open].astype(np.int32), cuts[1:])})
+    return spans, kept
 
 
 def runs(texts: DataFrame, partitions: int, sampling: Sampling) -> DataFrame:
-    """Front-coded runs (``partition, run``), and spans of what already repeats within a run."""
+    """Front-coded runs (``partition, run``), spans of what already repeats within a run, and entries of crowded anchors.
+
+    Places of crowded anchors are those below zero.
+    """
+    names = [c.split()[0] for c in RUNS.split(", ")]
+
+    def made(kind: int, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(partition=kind, **{c: 0 for c in ("stop",) if c not in frame})
+        return frame.assign(**{c: None for c in names if c not in frame})[names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = np.random.default_rng(5).integers(1, 2**63, sampling.anchor, dtype=np.uint64) | np.uint64(1)
 
         def sorted_run(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
-            rows, doc_id, text_hash, at = (np.concatenate(p) for p in zip(*parts))
+            rows, doc_id, text_hash, at, crowd = (np.concatenate(p) for p in zip(*parts))
             by_place = np.lexsort((at, text_hash, doc_id))
-            rows, doc_id, text_hash, at = rows[by_place], doc_id[by_place], text_hash[by_place], at[by_place]
+            rows, doc_id, text_hash, at, crowd = (x[by_place] for x in (rows, doc_id, text_hash, at, crowd))
             order = np.argsort(rows.view(f"S{sampling.width}").ravel(), kind="stable")
-            rows, doc_id, text_hash, at = rows[order], doc_id[order], text_hash[order], at[order]
+            rows, doc_id, text_hash, at, crowd = (x[order] for x in (rows, doc_id, text_hash, at, crowd))
             fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
             head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             other = ~fresh & ((doc_id != doc_id[head]) | (text_hash != text_hash[head]) | (at != at[head]))
             if other.any():
-                yield pd.DataFrame({
-                    "partition": -1, "run": None, "doc_id": doc_id[other], "text_hash": text_hash[other],
-                    "start": at[other] - rows[other, -1] + 1, "stop": at[other] + rows[other, -2] - 1})
+                yield made(SPAN, pd.DataFrame({
+                    "doc_id": doc_id[other], "text_hash": text_hash[other],
+                    "start": at[other] - rows[other, -1] + 1, "stop": at[other] + rows[other, -2] - 1}))
+            hashes = mix(rows[:, :sampling.anchor].astype(np.uint64) @ weights)
+            hot = np.flatnonzero(fresh & crowd)
+            for i in range(0, len(hot), CROWD_ENTRIES):
+                cut = hot[i:i + CROWD_ENTRIES]
+                spans, kept = open_strings(rows[cut], doc_id[cut], text_hash[cut], at[cut], hashes[cut], sampling)
+                yield made(SPAN, spans)
+                yield made(CROWDED, kept)
+            fresh &= ~crowd
             rows, doc_id, text_hash, at = rows[fresh], doc_id[fresh], text_hash[fresh], at[fresh]
-            dealt = mix(rows[:, :sampling.anchor].astype(np.uint64) @ weights) % np.uint64(partitions)
-            made = []
+            dealt = hashes[fresh] % np.uint64(partitions)
             for p in np.unique(dealt).tolist():
                 own = dealt == p
-                made.append((p, _pack_run(rows[own], doc_id[own], text_hash[own], at[own]), 0, 0, 0, 0))
-            yield pd.DataFrame(made, columns=["partition", "run", "doc_id", "text_hash", "start", "stop"])
+                yield made(p, pd.DataFrame({"run": [_pack_run(rows[own], doc_id[own], text_hash[own], at[own])],
+                                            "doc_id": 0, "text_hash": 0, "start": 0}))
 
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
@@ -314,12 +382,14 @@ def runs(texts: DataFrame, partitions: int, sampling: Sampling) -> DataFrame:
                 packed = np.concatenate([np.asarray(p, dtype=np.int64) for p in places])
                 owner = np.repeat(np.arange(first, last), counts)
                 begin = np.concatenate([[0], stops])[owner - first]
+                crowd = packed < 0
+                packed = np.where(crowd, ~packed, packed)
                 at, low, high = packed >> 24, (packed >> 12) & 4_095, packed & 4_095
                 ids, hashes = batch["doc_id"].to_numpy()[owner], batch["text_hash"].to_numpy()[owner]
                 for i in range(0, len(at), RUN_ENTRIES):
                     cut = slice(i, i + RUN_ENTRIES)
                     rows = entries(body, (at + begin)[cut], low[cut], sampling.length - high[cut], sampling)
-                    held.append((rows, ids[cut], hashes[cut], at[cut]))
+                    held.append((rows, ids[cut], hashes[cut], at[cut], crowd[cut]))
                     n += len(rows)
                     if n >= RUN_ENTRIES:
                         yield from sorted_run(held)
@@ -327,8 +397,7 @@ def runs(texts: DataFrame, partitions: int, sampling: Sampling) -> DataFrame:
         if n:
             yield from sorted_run(held)
 
-    return texts.select("doc_id", "text_hash", "text", "places").mapInPandas(
-        run, "partition long, run binary, doc_id long, text_hash long, start long, stop long")
+    return texts.select("doc_id", "text_hash", "text", "places").mapInPandas(run, RUNS)
 
 
 def merged(sources: list[Iterator], width: int) -> Iterator[tuple[bytes, int, tuple[int, int, int]]]:
@@ -430,22 +499,16 @@ def shared_strings(group: list[tuple[bytes, tuple[int, int, int]]], ahead: list[
         yield doc_id, text_hash, begin, end + length
 
 
-def merge_spans(parts: DataFrame, sampling: Sampling, most: int = GROUP_ENTRIES) -> DataFrame:
-    """Spans (kind 0) from all runs of each partition, and entries of crowded anchors (kind 1)."""
-    names = [c.split()[0] for c in SPANS.split(", ")]
+def merge_spans(parts: DataFrame, sampling: Sampling) -> DataFrame:
+    """Spans from all runs of each partition; no anchor has more entries there than ``crowded_told`` lets through."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         spans: list[tuple] = []
-        crowded: list[tuple] = []
         group: list[tuple[bytes, tuple[int, int, int]]] = []
         ahead: list[int] = []
-        crowd = False
-
-        def leave(e: bytes, place: tuple[int, int, int]) -> None:
-            crowded.append((1, *place[:2], place[2], 0, e[:e[-2] - 1], e[sampling.length:sampling.length + e[-1] - 1]))
 
         def close() -> None:
-            if not crowd and len(group) > 1:
+            if len(group) > 1:
                 spans.extend(shared_strings(group, ahead, sampling))
             group.clear()
             ahead.clear()
@@ -460,33 +523,50 @@ def merge_spans(parts: DataFrame, sampling: Sampling, most: int = GROUP_ENTRIES)
             leader = place
             if shared < sampling.anchor:
                 close()
-                crowd = False
-            if crowd:
-                leave(e, place)
-                continue
             group.append((e, place))
             ahead.append(shared)
-            if len(group) > most:
-                crowd = True
-                for member in group:
-                    leave(*member)
-                group.clear()
-                ahead.clear()
         close()
-        frame = _span_frame(spans)
-        if crowded:
-            frame = pd.concat([frame, pd.DataFrame(crowded, columns=names).astype({"kind": "int32"})], ignore_index=True)
-        return frame
+        return pd.DataFrame(spans, columns=["doc_id", "text_hash", "start", "stop"]).astype("int64")
 
     return parts.groupBy("partition").applyInPandas(run, SPANS)
 
 
+def entry_spans(rows: DataFrame, sampling: Sampling) -> DataFrame:
+    """The same spans for the entries of anchors that have few: each anchor's are compared by themselves."""
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        both = sorted((right.ljust(sampling.length, b"\0") + left.ljust(sampling.reach, b"\0") + bytes([len(right) + 1, len(left) + 1]), place)
+                      for right, left, *place in found[["right", "left", "doc_id", "text_hash", "start"]].itertuples(index=False))
+        spans: list[tuple] = []
+        group: list[tuple[bytes, tuple[int, int, int]]] = []
+        ahead: list[int] = []
+        for e, place in both:
+            last, i = group[-1][0] if group else b"", 0
+            if e == last:
+                spans.append(_span(place, e))
+                continue
+            while i < len(last) and e[i] == last[i]:
+                i += 1
+            if i < sampling.anchor:
+                spans.extend(shared_strings(group, ahead, sampling))
+                group, ahead = [], []
+            group.append((e, tuple(place)))
+            ahead.append(i)
+        spans.extend(shared_strings(group, ahead, sampling))
+        return pd.DataFrame(spans, columns=["doc_id", "text_hash", "start", "stop"]).astype("int64")
+
+    return rows.groupBy("anchor").applyInPandas(run, SPANS)
+
+
 def crowded_spans(rows: DataFrame, sampling: Sampling) -> DataFrame:
-    """The same spans for entries of crowded anchors: their strings, grouped by content in Spark."""
+    """The same spans for entries of crowded anchors: their open strings, grouped by content in Spark.
+
+    A string that many entries share comes once from each ``CROWD_ENTRIES`` of a run, not from every entry.
+    """
     length = sampling.length
     strings = rows.select(
         "doc_id", "text_hash", F.col("start").alias("at"), "right", "left",
-        F.explode(F.sequence(length - F.octet_length("right"), F.octet_length("left"))).alias("o"),
+        F.explode("offsets").alias("o"),
     ).select("doc_id", "text_hash", (F.col("at") - F.col("o")).alias("start"), F.concat(
         F.unhex(F.lpad(F.hex(F.col("o").cast("long")), 4, "0")), F.expr("substring(left, 1, o)"),
         F.expr(f"substring(right, 1, {length} - o)")).alias("content"))
@@ -501,13 +581,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ENTR
     sampling = Sampling(length)
     bound_batches(docs.sparkSession)
     found = stage("suffix-places")(repeated(sampled(docs, sampling)))
-    partitions = max(1, -(-found.count() // MERGE_ENTRIES))
-    places = found.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    told, ordinary = crowded_told(found, most)
+    partitions = max(1, -(-ordinary // MERGE_ENTRIES))
+    places = told.groupBy("doc").agg(F.collect_list("place").alias("places"))
     made = stage("suffix-runs")(runs(_documents(docs).join(places, "doc"), partitions, sampling))
-    whole = made.where("partition < 0").select("doc_id", "text_hash", "start", "stop")
-    spans = stage("suffix-spans")(merge_spans(made.where("partition >= 0").select("partition", "run"), sampling, most))
-    crowded = spans.where("kind = 1")
-    return whole.unionByName(spans.where("kind = 0").select(*whole.columns)).unionByName(crowded_spans(crowded, sampling))
+    columns = ["doc_id", "text_hash", "start", "stop"]
+    spans = stage("suffix-spans")(merge_spans(made.where("partition >= 0").select("partition", "run"), sampling))
+    crowded = made.where(F.col("partition") == CROWDED)
+    large = broadcast_if_small(stage("suffix-large")(
+        crowded.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most)).select("anchor"))
+    return made.where(F.col("partition") == SPAN).select(*columns).unionByName(spans).unionByName(
+        entry_spans(crowded.join(large, "anchor", "left_anti"), sampling)).unionByName(
+        crowded_spans(crowded.join(large, "anchor", "left_semi"), sampling))
 
 
 def _with_spans(docs: DataFrame, length: int, most: int) -> DataFrame:

@@ -175,6 +175,28 @@ def test_repeats_match_brute_force(spark, length, most):
     assert got == brute_repeats(texts, length)
 
 
+def test_a_phrase_between_different_words_is_in_no_merge(spark, monkeypatch):
+    """A phrase shorter than the strings gives one entry per document; a merge sees at most ``most`` of them."""
+    random.seed(8)
+    phrase = "all rights reserved, printed on paper of the same old mill"
+    noise = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(60, 150))) for _ in range(400)]
+    texts = [(k, noise[k] + phrase + noise[-k if k % 5 else 0]) for k in range(300)]
+    largest = []
+    merge = suffix_dedup.merge_spans
+
+    def watched(parts, sampling, *rest):
+        for rows in parts.toPandas().groupby("partition")["run"]:
+            entries = [e[:sampling.anchor] for data in rows[1] for e, _, _ in suffix_dedup._open_run(data, sampling.width)]
+            largest.append(max(entries.count(a) for a in set(entries)))
+        return merge(parts, sampling, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "merge_spans", watched)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {key(r.doc_id): tuple(r)[1:] for r in suffix_dedup.report(df, 100, 40).collect()}
+    assert got == brute_repeats(texts, 100)
+    assert max(largest) <= 40
+
+
 def test_repeats_of_odd_documents(documents, nothing):
     texts = {(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()}
     once = [r for r in texts if r[0] not in (None, 12)]
