@@ -170,11 +170,13 @@ def _known_repeats(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray,
 def sampled(docs: DataFrame, sampling: Sampling) -> DataFrame:
     """``hash, doc, place``: all anchors; ``place`` packs the anchor and the two offsets of its strings.
 
-    Anchors that repeat within a batch have ``~place``: they are known to repeat, whatever others have.
+    Anchors that repeat within a batch have ``~place``: they are known to repeat, whatever others have.  Rows of one document
+    count once in a batch; those of several batches give equal anchors, of which ``repeated_spans`` takes one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.drop_duplicates("doc")
             names, bodies = batch["doc"].to_numpy(), _bodies(batch["text"])
             found = []
             for first, last in _chunks(bodies):
@@ -583,8 +585,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ENTR
     found = stage("suffix-places")(repeated(sampled(docs, sampling)))
     told, ordinary = crowded_told(found, most)
     partitions = max(1, -(-ordinary // MERGE_ENTRIES))
-    places = told.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    made = stage("suffix-runs")(runs(_documents(docs).join(places, "doc"), partitions, sampling))
+    places = told.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    once = _documents(docs).dropDuplicates(["doc"])  # by tasks first, so that a row repeated often is in none of them often
+    made = stage("suffix-runs")(runs(once.join(places, "doc"), partitions, sampling))
     columns = ["doc_id", "text_hash", "start", "stop"]
     spans = stage("suffix-spans")(merge_spans(made.where("partition >= 0").select("partition", "run"), sampling))
     crowded = made.where(F.col("partition") == CROWDED)

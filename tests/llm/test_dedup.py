@@ -197,6 +197,27 @@ def test_a_phrase_between_different_words_is_in_no_merge(spark, monkeypatch):
     assert max(largest) <= 40
 
 
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_repeated_rows_are_sampled_once(spark, monkeypatch, doc_id):
+    """Many rows with one id and text are one document: its places come once, not once for each pair of rows."""
+    random.seed(9)
+    body = "".join(random.choice("abcdefgh ") for _ in range(2_000))
+    texts = [(doc_id, body)] * 60 + [(5, body[500:900] + "another ending"), (6, "short")]
+    handed = []
+    run = suffix_dedup.runs
+
+    def watched(rows, *rest):
+        handed.extend(len(r.places) for r in rows.select("places").collect())
+        return run(rows, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "runs", watched)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    rows = [(key(r.doc_id), tuple(r)[1:]) for r in suffix_dedup.report(df).collect()]
+    want = brute_repeats([(doc_id, body), *texts[60:]], 100)
+    assert len(rows) == 62 and all(found == want[i] for i, found in rows)
+    assert sum(handed) <= 2_000 / 10
+
+
 def test_repeats_of_odd_documents(documents, nothing):
     texts = {(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()}
     once = [r for r in texts if r[0] not in (None, 12)]
