@@ -239,7 +239,11 @@ LEAST_SCORE = 0.5
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents in a language that was recognised, with their own columns."""
+    """Documents that are not ``und``, with their own columns.
+
+    Once two languages are learnt no score is below 0.5, so ``LEAST_SCORE`` rejects nothing more: texts in a language
+    that was not learnt, and random letters, stay.
+    """
     profiles = learn(docs.where(~held_out()), F.col("text"), F.col("lang"))
     columns = [F.col(f"_d.`{c}`") for c in docs.columns]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), F.col("text").alias("_text"))
