@@ -9,7 +9,8 @@ that holds its contents.  Documents longer than the longest length are cut into
 The corpus is packed in parts of about ``PER_PART`` pieces, each on its own, sorted by Spark; a task holds
 one part's placements (never more than ``2 * PER_PART``, however the rows fall).
 
-A document's length is its words plus one end mark, so null and empty texts take one token.
+A document's length is its white-space words plus one end mark, so null and empty texts take one token.  These are not the
+tokens of a tokenizer: a text without spaces takes two, however long, and is never cut.
 Null ids and repeated rows are rows like any other.  An empty table gives no rows.
 """
 
