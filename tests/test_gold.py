@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import plan, rows, shape
+from helpers import plan, rows, shape
 from pyspark.sql import functions as F
 
 from signalmart import schemas

@@ -6,7 +6,7 @@ import statistics
 
 import pandas as pd
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ import datetime as dt
 import os
 
 import pytest
-from conftest import plan, rows, shape
+from helpers import plan, rows, shape
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

@@ -1,6 +1,6 @@
 """Landing of new files only."""
 
-from conftest import rows
+from helpers import rows
 
 from signalmart import schemas
 from signalmart.operators import landing as L
