@@ -133,6 +133,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         total.alias("_total"), (F.size("_hashes") + F.size("_pairs")).alias("_grams")), "_words", "_hashes", "_pairs")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     score = F.when(F.col("_grams") > 0, F.col("_total") / F.col("_grams")).otherwise(0.0)
-    return counted.select(
+    verdicts = counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         score.alias("score")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE))
+    # A filter on a verdict would be pushed below the steps above and repeat each of them inside itself; not so through a generator.
+    return verdicts.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")

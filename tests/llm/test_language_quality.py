@@ -116,3 +116,12 @@ def test_the_main_path_has_no_python(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     plan = quality.scored(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_verdicts_can_be_filtered(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    table = quality.scored(docs, labels)
+    rows = table.collect()
+    for condition, holds in (("kept", lambda r: r.kept), ("not base_failed", lambda r: not r.base_failed),
+                             ("n_repeat_words > 3", lambda r: r.n_repeat_words > 3)):
+        assert {r.doc_id for r in table.where(condition).collect()} == {r.doc_id for r in rows if holds(r)}
