@@ -8,15 +8,15 @@ and each bucket, largest first, takes the first displacement that puts all its k
 The hashes are broadcast with their keys, because a term that is not in the vocabulary has a slot as well: only comparing it with the stored key
 tells.
 
-*Second pass.*  Tasks count the terms of every (language, source) group and add them to the group's dense slots, so
-nothing but slot numbers and counts is shuffled.
+*Second pass.*  Tasks count the terms of every (language, source) group and add them to the group's dense slots.  What is shuffled
+are blocks of these slots, arrays of numbers; they are added up as they come in, one array at a time.
 
 *Bound.*  At most ``head_keys`` terms of ``head_bytes`` are broadcast, those in most documents, which are nearly all
 occurrences; a task holds at most ``DENSE`` slots and hands them on when it would need more.  Terms beyond the bound are
 counted in the same pass, shuffled as text and joined to the vocabulary, so the result is the same.
 
-Probabilities, distances and sums are integers.  Pairs of sources are compared in blocks of terms, all sources of a language
-side by side.
+Probabilities, distances and sums are integers.  Sources are compared block by block, all sources of a language side by
+side; the more sources, the fewer slots a block has.  A block hands on its first terms of each source and its sums.
 
 Null text, language and source are taken as empty.  Rows that repeat are documents of their own.  Groups without terms take
 part.  An empty table gives no rows.
@@ -48,10 +48,13 @@ HEAD_KEYS = 500_000
 HEAD_BYTES = 32 * 1024 * 1024
 SHARD_KEYS = 10_000
 BUCKET_KEYS = 4
-# Terms a task counts before it looks them up or hands them on, slots it holds, cells of a block of pairs.
-PENDING = 200_000
-DENSE = 4_000_000
+# Terms a task counts before it looks them up or hands them on, slots it holds, slots of a block, cells of a block with all sources.
+PENDING = 400_000
+DENSE = 8_000_000
+BLOCK = 4_096
 CELLS = 2_000_000
+# Counts beyond this need more than 64 bits on the way.
+LARGE = 2**63 // UNIT - 2
 SEED = 42  # of Spark's xxhash64
 STEP = np.uint64(0x9E37_79B9_7F4A_7C15)
 
@@ -230,17 +233,18 @@ def perfect_hash(head: DataFrame) -> tuple[PerfectHash, DataFrame]:
 
 # --- second pass -----------------------------------------------------------------------
 
-COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("slot", pa.int64()), ("term", pa.binary()), ("n", pa.int64())])
+BLOCKS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("block", pa.int32()), ("counts", pa.list_(pa.int64())),
+                    ("term", pa.binary()), ("n", pa.int64())])
+SUMS = "lang string, source string, block int, counts array<long>, term binary, n long"
 
 
 class Slots:
     """Dense counts of the groups a task sees; terms without a slot are kept by name where ``rest`` asks for them."""
 
-    def __init__(self, table: PerfectHash, rest: bool, pending: int = PENDING, dense: int = DENSE) -> None:
-        self.table, self.rest, self.most_pending, self.most_dense = table, rest, pending, dense
+    def __init__(self, table: PerfectHash, rest: bool, block: int = BLOCK, pending: int = PENDING, dense: int = DENSE) -> None:
+        self.table, self.rest, self.block, self.most_pending, self.most_dense = table, rest, block, pending, dense
         self.pending: dict[tuple[str, str], Counter] = {}
         self.dense: dict[tuple[str, str], np.ndarray] = {}
-        self.others: list[tuple] = []
 
     def add(self, lang: str, source: str, terms: list[bytes]) -> None:
         self.pending.setdefault((lang, source), Counter()).update(terms)
@@ -250,6 +254,7 @@ class Slots:
 
     def look_up(self) -> Iterator[pa.RecordBatch]:
         """Empty what is pending into the slots."""
+        others: list[tuple] = []
         for (lang, source), counter in self.pending.items():
             terms = list(counter)
             slots = self.table.find(lang, terms)
@@ -259,32 +264,60 @@ class Slots:
                 if (lang, source) not in self.dense:
                     size = self.table.langs[lang][3]
                     if size + sum(map(len, self.dense.values())) > self.most_dense:
-                        yield from self.rows()
+                        yield from self.blocks()
                     self.dense[lang, source] = np.zeros(size, dtype=np.int64)
                 self.dense[lang, source][slots[found]] += n[found]
             if self.rest:
-                self.others += [(lang, source, None, terms[k], int(n[k])) for k in np.flatnonzero(~found)]
+                others += [(lang, source, None, None, terms[k], int(n[k])) for k in np.flatnonzero(~found)]
         self.pending.clear()
-        if self.others:
-            yield self.batch(*zip(*self.others))
-            self.others.clear()
+        if others:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*others), BLOCKS)], schema=BLOCKS)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """Hand on the slots."""
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        """Hand on the slots, block by block."""
         for (lang, source), counts in self.dense.items():
-            used = np.flatnonzero(counts)
-            yield self.batch([lang] * len(used), [source] * len(used), used, [None] * len(used), counts[used])
+            numbers = [k for k in range(-(-len(counts) // self.block)) if counts[k * self.block:(k + 1) * self.block].any()]
+            parts = [counts[k * self.block:(k + 1) * self.block] for k in numbers]
+            if numbers:
+                yield block_rows(lang, source, numbers, parts)
         self.dense.clear()
 
-    @staticmethod
-    def batch(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTS)], schema=COUNTS)
+
+def block_rows(lang: str, source: str, numbers: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    n = len(numbers)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * n), pa.array([source] * n), pa.array(numbers, pa.int32()), lists, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())],
+        schema=BLOCKS)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the arrays of equal keys, which lie side by side."""
+    key, total = None, None
+    for batch in batches:
+        counts = batch.column(3)
+        ends, values = counts.offsets.to_numpy(), counts.values.to_numpy()
+        for k, this in enumerate(zip(*[batch.column(j).to_pylist() for j in range(3)])):
+            part = values[ends[k]:ends[k + 1]]
+            if this == key:
+                total = total + part
+            else:
+                if key is not None:
+                    yield block_rows(key[0], key[1], [key[2]], [total])
+                key, total = this, part
+    if key is not None:
+        yield block_rows(key[0], key[1], [key[2]], [total])
 
 
 def recount(
-    docs: DataFrame, kept: DataFrame, head_keys: int = HEAD_KEYS, head_bytes: int = HEAD_BYTES, pending: int = PENDING, dense: int = DENSE,
-) -> DataFrame:
-    """``lang, source, term, n``: occurrences of every kept term in every group that has it."""
+    docs: DataFrame, kept: DataFrame, head_keys: int = HEAD_KEYS, head_bytes: int = HEAD_BYTES, block: int = BLOCK, pending: int = PENDING,
+    dense: int = DENSE,
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Occurrences of every kept term in every group.
+
+    ``lang, source, block, counts`` for the terms with slots, ``lang, block, terms`` with their names, and
+    ``lang, source, term, n`` for the others, if there are any.
+    """
     spark = docs.sparkSession
     lowest = head_from(kept, head_keys, head_bytes)
     tail = kept.where(_power() < lowest)
@@ -293,55 +326,67 @@ def recount(
     shared = spark.sparkContext.broadcast(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Slots(shared.value, rest, pending, dense)
+        counts = Slots(shared.value, rest, block, pending, dense)
         for batch in batches:
             for lang, source, body in zip(*[column.to_pylist() for column in batch.columns]):
                 counts.add(lang, source, terms_of(body))
                 if counts.crowded():
                     yield from counts.look_up()
         yield from counts.look_up()
-        yield from counts.rows()
+        yield from counts.blocks()
 
-    found = plain(docs).mapInArrow(count, "lang string, source string, slot long, term binary, n long")
+    found = plain(docs).mapInArrow(count, SUMS)
     if rest:
         found = stage("recount")(found)
-    by_slot = found.where("slot is not null").groupBy("lang", "source", "slot").agg(F.sum("n").alias("n"))
-    named = by_slot.join(broadcast_if_small(slots), ["lang", "slot"]).select("lang", "source", "term", "n")
-    if rest:
-        by_name = found.where("slot is null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-        named = named.unionByName(by_name.join(tail.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"))
-    return stage("term-counts")(named)
+    keys = ["lang", "source", "block"]
+    parts = found.where("block is not null").repartition(*keys).sortWithinPartitions(*keys)
+    sums = stage("slot-counts")(parts.mapInArrow(_add_up, SUMS).select(*keys, "counts"))
+    placed = slots.withColumn("block", F.expr(f"cast(slot div {block} as int)"))
+    names = placed.groupBy("lang", "block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "term"))), lambda x: x["term"]).alias("terms"))
+    if not rest:
+        return sums, names, None
+    by_name = found.where("block is null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    named = by_name.join(tail.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
+    return sums, names, stage("term-counts")(named)
 
 
 # --- distances -------------------------------------------------------------------------
 
-def share(n: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(UNIT * (n + 1) / (total + terms))``; null for a language without terms."""
-    whole = F.call_function("div", F.lit(UNIT).cast("decimal(20,0)") * (n + 1).cast("decimal(18,0)"), F.nullif(total + terms, F.lit(0)).cast("decimal(20,0)"))
-    return whole + 1
-
-
-def _compare(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-    """Distances of all sources of a language over one block of its terms."""
-    names = sorted(sources["source"])
-    at = {name: k for k, name in enumerate(names)}
-    none = dict(zip(sources["source"], sources["none"]))
-    codes, terms = pd.factorize(rows["term"].map(bytes)) if len(rows) else (np.empty(0, int), [])
-    p = np.repeat(np.array([none[name] for name in names], dtype=np.int64)[:, None], len(terms), axis=1)
-    if len(rows):
-        p[rows["source"].map(at).to_numpy(), codes] = rows["p"].to_numpy()
+def shares(n: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """``1 + floor(UNIT * (n + 1) / total)``, exact."""
+    if n.size and n.max() > LARGE:
+        n, totals = n.astype(object), totals.astype(object)
+    return (UNIT * (n + 1) // totals + 1).astype(np.int64)
+
+
+def _compare(counts: np.ndarray, terms: list[bytes], groups: pd.DataFrame, ranks: int) -> pd.DataFrame:
+    """Distances of all sources of a language over some of its terms: rows of ``counts`` are the sources of ``groups``."""
+    names = groups["source"].tolist()
+    size, lang_total = int(groups["terms"].iat[0]), int(groups["lang_total"].iat[0])
     found = []
+    if terms:
+        p = shares(counts, (groups["total"].to_numpy() + size)[:, None])
+        q = shares(counts.sum(axis=0), np.array(lang_total + size))
+        over = np.where((counts > 0) & (p > q), (p - q) ** 2 // q, -1)
     for k, name in enumerate(names):
-        apart = p[k] - p
-        values = (apart * apart // p).sum(axis=1)
-        found += [(name, other, int(v)) for j, (other, v) in enumerate(zip(names, values)) if j != k]
-    out = pd.DataFrame(found, columns=["source", "item", "value"])
-    out.insert(0, "lang", sources["lang"].iat[0])
+        apart = ((p[k] - p) ** 2 // p).sum(axis=1) if terms else np.zeros(len(names), dtype=np.int64)
+        found += [(name, "pair", other, int(v)) for j, (other, v) in enumerate(zip(names, apart)) if j != k]
+        if terms:
+            values = over[k]
+            least = np.partition(values, len(values) - ranks)[len(values) - ranks] if len(values) > ranks else 0
+            first = sorted((-int(values[j]), terms[j]) for j in np.flatnonzero((values >= 0) & (values >= least)))
+            found += [(name, "term", term.decode("utf-8", "replace"), -v) for v, term in first[:ranks]]
+    out = pd.DataFrame(found, columns=["source", "part", "item", "value"])
+    out.insert(0, "lang", groups["lang"].iat[0])
     return out
 
 
+DISTANCES = "lang string, source string, part string, item string, value long"
+
+
 def audit(
-    docs: DataFrame, least: int = LEAST, ranks: int = RANKS, head_keys: int = HEAD_KEYS, head_bytes: int = HEAD_BYTES,
+    docs: DataFrame, least: int = LEAST, ranks: int = RANKS, head_keys: int = HEAD_KEYS, head_bytes: int = HEAD_BYTES, cells: int = CELLS,
 ) -> DataFrame:
     """``lang, source, part, item, value, rank``.
 
@@ -350,35 +395,58 @@ def audit(
     """
     bound_batches(docs.sparkSession)
     kept = stage("vocabulary")(vocabulary(docs, least))
-    counts = recount(docs, kept, head_keys, head_bytes)
-    of_lang = kept.groupBy("lang").agg(F.count("*").alias("terms"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = plain(docs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left")
-    groups = stage("audit-groups")(groups.fillna(0, ["total", "terms"]))
-    sizes = stage("audit-langs")(groups.groupBy("lang").agg(
-        F.sum("total").alias("lang_total"), F.first("terms").alias("terms"), F.count("*").alias("sources")).withColumn(
-        "blocks", F.greatest(F.lit(1), F.ceil(F.col("terms") * F.col("sources") / CELLS)).cast("int")))
-
-    priced = counts.join(broadcast_if_small(groups), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
-    priced = priced.select("lang", "source", "term", "n", "p").join(broadcast_if_small(sizes), "lang")
-
-    in_lang = F.sum("n").over(Window.partitionBy("lang", "term"))
-    apart = F.col("p") - F.col("q")
-    over = priced.withColumn("q", share(in_lang, F.col("lang_total"), F.col("terms"))).where("p > q").select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"),
-        F.call_function("div", apart * apart, F.col("q")).alias("value"))
-
-    none = F.coalesce(share(F.lit(0), F.col("total"), F.col("groups_terms")), F.lit(1))
-    dealt = priced.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
-    beside = groups.withColumnRenamed("terms", "groups_terms").join(broadcast_if_small(sizes.select("lang", "blocks")), "lang").select(
-        "lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", none.alias("none"))
-    pairs = dealt.groupBy("lang", "block").cogroup(beside.groupBy("lang", "block")).applyInPandas(
-        _compare, "lang string, source string, item string, value long")
-    pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select(
-        "lang", "source", F.lit("pair").alias("part"), "item", "value")
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-        return rows.withColumn("rank", F.row_number().over(order))
-
-    return ranked(pairs).unionByName(ranked(over).where(F.col("rank") <= ranks))
+    known = stage("audit-sources")(plain(docs).select("lang", "source").distinct())
+    most = known.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    block = max(1, min(BLOCK, cells // most))
+    sums, names, others = recount(docs, kept, head_keys, head_bytes, block)
+
+    occurrences = sums.select("lang", "source", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
+    if others is not None:
+        occurrences = occurrences.unionByName(others.select("lang", "source", "n"))
+    totals = occurrences.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    in_lang = Window.partitionBy("lang")
+    groups = known.join(totals, ["lang", "source"], "left").join(
+        kept.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left").fillna(0, ["total", "terms"])
+    groups = stage("audit-groups")(groups.withColumns({"lang_total": F.sum("total").over(in_lang)}))
+
+    def beside(blocks: DataFrame) -> DataFrame:
+        """All sources of the language for every block."""
+        return groups.join(broadcast_if_small(blocks), "lang").groupBy("lang", "block")
+
+    def dense(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values("source", ignore_index=True)
+        names_of = rows.loc[rows["terms"].notna(), "terms"]
+        terms = [bytes(x) for x in names_of.iat[0]] if len(names_of) else []
+        counts = np.zeros((len(sources), len(terms)), dtype=np.int64)
+        held = rows[rows["terms"].isna()]
+        at = {name: k for k, name in enumerate(sources["source"])}
+        for name, values in zip(held["source"], held["counts"]):
+            counts[at[name]] = values
+        return _compare(counts, terms, sources, ranks)
+
+    def sparse(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values("source", ignore_index=True)
+        codes, terms = pd.factorize(rows["term"].map(bytes))
+        counts = np.zeros((len(sources), len(terms)), dtype=np.int64)
+        at = {name: k for k, name in enumerate(sources["source"])}
+        counts[rows["source"].map(at).to_numpy(dtype=np.int64), codes] = rows["n"].to_numpy()
+        return _compare(counts, list(terms), sources, ranks)
+
+    rows = sums.withColumn("terms", F.lit(None).cast("array<binary>")).unionByName(names.select(
+        "lang", F.lit("").alias("source"), "block", F.lit(None).cast("array<long>").alias("counts"), "terms"))
+    # A language without terms has one block without names, for its pairs.
+    blocks = names.select("lang", "block").unionByName(groups.where("terms = 0").select("lang", F.lit(0).alias("block")).distinct())
+    found = rows.groupBy("lang", "block").cogroup(beside(blocks)).applyInPandas(dense, DISTANCES)
+    if others is not None:
+        numbers = groups.groupBy("lang").agg(F.first("terms").alias("terms"), F.count("*").alias("sources")).select(
+            "lang", F.ceil(F.col("terms") * F.col("sources") / cells).cast("int").alias("blocks")).where("blocks > 0")
+        numbers = broadcast_if_small(numbers)
+        dealt = others.join(numbers, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).drop("blocks")
+        # Only blocks that have terms.
+        found = found.unionByName(dealt.groupBy("lang", "block").cogroup(
+            beside(stage("audit-blocks")(dealt.select("lang", "block").distinct()))).applyInPandas(sparse, DISTANCES))
+    found = stage("distances")(found)
+    pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    over = found.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= ranks)
+    return pairs.withColumn("rank", rank).unionByName(over)

@@ -251,8 +251,7 @@ def test_odd_documents_audit(documents, nothing):
 def test_tasks_hand_on_what_they_cannot_hold(documents, monkeypatch):
     counted = audit.recount
     monkeypatch.setattr(audit, "recount", lambda *a: counted(*a, pending=5, dense=1))
-    monkeypatch.setattr(audit, "CELLS", 50)
-    assert sorted(map(tuple, audit.audit(documents, least=1).collect())) == brute_audit(audit_rows(documents), least=1)
+    assert sorted(map(tuple, audit.audit(documents, least=1, cells=50).collect())) == brute_audit(audit_rows(documents), least=1)
 
 
 def test_perfect_hashes_are_minimal_and_verify_keys(spark):
@@ -268,3 +267,8 @@ def test_perfect_hashes_are_minimal_and_verify_keys(spark):
     asked = [t for lang, t, _ in terms if lang == "en"]
     assert table.find("en", asked).tolist() == [named["en", t] for t in asked]
     assert set(table.find("de", asked + [b"unknown"]).tolist()) == {-1} and table.find("xx", [b"a"]).tolist() == [-1]
+
+
+def test_large_counts_are_exact():
+    n = np.array([0, 9_000_000_000, 12_345_678_901_234], dtype=np.int64)
+    assert audit.shares(n, np.array(77_777_777_777_777)).tolist() == [1 + 10**9 * (int(x) + 1) // 77_777_777_777_777 for x in n]
