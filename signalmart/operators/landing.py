@@ -60,6 +60,22 @@ def with_fallback(
     return primary.unionByName(substitutes)
 
 
+def choose_source(payloads: DataFrame, keys: Sequence[str], origin: str = "origin") -> DataFrame:
+    """Of primary and secondary responses in one table, those ``with_fallback`` takes.
+
+    The decision is one conditional aggregate over the narrow columns: whether the unit's primary request was answered, and whether with
+    articles.  Failed or empty primary responses go, and all secondary ones of units that need none.
+    """
+    keys = list(keys)
+    primary = F.col(origin) == "primary"
+    useful = primary & (F.col("status") == "ok") & (F.size("articles") > 0)
+    narrow = payloads.select(*keys, primary.alias("_answered"), F.coalesce(useful, F.lit(False)).alias("_useful"))
+    units = narrow.groupBy(*keys).agg(F.bool_or("_answered").alias("_answered"), F.bool_or("_useful").alias("_has"))
+    wanted = units.where("_answered").select(*keys, F.when(F.col("_has"), "primary").otherwise("secondary").alias(origin))
+    kept = payloads.join(broadcast_if_small(wanted), [*keys, origin])
+    return kept.where((F.col(origin) == "secondary") | ((F.col("status") == "ok") & (F.size("articles") > 0)))
+
+
 def ok_articles(payloads: DataFrame) -> DataFrame:
     """Payloads with status ok and at least one article."""
     return payloads.where((F.col("status") == "ok") & (F.size("articles") > 0))
@@ -106,9 +122,15 @@ def top_articles(
     return first_n(df, keys, [F.desc_nulls_last(published), *ties], n)
 
 
-def shape_news(payloads: DataFrame, brands: DataFrame, ingested_at: Column | str) -> DataFrame:
-    """Bronze news records of all payloads: explode, drop withdrawn, dedupe, enrich."""
-    articles = dedupe_first_seen(drop_removed(explode_articles(payloads)))
+def shape_news(payloads: DataFrame, brands: DataFrame, ingested_at: Column | str, per_term: int | None = None) -> DataFrame:
+    """Bronze news records of all payloads: explode, drop withdrawn, dedupe, enrich.
+
+    ``per_term`` keeps the newest so many articles of every brand and search term, withdrawn ones counted.
+    """
+    articles = explode_articles(payloads)
+    if per_term is not None:
+        articles = top_articles(articles, n=per_term, language=None)
+    articles = dedupe_first_seen(drop_removed(articles))
     meta = broadcast_if_small(
         brands.select("brand_name", "brand_type", "category", F.col("news_ticker").alias("ticker"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +22,15 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], chooser) ->
 
 
 def tie_key(columns: Sequence[str]) -> Column:
-    """A digest that orders rows by all of ``columns`` alike, whichever of them are read later."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
+    """A digest that orders rows by all of ``columns`` alike, whichever of them are read later.
+
+    Every value comes with its length, so different rows are spelled differently.
+    """
+    def spelled(column: str) -> Column:
+        value = F.col(column).cast("string")
+        return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.md5(F.concat(*map(spelled, columns)))
 
 
 def dedupe(
@@ -51,6 +58,30 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, as_of: Column
     return _pick(df, keys, [order], F.max)
 
 
+def latest_on_dates(
+    df: DataFrame, keys: Sequence[str], order: str, dates: Sequence[str], out: str,
+    visible: Callable[[str], Column] | None = None,
+) -> DataFrame:
+    """For each of several dates the newest row of every key up to that date, in one aggregation.
+
+    One conditional maximum per date, so the table is read and shuffled once however many dates are asked
+    for.  ``out`` is the date, ``visible`` a further condition on the rows that a date may see.
+    """
+    payload = [order, *[c for c in df.columns if c != order and c not in keys]]
+    kind = df.schema[order].dataType
+    row = F.struct(*payload)
+
+    def seen(date: str) -> Column:
+        condition = F.col(order) <= F.lit(date).cast(kind)
+        return condition & visible(date) if visible else condition
+
+    wide = df.groupBy(*keys).agg(*[F.max(F.when(seen(d), row)).alias(f"_on_{k}") for k, d in enumerate(dates)])
+    picks = [F.struct(F.lit(d).cast("date").alias(out), F.col(f"_on_{k}").alias("_row")) for k, d in enumerate(dates)]
+    long = wide.select(*keys, F.explode(F.array(*picks)).alias("_pick")).where(F.col("_pick._row").isNotNull())
+    names = [c if c in keys else F.col("_pick._row")[c].alias(c) for c in df.columns]
+    return long.select(*names, F.col("_pick")[out].alias(out))
+
+
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """Keep ``n`` rows per key in the given order.
 

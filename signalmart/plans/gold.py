@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalmart import constants as C
 from signalmart import schemas
 from signalmart.functions import labels, scaling
-from signalmart.operators.rows import dedupe, latest_per_key
+from signalmart.operators.rows import dedupe, latest_on_dates, latest_per_key
 
 JOIN_KEYS = ["brand_name", "category", "brand_type"]
 NEWS_COLUMNS = [
@@ -44,6 +48,23 @@ def join_sources(news: DataFrame, trends: DataFrame, stocks: DataFrame, as_of: s
     return joined.withColumn("stock_available", labels.holds(F.col("stock_available")))
 
 
+def join_sources_on(
+    news: DataFrame, trends: DataFrame, stocks: DataFrame, dates: Sequence[str], visible: Callable[[str], Column] | None = None
+) -> DataFrame:
+    """``join_sources`` of several days, with their ``processed_date``: every source is read once for all of them.
+
+    ``visible`` may tell which rows a date sees besides those up to it.
+    """
+    sources = [(news, "news_date", NEWS_COLUMNS), (trends, "trend_date", TRENDS_COLUMNS), (stocks, "stock_date", STOCKS_COLUMNS)]
+    seen_by = ["ingestion_date"] if visible else []
+    latest = [
+        latest_on_dates(df.select(*JOIN_KEYS, date, *columns, *seen_by), JOIN_KEYS, date, dates, "processed_date", visible)
+        .select(*JOIN_KEYS, "processed_date", *columns) for df, date, columns in sources
+    ]
+    joined = reduce(lambda left, right: left.join(right, [*JOIN_KEYS, "processed_date"], "left"), latest)
+    return joined.withColumn("stock_available", labels.holds(F.col("stock_available")))
+
+
 def join_size(news: DataFrame, trends: DataFrame, stocks: DataFrame) -> DataFrame:
     """Rows per brand that ``grain="all"`` would produce, without producing them."""
     sizes = [df.groupBy(*JOIN_KEYS).agg(F.count("*").alias(name))
@@ -86,6 +107,20 @@ def last_week(gold: DataFrame, day: Column | str) -> DataFrame:
     )
 
 
+def _compare(compared: DataFrame, any_history: Column) -> DataFrame:
+    """The comparison columns of rows that carry last week's."""
+    change = scaling.point_change(F.col("brand_health_index"), F.col("last_week_index"))
+    label_changed = labels.holds(F.col("health_label") != F.col("last_week_label"))
+    return compared.withColumn("index_change_wow", change).withColumn("_any_history", any_history).withColumns({
+        "wow_direction": F.when(F.col("_any_history"), labels.wow_direction(F.col("index_change_wow"))),
+        "label_changed": F.when(F.col("_any_history"), label_changed),
+        "sentiment_shift": scaling.point_change(F.col("sentiment_normalized"), F.col("last_week_sentiment")),
+        "trend_shift": scaling.point_change(
+            F.col("trend_normalized"), F.col("last_week_trend")
+        ).cast("double"),
+    }).drop("_any_history", "last_week_sentiment", "last_week_trend")
+
+
 def week_over_week(gold: DataFrame, history: DataFrame | None) -> DataFrame:
     """Compare with last week's rows.
 
@@ -97,18 +132,26 @@ def week_over_week(gold: DataFrame, history: DataFrame | None) -> DataFrame:
         fields = {f.name: f.dataType for f in schemas.BRAND_HEALTH if f.name in WOW_COLUMNS}
         return gold.withColumns({name: F.lit(None).cast(fields[name]) for name in WOW_COLUMNS})
     any_history = history.agg((F.count("*") > 0).alias("any_history")).scalar()
-    one_per_brand = dedupe(history, JOIN_KEYS)
-    change = scaling.point_change(F.col("brand_health_index"), F.col("last_week_index"))
-    compared = gold.join(one_per_brand, JOIN_KEYS, "left").withColumn("index_change_wow", change)
-    label_changed = labels.holds(F.col("health_label") != F.col("last_week_label"))
-    return compared.withColumn("_any_history", any_history).withColumns({
-        "wow_direction": F.when(F.col("_any_history"), labels.wow_direction(F.col("index_change_wow"))),
-        "label_changed": F.when(F.col("_any_history"), label_changed),
-        "sentiment_shift": scaling.point_change(F.col("sentiment_normalized"), F.col("last_week_sentiment")),
-        "trend_shift": scaling.point_change(
-            F.col("trend_normalized"), F.col("last_week_trend")
-        ).cast("double"),
-    }).drop("_any_history", "last_week_sentiment", "last_week_trend")
+    return _compare(gold.join(dedupe(history, JOIN_KEYS), JOIN_KEYS, "left"), any_history)
+
+
+def week_over_week_on(gold: DataFrame, history: DataFrame, days: int = C.WOW_DAYS) -> DataFrame:
+    """The same for rows of several processed dates, each compared with ``history`` of ``days`` before it."""
+    before = history.select(
+        *JOIN_KEYS, F.date_add("processed_date", days).alias("processed_date"),
+        F.col("brand_health_index").alias("last_week_index"), F.col("health_label").alias("last_week_label"),
+        F.col("sentiment_normalized").alias("last_week_sentiment"), F.col("trend_normalized").alias("last_week_trend"))
+    keys = [*JOIN_KEYS, "processed_date"]
+    dates = before.select("processed_date").distinct().withColumn("_had", F.lit(True))  # one row per day
+    joined = gold.join(dedupe(before, keys), keys, "left").join(F.broadcast(dates), "processed_date", "left")
+    return _compare(joined, F.coalesce("_had", F.lit(False))).drop("_had")
+
+
+def current_on(
+    news: DataFrame, trends: DataFrame, stocks: DataFrame, dates: Sequence[str], visible: Callable[[str], Column] | None = None
+) -> DataFrame:
+    """The gold rows of several dates without their comparison, from one pass over each source."""
+    return alerts(health(normalize(join_sources_on(news, trends, stocks, dates, visible))))
 
 
 def brand_health(

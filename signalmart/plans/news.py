@@ -13,6 +13,7 @@ from signalmart.functions import labels, text
 from signalmart.operators.rows import dedupe, tie_key
 from signalmart.operators.sentiment import score_with, sentiment
 from signalmart.operators.series import in_periods, velocity
+from signalmart.operators.tails import continued, next_tail
 from signalmart.operators.voice import share_of_voice
 
 ARTICLE_KEYS = ["url", "brand_name"]
@@ -81,30 +82,39 @@ def daily(scored: DataFrame) -> DataFrame:
 
 def signals(
     per_day: DataFrame, period: Callable[[Column], Column] = text.iso_week, frame: str = "rows",
-    split: Callable[[Column], Column] | None = None,
+    split: Callable[[Column], Column] | None = None, tail: DataFrame | None = None,
 ) -> DataFrame:
     """Rolling average, velocity, coverage trend and share of voice of the daily rows.
 
     Share of voice is computed from the daily counts, which gives the same shares as
     counting raw articles: a day belongs to one week and the daily keys contain category
     and brand.  ``split`` cuts long series, for example by ``text.year_of``; it needs a brand
-    to keep its category and type, so that it has one row per day.
+    to keep its category and type, so that it has one row per day.  With a ``tail`` the days go on from
+    earlier ones, late days in their places among them; shares are those within the days given.
     """
-    moving = in_periods(
-        per_day, ["brand_name"], "news_date", split, C.ROLLING_ROWS - 1,
-        lambda df, keys: velocity(df, "daily_article_count", keys, "news_date", "news_velocity", frame=frame),
-    )
+    def moves(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return velocity(df, "daily_article_count", keys, "news_date", "news_velocity", frame=frame)
+
+    if tail is None:
+        moving = in_periods(per_day, ["brand_name"], "news_date", split, C.ROLLING_ROWS - 1, moves)
+    else:
+        moving = continued(per_day, tail, ["brand_name"], "news_date", moves, late=True)
     moving = moving.withColumn("coverage_trend", labels.coverage_trend(F.col("news_velocity")))
     weekly = moving.withColumn("week_number", period(F.col("news_date")))
     return share_of_voice(weekly, ["brand_name"], ["category", "week_number"], "daily_article_count")
 
 
+def tail_of(per_day: DataFrame, tail: DataFrame | None = None) -> DataFrame:
+    """The daily rows the next day's velocity looks back to, see ``operators.tails``."""
+    return next_tail(per_day.where(F.col("news_date").isNotNull()), tail, ["brand_name"], "news_date", C.ROLLING_ROWS - 1, late=True)
+
+
 def news_silver(
     bronze: DataFrame, as_of: str, lexicon: DataFrame | None = None, *,
     scorer: Callable[[Column], Column] | None = None,
     stage: Callable[[DataFrame], DataFrame] | None = None, long_texts: bool = False,
     period: Callable[[Column], Column] = text.iso_week, frame: str = "rows",
-    split: Callable[[Column], Column] | None = None,
+    split: Callable[[Column], Column] | None = None, tail: DataFrame | None = None,
 ) -> DataFrame:
     """Silver news of the given articles.
 
@@ -113,13 +123,20 @@ def news_silver(
     the articles are scored once; without it the plan stays lazy and only the article
     shuffle is shared.  ``long_texts`` scores with the lexicon before de-duplicating.
     """
-    if long_texts and scorer is None and lexicon is not None:
-        scored = score_before_dedupe(bronze, lexicon)
-    else:
-        scored = score(clean(bronze, SCORED_COLUMNS), lexicon, scorer)
-    per_day = daily(scored)
+    per_day = per_day_of(bronze, lexicon, scorer, long_texts)
     if stage is not None:
         per_day = stage(per_day)
-    return signals(per_day, period, frame, split).withColumn("ingestion_date", F.lit(as_of)).select(
-        *schemas.NEWS_SILVER.fieldNames()
-    )
+    return finished(signals(per_day, period, frame, split, tail), as_of)
+
+
+def per_day_of(
+    bronze: DataFrame, lexicon: DataFrame | None, scorer: Callable[[Column], Column] | None = None, long_texts: bool = False
+) -> DataFrame:
+    """Scored, de-duplicated and summed up by brand and day."""
+    if long_texts and scorer is None and lexicon is not None:
+        return daily(score_before_dedupe(bronze, lexicon))
+    return daily(score(clean(bronze, SCORED_COLUMNS), lexicon, scorer))
+
+
+def finished(rows: DataFrame, as_of: str) -> DataFrame:
+    return rows.withColumn("ingestion_date", F.lit(as_of)).select(*schemas.NEWS_SILVER.fieldNames())

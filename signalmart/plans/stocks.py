@@ -12,6 +12,7 @@ from signalmart import schemas
 from signalmart.functions import labels
 from signalmart.operators.rows import dedupe
 from signalmart.operators.series import in_periods, pct_change, rolling_stddev
+from signalmart.operators.tails import continued, next_tail
 
 BAR_KEYS = ["ticker", "date"]
 BAR_COLUMNS = [
@@ -38,15 +39,31 @@ def volatility(bars: DataFrame, frame: str = "rows", keys: Sequence[str] = ("tic
     return rolling_stddev(bars, "daily_change_pct", keys, "stock_date", "volatility_7d", frame=frame)
 
 
+def _bars(bronze: DataFrame) -> DataFrame:
+    return clean(bronze, BAR_COLUMNS).withColumn("stock_date", F.col("date"))
+
+
+def tail_of(bronze: DataFrame, tail: DataFrame | None = None) -> DataFrame:
+    """The bars the next day's signals look back to, see ``operators.tails``."""
+    return next_tail(_bars(bronze), tail, ["ticker"], "stock_date", C.ROLLING_ROWS)
+
+
 def stocks_silver(
-    bronze: DataFrame, as_of: str, *, frame: str = "rows", split: Callable[[Column], Column] | None = None
+    bronze: DataFrame, as_of: str, *, frame: str = "rows", split: Callable[[Column], Column] | None = None,
+    tail: DataFrame | None = None,
 ) -> DataFrame:
-    """Silver stocks of the given bars; ``split`` cuts long series, for example by ``text.year_of``."""
-    bars = clean(bronze, BAR_COLUMNS).withColumn("stock_date", F.col("date"))
-    moving = in_periods(
-        bars, ["ticker"], "stock_date", split, C.ROLLING_ROWS,
-        lambda df, keys: volatility(returns(df, keys), frame, keys),
-    )
+    """Silver stocks of the given bars; ``split`` cuts long series, for example by ``text.year_of``.
+
+    With a ``tail`` the bars go on from those of earlier days.
+    """
+    def signals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return volatility(returns(df, keys), frame, keys)
+
+    bars = _bars(bronze)
+    if tail is None:
+        moving = in_periods(bars, ["ticker"], "stock_date", split, C.ROLLING_ROWS, signals)
+    else:
+        moving = continued(bars, tail, ["ticker"], "stock_date", signals)
     return moving.withColumns({
         "price_signal": labels.price_signal(F.col("daily_change_pct")),
         "stock_available": F.lit(True),

@@ -82,6 +82,50 @@ def read_bronze(spark: SparkSession, root: str, source: str, day: str | None = N
     return read_or_empty(spark, path, with_layout, basePath=base).select(*schema.fieldNames())
 
 
+DAMAGED = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "file", "record")])
+RECORD = "_damaged_record"
+
+
+def read_sound(spark: SparkSession, root: str, source: str, day: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``read_bronze`` that goes on over damage: the readable records, and ``source, file, record`` of the others.
+
+    A record that is no JSON object, or whose values do not have their types, is damaged; the record's text is kept.  A file that
+    breaks off (a truncated archive) gives the records before the break.  Damage is told while parsing: no pass of its own.
+    """
+    schema = SCHEMAS[source]
+    layout = [c for c in _layout(source) if c not in schema.fieldNames()]
+    read = T.StructType([*schema.fields, *[T.StructField(c, T.IntegerType() if c in DAY_COLUMNS else T.StringType()) for c in layout],
+                         T.StructField(RECORD, T.StringType())])
+    base = f"{root}/{source}"
+    try:
+        parsed = spark.read.schema(read).options(
+            basePath=base, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, ignoreCorruptFiles="true", ignoreMissingFiles="true",
+        ).json(base if day is None else _day_folders(root, source, day))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema), spark.createDataFrame([], DAMAGED)
+    # Spark parses just the columns that a query needs.  What is damaged must not depend on them, so all are named here;
+    # nothing of them is kept, and they are looked at for damaged records only.
+    others = F.concat_ws("", *[F.col(c).cast("string") for c in schema.fieldNames()])
+    record = F.when(F.col(RECORD).isNotNull(), F.concat(F.col(RECORD), F.substring(others, 1, 0)))
+    damaged = parsed.where(record.isNotNull()).select(
+        F.lit(source).alias("source"), F.col("_metadata.file_path").alias("file"), record.alias("record"))
+    return parsed.where(record.isNull()).select(*schema.fieldNames()), damaged
+
+
+def quarantine(damaged: DataFrame, root: str, source: str, day: str) -> dict[str, int]:
+    """Keep a day's damaged records aside, in place of those of an earlier run; returns their number per file."""
+    folder = f"{root}/_quarantine/{source}/day={day}"
+    damaged.write.mode("overwrite").parquet(folder)
+    kept = damaged.sparkSession.read.schema(DAMAGED).parquet(folder)
+    return {r.file: r["count"] for r in kept.groupBy("file").count().collect()}  # one per damaged file
+
+
+def read_quarantine(spark: SparkSession, root: str, source: str) -> DataFrame:
+    return read_or_empty(spark, f"{root}/_quarantine/{source}", T.StructType([*DAMAGED, T.StructField("day", T.StringType())]), "parquet")
+
+
 def landed_units(spark: SparkSession, root: str, source: str, day: str) -> DataFrame:
     """Units that already landed on a day, for ``operators.landing.skip_existing``.
 

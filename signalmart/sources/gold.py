@@ -1,4 +1,4 @@
-"""Gold: the brand health table as parquet by processed date, or in a warehouse by JDBC."""
+"""Gold: the brand health table by processed date, as a folder of parquet, in a ``Catalog``, or in a warehouse by JDBC."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from signalmart import constants as C
 from signalmart import schemas
 from signalmart.plans.gold import last_week
+from signalmart.sources import catalog
 from signalmart.sources.bronze import read_or_empty, rebalanced
+from signalmart.sources.catalog import Catalog
 
 TABLE = "BRAND_HEALTH"
 PARTITIONS = ("processed_date",)
@@ -27,23 +29,34 @@ def lowercase_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def write_gold(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the rows of their processed dates, replacing those dates or appending to them."""
+def write_gold(df: DataFrame, path: str | Catalog, mode: str = "overwrite", day: str | None = None) -> None:
+    """Write the rows of their processed dates, replacing those dates or appending to them.
+
+    With ``day`` all rows are of that processed date, which is replaced as a whole, also by no rows.
+    """
+    if isinstance(path, Catalog):
+        if day is None:
+            raise ValueError("a catalog table is written by processed date: name the day")
+        return catalog.write_day(df, path.gold(), day, mode)
+    if day is not None:
+        rebalanced(df.drop("processed_date"), ()).write.mode(mode).parquet(f"{path}/processed_date={day}")
+        return None
     rebalanced(df, PARTITIONS).write.partitionBy(*PARTITIONS).mode(mode).option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(path)
 
 
-def read_gold(spark: SparkSession, path: str, processed_date: str | None = None) -> DataFrame:
+def read_gold(spark: SparkSession, path: str | Catalog, processed_date: str | None = None) -> DataFrame:
+    where = None if processed_date is None else F.col("processed_date") == F.lit(processed_date).cast("date")
+    if isinstance(path, Catalog):
+        return catalog.read_table(spark, path.gold(), where, schemas.BRAND_HEALTH.fieldNames())
     df = read_or_empty(spark, path, schemas.BRAND_HEALTH, "parquet")
-    if processed_date is None:
-        return df
-    return df.where(F.col("processed_date") == F.lit(processed_date).cast("date"))
+    return df if where is None else df.where(where)
 
 
-def read_history(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+def read_history(spark: SparkSession, path: str | Catalog, as_of: str) -> DataFrame:
     """Comparison columns of the gold rows one week before ``as_of``; no rows on a first run."""
-    return last_week(read_gold(spark, path), week_before(as_of))
+    return last_week(read_gold(spark, path, week_before(as_of)), week_before(as_of))
 
 
 def write_gold_jdbc(

@@ -14,14 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmart import constants as C
+from signalmart import schemas
 from signalmart.functions import text as X
 from signalmart.operators.landing import lineage_columns, shape_ohlc
-from signalmart.plans.gold import brand_health, last_week
+from signalmart.plans.gold import current_on, last_week, week_over_week
 from signalmart.plans.news import news_silver
 from signalmart.plans.stocks import stocks_silver
 from signalmart.plans.trends import trends_silver
 from signalmart.sources.gold import week_before
-from signalmart.sources.shared import stage, stage_all
+from signalmart.sources.shared import stage
 
 AS_OF = "2024-01-30"
 LAST_WEEK = week_before(AS_OF)
@@ -156,6 +157,11 @@ class Inputs:
             F.transform(F.split("text", "\n"), article).alias("articles"),
         )
 
+    @cached_property
+    def payloads_of_both(self) -> DataFrame:
+        """The same responses from a primary source and, all of them answered, from a secondary one."""
+        return self.payloads.withColumn("origin", F.explode(F.array(F.lit("primary"), F.lit("secondary"))))
+
     # --- stocks ---
 
     @cached_property
@@ -254,21 +260,19 @@ class Inputs:
         return trends_silver(self.trends_bronze, AS_OF)
 
     @cached_property
-    def silver(self) -> dict[str, DataFrame]:
-        """The three silver tables as written tables: gold reads each of them more than once."""
-        return stage_all({
-            "news": lambda: self.news_silver,
-            "trends": lambda: self.trends_silver,
-            "stocks": lambda: self.stocks_silver,
-        })
+    def gold_days(self) -> DataFrame:
+        """This and last week's gold rows from one pass over each silver table; written, as the comparison reads both."""
+        return stage("gold-days")(current_on(self.news_silver, self.trends_silver, self.stocks_silver, [LAST_WEEK, AS_OF]))
+
+    @property
+    def today(self) -> DataFrame:
+        return self.gold_days.where(F.col("processed_date") == F.lit(AS_OF).cast("date"))
 
     @cached_property
     def history(self) -> DataFrame:
         """Last week's comparison columns, from the gold rows of that day."""
-        past = brand_health(self.silver["news"], self.silver["trends"], self.silver["stocks"], LAST_WEEK)
-        return stage("history")(last_week(past, LAST_WEEK))
+        return last_week(self.gold_days, LAST_WEEK)
 
     @cached_property
     def gold(self) -> DataFrame:
-        silver = self.silver
-        return brand_health(silver["news"], silver["trends"], silver["stocks"], AS_OF, self.history)
+        return week_over_week(self.today, self.history).select(*schemas.BRAND_HEALTH.fieldNames())

@@ -30,6 +30,9 @@ DOC_DAY = "DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER)"
 DAY_TEXT = "strftime(date, '%Y-%m-%d')"
 LOADED_HALF = f"{DAY_TEXT} || 'T' || CASE half WHEN 1 THEN '11' ELSE '22' END"
 
+# Every value with its length, nulls as a dash.
+TIE = " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("category", "brand_type", "ticker", "source_name", "headline"))
+
 VIEWS: dict[str, str] = {
     "brands": f"""
         SELECT {brand('k')}, CASE WHEN k <= {LISTED} THEN 'T' || k END AS ticker,
@@ -59,6 +62,13 @@ VIEWS: dict[str, str] = {
     "first_seen": """
         SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY brand_name, url
                ORDER BY term_pos, article_pos) AS rn FROM titled WHERE url IS NOT NULL AND url <> '') WHERE rn = 1""",
+    "landed_news": f"""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_name, url ORDER BY term_pos, article_pos) AS nth FROM (
+            SELECT *, row_number() OVER (PARTITION BY brand_name, search_term ORDER BY published_at DESC, term_pos, article_pos) AS rn
+            FROM articles a WHERE lang = 'en' OR NOT EXISTS (
+                SELECT 1 FROM documents d WHERE d.lang = 'en' AND d.source = a.search_term
+                AND 'Brand#' || (CAST('0x' || left(md5(d.text), 8) AS BIGINT) % {BRANDS} + 1) = a.brand_name))
+            WHERE rn <= 20 AND headline <> '[Removed]' AND headline <> '') WHERE nth = 1""",
     "tagged_events": f"""
         SELECT *, user_id % {BRANDS} + 1 AS k, CAST(ts AS DATE) AS date,
                CASE WHEN hour(ts) < 12 THEN 1 ELSE 2 END AS half FROM events""",
@@ -104,9 +114,9 @@ VIEWS: dict[str, str] = {
                CASE WHEN k <= {LISTED} THEN 'T' || k END AS ticker, strftime({DOC_DAY}, '%Y-%m-%d') AS ingested_at,
                strftime({DOC_DAY}, '%Y-%m-%d') || 'T12:00:00Z' AS published_at
         FROM (SELECT *, doc_id % {BRANDS} + 1 AS k FROM documents)""",
-    "tied_clean": """
+    "tied_clean": f"""
         SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url, brand_name
-        ORDER BY ingested_at, published_at, md5(concat_ws('|', category, brand_type, coalesce(ticker, '~'), source_name, headline)))
+        ORDER BY ingested_at, published_at, md5({TIE}))
         AS rn FROM tied_articles WHERE trim(headline) <> '') WHERE rn = 1""",
     "tied_scores": """
         SELECT c.url, c.brand_name, sum(coalesce(valence, 0)) AS s
@@ -247,6 +257,16 @@ BARS_COLUMNS = ("brand_name, brand_type, category, ticker, exchange, ingested_at
 # The mean of decimals is exact, that of doubles depends on their order.
 MEAN_INDEX = "avg(CAST(brand_health_index AS DECIMAL(18,2)))"
 
+ARTICLE_ID = "CAST('0x' || left(md5(url || ' ' || coalesce(published_at, '')), 15) AS BIGINT)"
+BRONZE_NEWS = f"""brand_name, brand_type, ticker, category, search_term, {ARTICLE_ID} AS article_id, headline,
+    CAST(NULL AS VARCHAR) AS description, source_name, CAST(NULL AS VARCHAR) AS author, url, published_at, '{LOADED_AT}' AS ingested_at,
+    'newsapi' AS pipeline_source, 'bronze' AS data_layer"""
+
+
+def boost(word: str) -> str:
+    return f"CASE WHEN {word} IN ('to', 'for') THEN 0.293::DOUBLE WHEN {word} IN ('a', 'was') THEN -0.293::DOUBLE ELSE 0.0::DOUBLE END"
+
+
 UNIT = "brand_name, search_term, published_at"
 
 
@@ -288,10 +308,12 @@ _BODIES: dict[str, str] = {
         SELECT brand_name, category, brand_type, ticker, exchange, unnest(search_terms) AS search_term,
                CAST(generate_subscripts(search_terms, 1) - 1 AS INTEGER) AS term_pos FROM brands""",
     "shape_news": f"""
-        SELECT brand_name, brand_type, ticker, category, search_term, headline, CAST(NULL AS VARCHAR) AS description,
-               source_name, CAST(NULL AS VARCHAR) AS author, url, published_at, '{LOADED_AT}' AS ingested_at,
-               'newsapi' AS pipeline_source, 'bronze' AS data_layer
-        FROM first_seen JOIN brands USING (brand_name)""",
+        SELECT {BRONZE_NEWS} FROM first_seen JOIN brands USING (brand_name)""",
+    "land_news": f"SELECT {BRONZE_NEWS} FROM landed_news JOIN brands USING (brand_name)",
+    "land_news_summary": """
+        WITH units AS (SELECT b.category, b.brand_name, count(n.url) AS records FROM brands b LEFT JOIN landed_news n USING (brand_name) GROUP BY ALL)
+        SELECT *, FALSE AS skipped FROM units
+        UNION ALL SELECT NULL, NULL, CAST(sum(records) AS BIGINT), FALSE FROM units""",
     "news_drop_removed": "SELECT brand_name, search_term, term_pos, article_pos, headline, url FROM titled",
     "article_id": """
         SELECT url, published_at,
@@ -344,13 +366,16 @@ _BODIES: dict[str, str] = {
         WHERE ingested_at LIKE '{SCAN_DAY}%'""",
     "bronze_roundtrip": "SELECT * FROM trends_bronze",
     "silver_roundtrip": "SELECT * EXCLUDE (ingested_at) FROM trends_silver",
-    "silver_scan_by_ingestion": f"""
+    **dict.fromkeys(("silver_scan_by_ingestion", "silver_catalog_scan"), f"""
+        SELECT brand_name, category, trend_date, trend_score, trend_zscore, trend_date AS ingestion_date
+        FROM trends_silver WHERE trend_date = '{SCAN_DAY}'"""),
+    "silver_catalog_rerun": f"""
         SELECT brand_name, category, trend_date, trend_score, trend_zscore, trend_date AS ingestion_date
-        FROM trends_silver WHERE trend_date = '{SCAN_DAY}'""",
+        FROM trends_silver WHERE trend_date <> '{SCAN_DAY}' OR brand_type = 'listed'""",
     "gold_roundtrip": f"SELECT {GOLD_COLUMNS} FROM gold",
-    "history_scan": """
+    **dict.fromkeys(("history_scan", "history_catalog_scan"), """
         SELECT brand_name, category, brand_type, brand_health_index AS last_week_index, health_label AS last_week_label,
-               sentiment_normalized AS last_week_sentiment, trend_normalized AS last_week_trend FROM before""",
+               sentiment_normalized AS last_week_sentiment, trend_normalized AS last_week_trend FROM before"""),
     "stage_counts": " UNION ALL ".join(
         f"SELECT '{v}' AS stage, count(*) AS n_rows FROM {v}"
         for v in ("news_bronze", "news_clean", "stocks_bronze", "stocks_silver", "trends_bronze", "trends_silver")),
@@ -366,6 +391,33 @@ _BODIES: dict[str, str] = {
     "sentiment_lexicon": f"SELECT brand_name, url, {rnd('score', 6)} AS sentiment_score FROM news_scored",
     "sentiment_before_dedupe": f"""
         SELECT brand_name, url, news_date, {rnd('score', 6)} AS sentiment_score FROM news_scored""",
+    "sentiment_in_context": f"""
+        WITH tokens AS (
+            SELECT url, brand_name, unnest(regexp_extract_all(headline, '[A-Za-z]+')) AS w,
+                   generate_subscripts(regexp_extract_all(headline, '[A-Za-z]+'), 1) AS pos FROM news_clean),
+        around AS (
+            SELECT *, lower(w) AS term, w = upper(w) AND length(w) > 1 AS loud,
+                   bool_or(w <> upper(w) OR length(w) = 1) OVER (PARTITION BY url, brand_name) AS mixed,
+                   lag(lower(w), 1) OVER o AS b1, lag(lower(w), 2) OVER o AS b2, lag(lower(w), 3) OVER o AS b3
+            FROM tokens WINDOW o AS (PARTITION BY url, brand_name ORDER BY pos)),
+        raised AS (
+            SELECT url, brand_name, coalesce(b1 IN ('in', 'für', 'les'), FALSE) OR coalesce(b2 IN ('in', 'für', 'les'), FALSE)
+                       OR coalesce(b3 IN ('in', 'für', 'les'), FALSE) AS negated,
+                   valence + CASE WHEN loud AND mixed THEN sign(valence) * 0.733::DOUBLE ELSE 0.0::DOUBLE END
+                   + sign(valence) * ({boost('b1')}) + sign(valence) * ({boost('b2')}) * 0.95::DOUBLE
+                   + sign(valence) * ({boost('b3')}) * 0.9::DOUBLE AS v
+            FROM around JOIN lexicon USING (term)),
+        sums AS (SELECT url, brand_name, sum(CASE WHEN negated THEN v * -0.74::DOUBLE ELSE v END) AS s FROM raised GROUP BY ALL)
+        SELECT brand_name, url, coalesce({rnd('s / sqrt(s * s + 15)', 6)}, 0.0::DOUBLE) AS sentiment_score
+        FROM news_clean LEFT JOIN sums USING (url, brand_name)""",
+    "news_seen_days": "SELECT brand_name, url, news_date, ingested_at FROM news_clean",
+    "news_velocity_from_state": f"""
+        WITH rolled AS (
+            SELECT brand_name, news_date, daily_article_count, {rnd("""avg(daily_article_count) OVER (PARTITION BY brand_name
+                   ORDER BY news_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""", 2)} AS rolling_7d_avg
+            FROM news_daily WHERE news_date IS NOT NULL)
+        SELECT *, CASE WHEN rolling_7d_avg > 0 THEN {rnd('(daily_article_count - rolling_7d_avg) / rolling_7d_avg * 100', 2)}
+                  ELSE 0.0::DOUBLE END AS news_velocity FROM rolled""",
     "sentiment_label": "SELECT brand_name, url, label AS sentiment_label FROM news_scored",
     "news_daily_agg": f"""
         SELECT brand_name, category, brand_type, news_date, daily_article_count,
@@ -390,14 +442,14 @@ _BODIES: dict[str, str] = {
                ORDER BY CAST(stock_date AS DATE) RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)''', 4)}
                AS volatility_7d FROM stocks_silver""",
     "price_signal": "SELECT ticker, stock_date, price_signal FROM stocks_silver",
-    "stocks_silver": "SELECT * FROM stocks_silver",
+    **dict.fromkeys(("stocks_silver", "stocks_silver_from_state"), "SELECT * FROM stocks_silver"),
     "stocks_silver_lineitem": silver_stocks("lineitem_bars"),
     "stocks_silver_split": silver_stocks("lineitem_bars"),
     "trends_filter_nulls": """
         SELECT brand_name, date, ingested_at, trend_score FROM trends_bronze WHERE trend_score IS NOT NULL""",
     "trends_dedup": "SELECT brand_name, date, ingested_at, trend_score FROM trends_clean",
     "trend_momentum": "SELECT brand_name, trend_date, trend_score, trend_momentum FROM trends_silver",
-    "trend_zscore": "SELECT brand_name, trend_date, trend_zscore FROM trends_silver",
+    **dict.fromkeys(("trend_zscore", "trend_zscore_state"), "SELECT brand_name, trend_date, trend_zscore FROM trends_silver"),
     "trend_anomaly": "SELECT brand_name, trend_date, trend_score, trend_zscore FROM trends_silver WHERE is_anomaly",
     "trends_silver": "SELECT * FROM trends_silver",
     "trends_silver_split": "SELECT * FROM trends_silver",
@@ -425,6 +477,12 @@ _BODIES: dict[str, str] = {
                CAST(NULL AS VARCHAR) AS wow_direction, CAST(NULL AS BOOLEAN) AS label_changed,
                CAST(NULL AS DOUBLE) AS sentiment_shift, CAST(NULL AS DOUBLE) AS trend_shift FROM scored""",
     "gold_brand_health": f"SELECT {GOLD_COLUMNS} FROM gold",
+    "gold_days": f"""
+        SELECT {GOLD_COLUMNS} FROM (
+            SELECT * FROM gold UNION ALL BY NAME SELECT *, DATE '{LAST_WEEK}' AS processed_date FROM before)""",
+    "health_sql": """
+        SELECT brand_name, sentiment_normalized, trend_normalized, stock_normalized, alert_flag, alert_reason, brand_health_index, health_label
+        FROM scored""",
     "gold_preview": """
         SELECT brand_name, brand_health_index, health_label, alert_flag, index_change_wow, wow_direction FROM gold
         ORDER BY brand_name, brand_health_index LIMIT 12""",
@@ -460,4 +518,7 @@ def _complete(body: str) -> str:
     return sql
 
 
+for _name in ("q1_leaderboard", "q2_alerts", "q3_category", "q4_wow", "q5_brand_type"):
+    _BODIES[f"{_name}_sql"] = _BODIES[_name]
+
 ORACLES: dict[str, str] = {name: _complete(body) for name, body in _BODIES.items()}

@@ -6,23 +6,34 @@ depend on the order in which tasks finish.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmart import constants as C
+from signalmart import schemas
 from signalmart.functions import text as X
 from signalmart.operators import landing as L
 from signalmart.operators import voice
+from signalmart.operators.context import Rules
+from signalmart.operators.context import sentiment_in_context as in_context
+from signalmart.operators.counting import Counts
+from signalmart.operators.moments import merged, moments, zscore_from
 from signalmart.operators.rows import last_n
 from signalmart.plans import gold as G
+from signalmart.plans import jobs, sql
 from signalmart.plans import news as N
 from signalmart.plans import reports as R
 from signalmart.plans import stocks as S
 from signalmart.plans import trends as T
 from signalmart.sources import bronze, gold as gold_tables, silver
+from signalmart.sources.catalog import Catalog
+from signalmart.sources.seen import SeenKeys
 from signalmart.sources.shared import shared_folder, stage
+from signalmart.sources.state import DayState
 from workload.inputs import AS_OF, LAST_WEEK, LOADED_AT, Inputs
 
 SCAN_DAY = "2024-01-15"
@@ -43,14 +54,33 @@ def rounded(df: DataFrame, column: str = "avg_daily_sentiment") -> DataFrame:
 
 @query
 def brand_dim(i: Inputs) -> DataFrame:
-    return L.search_terms(i.brands).select(
+    """The dimension as a caller gives it, row by row: one per brand of ``part``."""
+    known = i.brands.select(*schemas.BRANDS.fieldNames()).collect()
+    return L.search_terms(L.brand_dim(i.spark, map(tuple, known))).select(
         "brand_name", "category", "brand_type", "ticker", "exchange", "term_pos", "search_term"
     )
 
 
 @query
 def shape_news(i: Inputs) -> DataFrame:
-    return L.shape_news(i.payloads, i.brands, LOADED_AT).drop("article_id")
+    return L.shape_news(i.payloads, i.brands, LOADED_AT)
+
+
+def _landed_news(i: Inputs) -> tuple[str, DataFrame]:
+    root = shared_folder(i.spark, "bronze")
+    return root, jobs.land_news(i.payloads_of_both, i.brands, root, AS_OF, LOADED_AT)
+
+
+@query
+def land_news(i: Inputs) -> DataFrame:
+    """Both sources' responses to landed records, in one call; the records as read back."""
+    root, _ = _landed_news(i)
+    return bronze.read_bronze(i.spark, root, "news", AS_OF)
+
+
+@query
+def land_news_summary(i: Inputs) -> DataFrame:
+    return _landed_news(i)[1]
 
 
 @query
@@ -196,13 +226,49 @@ def silver_rerun_corrected(i: Inputs) -> DataFrame:
 
 @query
 def silver_scan_by_ingestion(i: Inputs) -> DataFrame:
+    """One day of a table that holds every day."""
     root = shared_folder(i.spark, "silver")
-    daily = i.trends_silver.withColumn("ingestion_date", F.col("trend_date"))
-    for day in (SCAN_DAY, LAST_WEEK):
-        silver.write_silver(daily.where(F.col("ingestion_date") == day), root, "trends", day)
-    return silver.read_silver(i.spark, root, "trends", SCAN_DAY).select(
-        "brand_name", "category", "trend_date", "trend_score", "trend_zscore", "ingestion_date"
-    )
+    silver.write_silver_days(i.trends_silver.withColumn("ingestion_date", F.col("trend_date")), root, "trends")
+    return silver.read_silver(i.spark, root, "trends", SCAN_DAY).select(*SCANNED)
+
+
+SCANNED = ["brand_name", "category", "trend_date", "trend_score", "trend_zscore", "ingestion_date"]
+
+
+def _catalog(i: Inputs) -> Catalog:
+    """Tables of their own, in the shared folder."""
+    catalog = Catalog(location=shared_folder(i.spark, "catalog"), prefix=f"t{uuid.uuid4().hex}_")
+    catalog.create(i.spark)
+    return catalog
+
+
+@query
+def silver_catalog_scan(i: Inputs) -> DataFrame:
+    """The same from a catalog table, with the day as a predicate on its partitions."""
+    catalog = _catalog(i)
+    silver.write_silver_days(i.trends_silver.withColumn("ingestion_date", F.col("trend_date")), catalog, "trends")
+    return silver.read_silver(i.spark, catalog, "trends", SCAN_DAY).select(*SCANNED)
+
+
+@query
+def silver_catalog_rerun(i: Inputs) -> DataFrame:
+    """A corrected run replaces its day in the catalog, partitions without rows included, and leaves the other days."""
+    catalog = _catalog(i)
+    daily = stage("daily")(i.trends_silver.withColumn("ingestion_date", F.col("trend_date")))
+    silver.write_silver_days(daily, catalog, "trends")
+    again = daily.where((F.col("ingestion_date") == SCAN_DAY) & (F.col("brand_type") == "listed"))
+    silver.write_silver(again, catalog, "trends", SCAN_DAY)
+    return silver.read_silver(i.spark, catalog, "trends").select(*SCANNED)
+
+
+@query
+def history_catalog_scan(i: Inputs) -> DataFrame:
+    """Last week's columns from a gold table of the catalog."""
+    catalog = _catalog(i)
+    for day in (LAST_WEEK, AS_OF):
+        on = i.gold_days.where(F.col("processed_date") == F.lit(day).cast("date"))
+        gold_tables.write_gold(G.week_over_week(on, None), catalog, day=day)
+    return gold_tables.read_history(i.spark, catalog, AS_OF)
 
 
 @query
@@ -218,27 +284,88 @@ def gold_roundtrip(i: Inputs) -> DataFrame:
 @query
 def history_scan(i: Inputs) -> DataFrame:
     path = shared_folder(i.spark, "gold")
-    tables = i.silver
-    for day in (LAST_WEEK, AS_OF):
-        gold_tables.write_gold(G.brand_health(tables["news"], tables["trends"], tables["stocks"], day), path)
+    gold_tables.write_gold(G.week_over_week(i.gold_days, None), path)
     return gold_tables.read_history(i.spark, path, AS_OF)
 
 
 @query
 def stage_counts(i: Inputs) -> DataFrame:
-    stages = {
-        "news_bronze": i.news_bronze,
-        "news_clean": N.clean(i.news_bronze, []),
-        "stocks_bronze": i.stocks_bronze,
-        "stocks_silver": i.stocks_silver,
-        "trends_bronze": i.trends_bronze,
-        "trends_silver": i.trends_silver,
-    }
-    counts = [df.agg(F.lit(name).alias("stage"), F.count("*").alias("n_rows")) for name, df in stages.items()]
-    result = counts[0]
-    for count in counts[1:]:
-        result = result.unionByName(count)
-    return result
+    """Rows at six places, from the one run that builds all three sources."""
+    counts = Counts()
+    ends = [
+        counts.at(N.clean(counts.at(i.news_bronze, "news_bronze"), []), "news_clean"),
+        counts.at(S.stocks_silver(counts.at(i.stocks_bronze, "stocks_bronze"), AS_OF), "stocks_silver"),
+        counts.at(T.trends_silver(counts.at(i.trends_bronze, "trends_bronze"), AS_OF), "trends_silver"),
+    ]
+    together = reduce(DataFrame.unionByName, [end.select("brand_name") for end in ends])
+    together.write.format("noop").mode("overwrite").save()
+    return counts.table(i.spark)
+
+
+# --- from the state of earlier days ----------------------------------------------------
+
+# The days up to which the generated history lands, in three runs.
+CUTS = ("2024-01-11", "2024-01-21")
+RUNS = ("2024-01-10", "2024-01-20", AS_OF)
+
+
+def _runs(df: DataFrame, day: str) -> list[tuple[str, DataFrame]]:
+    """The rows of each run."""
+    at = F.substring(F.col(day).cast("string"), 1, 10)
+    parts = [at < CUTS[0], (at >= CUTS[0]) & (at < CUTS[1]), at >= CUTS[1]]
+    return [(label, df.where(part)) for label, part in zip(RUNS, parts)]
+
+
+def _state(i: Inputs) -> DayState:
+    return DayState(i.spark, shared_folder(i.spark, "state"))
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def news_seen_days(i: Inputs) -> DataFrame:
+    """Articles that land again on later days are dropped: each run asks what the runs before have seen."""
+    seen = SeenKeys(i.spark, f"default.seen_{uuid.uuid4().hex}", tuple(N.ARTICLE_KEYS), 1_000_000, shared_folder(i.spark, "seen")).create()
+    fresh = []
+    for label, rows in _runs(i.news_bronze, "ingested_at"):
+        fresh.append(stage("fresh")(seen.unseen(N.clean(rows, ["news_date"]), label)))
+        seen.add(fresh[-1], label)
+    return _together(fresh).select("brand_name", "url", "news_date", "ingested_at")
+
+
+@query
+def trend_zscore_state(i: Inputs) -> DataFrame:
+    """Z-scores from the merged moments of the runs, two of them compacted, in place of the history."""
+    state, scores = _state(i), stage("scores")(T.clean(i.trends_bronze, ["trend_score"]).withColumn("trend_date", F.col("date")))
+    for label, rows in _runs(scores, "date"):
+        state.compact("moments", label, jobs.MOMENTS, ["brand_name"])
+        state.write(moments(rows, ["brand_name"], "trend_score"), "moments", label)
+    whole = merged(state.before("moments", "9999", jobs.MOMENTS), ["brand_name"], "state_day")
+    return zscore_from(scores, whole, "trend_score", ["brand_name"], "trend_zscore").select("brand_name", "trend_date", "trend_zscore")
+
+
+@query
+def stocks_silver_from_state(i: Inputs) -> DataFrame:
+    """Each run goes on from the bars the run before has left."""
+    state, built = _state(i), []
+    for label, rows in _runs(i.stocks_bronze, "date"):
+        tail = state.latest("tail", label, jobs.STOCKS_TAIL)
+        built.append(S.stocks_silver(rows, AS_OF, tail=tail))
+        state.write(S.tail_of(rows, tail).select(*jobs.STOCKS_TAIL.fieldNames()), "tail", label)
+    return _together(built)
+
+
+@query
+def news_velocity_from_state(i: Inputs) -> DataFrame:
+    state, built = _state(i), []
+    per_day = stage("news-daily")(N.per_day_of(i.news_bronze, i.lexicon, long_texts=True).where("news_date is not null"))
+    for label, rows in _runs(per_day, "news_date"):
+        tail = state.latest("tail", label, jobs.NEWS_TAIL)
+        built.append(N.signals(rows, tail=tail))
+        state.write(N.tail_of(rows, tail), "tail", label)
+    return _together(built).select("brand_name", "news_date", "daily_article_count", "rolling_7d_avg", "news_velocity")
 
 
 @query
@@ -300,6 +427,18 @@ def sentiment_lexicon(i: Inputs) -> DataFrame:
     return rounded(_scored(i).select("brand_name", "url", "sentiment_score"), "sentiment_score")
 
 
+# Words of the generated texts in the roles of the rules.
+CONTEXT = Rules(negations=("in", "für", "les"), boosters={"to": 0.293, "for": 0.293, "a": -0.293, "was": -0.293})
+
+
+@query
+def sentiment_in_context(i: Inputs) -> DataFrame:
+    """Negation, boosters and capitals among the three words before a word."""
+    articles = N.clean(i.news_bronze, ["headline"])
+    scored = in_context(articles, "headline", i.lexicon, N.ARTICLE_KEYS, rules=CONTEXT)
+    return rounded(scored.select("brand_name", "url", "sentiment_score"), "sentiment_score")
+
+
 @query
 def sentiment_label(i: Inputs) -> DataFrame:
     return _scored(i).select("brand_name", "url", "sentiment_label")
@@ -490,8 +629,7 @@ def gold_wow(i: Inputs) -> DataFrame:
 @query
 def gold_wow_first_run(i: Inputs) -> DataFrame:
     """With a history that has no rows for the day, as on a first run."""
-    tables = i.silver
-    first = G.brand_health(tables["news"], tables["trends"], tables["stocks"], AS_OF, i.history.where("false"))
+    first = G.week_over_week(i.today, i.history.where("false"))
     return first.select("brand_name", "brand_health_index", *G.WOW_COLUMNS)
 
 
@@ -500,6 +638,29 @@ def gold_brand_health(i: Inputs) -> DataFrame:
     return rounded(i.gold)
 
 
+@query
+def gold_days(i: Inputs) -> DataFrame:
+    """Two processed dates with their comparison, from one pass over each silver table."""
+    rows = G.week_over_week_on(i.gold_days, i.gold_days)
+    return rounded(rows.select(*schemas.BRAND_HEALTH.fieldNames()))
+
+
+@query
+def health_sql(i: Inputs) -> DataFrame:
+    """The index by the functions for SQL users."""
+    sql.register(i.spark, "health_")
+    normal = i.spark.sql("""
+        SELECT *, health_sentiment_normalized(avg_daily_sentiment) AS sentiment_normalized, health_trend_normalized(trend_score) AS trend_normalized,
+            health_stock_normalized(stock_available, daily_change_pct) AS stock_normalized,
+            health_alert_flag(avg_daily_sentiment, is_anomaly, coverage_trend) AS alert_flag,
+            health_alert_reason(avg_daily_sentiment, is_anomaly, coverage_trend) AS alert_reason FROM {joined}""", joined=_joined(i))
+    return i.spark.sql("""
+        SELECT *, health_health_label(brand_health_index) AS health_label FROM (
+            SELECT brand_name, sentiment_normalized, trend_normalized, stock_normalized, alert_flag, alert_reason, health_health_index(
+                stock_available, sentiment_normalized, trend_normalized, stock_normalized, share_of_voice_pct) AS brand_health_index
+            FROM {normal})""", normal=normal)
+
+
 @query
 def gold_preview(i: Inputs) -> DataFrame:
     return R.preview(i.gold)
@@ -528,3 +689,16 @@ def q4_wow(i: Inputs) -> DataFrame:
 @query
 def q5_brand_type(i: Inputs) -> DataFrame:
     return R.brand_type_summary(i.gold, AS_OF)
+
+
+def _as_sql(name: str, report: str) -> None:
+    def run(i: Inputs) -> DataFrame:
+        return sql.report(i.gold, report, AS_OF)
+
+    run.__name__, run.__doc__ = f"{name}_sql", "The same as a statement with a parameter."
+    query(run)
+
+
+for _name, _report in (("q1_leaderboard", "leaderboard"), ("q2_alerts", "alert_list"), ("q3_category", "category_summary"),
+                       ("q4_wow", "week_over_week_report"), ("q5_brand_type", "brand_type_summary")):
+    _as_sql(_name, _report)
