@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +52,7 @@ CROWD = 20_000
 MOST_GROUPS = 1 << 14
 # Shingles of the sets that one task holds while it searches.
 TILE_SHINGLES = 4_000_000
-# Sets of a large component that all its tiles are compared with first.
+# Sets that are compared with all others first: of a large component with its tiles, of a group with its members.
 HUBS = 16
 
 
@@ -229,11 +229,9 @@ def strings(met: DataFrame, points: DataFrame, threshold: Threshold) -> DataFram
                     yield owners[0], owners[1]
             return
         counts = same_groups(points)
-        tree, roots = CountTree(counts, sizes), Roots(len(owners))
-        for i in range(len(owners)):
-            for j in tree.search(counts[i], int(sizes[i]), threshold).tolist():
-                if j < i and roots.join(i, j):
-                    yield owners[i], owners[j]
+        tree = CountTree(counts, sizes)
+        for i, j in connections(len(owners), lambda i: tree.search(counts[i], int(sizes[i]), threshold)):
+            yield owners[i], owners[j]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -256,23 +254,53 @@ def strings(met: DataFrame, points: DataFrame, threshold: Threshold) -> DataFram
     return close.unionByName(met.where("loose").select(F.col("meeting").alias("a"), F.col("owner").alias("b"))).distinct()
 
 
-class Roots:
-    """Which of a few members are connected."""
+def connections(
+    n: int, near: Callable[[int], np.ndarray], linked: Callable[[int, int], bool] | None = None, asking: Sequence[int] | None = None,
+) -> list[tuple[int, int]]:
+    """Pairs that connect what is connected by ``near`` members (that are ``linked``, if given).
 
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        """Connect two; whether they were not before."""
-        i, j = self.root(i), self.root(j)
-        self.parent[i] = j
-        return i != j
+    What is connected already is never looked at again.  A few members ask first, each one outside the largest part so far;
+    then only those still outside it ask, as two members inside it need no further pair.  So a group of near copies is walked a few times,
+    not once a member.  With ``asking``, just these ask.
+    """
+    labels = np.arange(n)
+    todo = np.ones(n, dtype=bool)
+    edges: list[tuple[int, int]] = []
+
+    def ask(i: int) -> None:
+        todo[i] = False
+        found = near(i)
+        found = found[labels[found] != labels[i]]
+        if not len(found):
+            return
+        if linked is None:
+            _, first = np.unique(labels[found], return_index=True)
+            chosen = found[first].tolist()
+        else:
+            parts: set[int] = set()
+            chosen = []
+            for j, part in zip(found.tolist(), labels[found].tolist()):
+                if part not in parts and linked(i, j):
+                    parts.add(part)
+                    chosen.append(j)
+        if chosen:
+            edges.extend((i, j) for j in chosen)
+            labels[np.isin(labels, labels[chosen])] = labels[i]
+
+    if asking is not None:
+        for i in asking:
+            ask(i)
+        return edges
+    for _ in range(HUBS):
+        outside = np.flatnonzero(todo & (labels != np.bincount(labels).argmax()))
+        if not len(outside):
+            return edges
+        ask(int(outside[0]))
+    main = int(np.flatnonzero(labels == np.bincount(labels).argmax())[0])
+    for i in np.flatnonzero(todo).tolist():
+        if labels[i] != labels[main]:
+            ask(i)
+    return edges
 
 
 class CountTree:
@@ -321,17 +349,18 @@ def local_links(owners: list[int], sets: list[np.ndarray], asks: list[bool], thr
     indexed = [i for i, asking in enumerate(asks) if not asking]
     if not indexed:
         return []
-    tree = CountTree(points[indexed], sizes[indexed])
-    roots = Roots(len(sets))
-    links = []
-    for i in [i for i, asking in enumerate(asks) if asking] if across else indexed:
-        for j in tree.search(points[i], int(sizes[i]), threshold).tolist():
-            j = indexed[j]
-            if (owners[i] != owners[j] if across else j < i) and roots.root(i) != roots.root(j) and threshold.linked(
-                    overlap(sets[i], sets[j]), int(sizes[i] + sizes[j])):
-                roots.join(i, j)
-                links.append((owners[i], owners[j]))
-    return links
+    tree, at = CountTree(points[indexed], sizes[indexed]), np.array(indexed)
+    name = np.array(owners)
+
+    def near(i: int) -> np.ndarray:
+        found = at[tree.search(points[i], int(sizes[i]), threshold)]
+        return found[name[found] != name[i]]
+
+    def linked_(i: int, j: int) -> bool:
+        return threshold.linked(overlap(sets[i], sets[j]), int(sizes[i] + sizes[j]))
+
+    pairs = connections(len(sets), near, linked_, [i for i, asking in enumerate(asks) if asking] if across else None)
+    return [(owners[i], owners[j]) for i, j in pairs]
 
 
 def _cells(rows: DataFrame, threshold: Threshold) -> DataFrame:

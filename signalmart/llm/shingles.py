@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 SEED = 40_093
 _rng = np.random.default_rng(SEED)
@@ -14,6 +15,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 VALUE[ord("A"):ord("Z") + 1] = VALUE[ord("a"):ord("z") + 1]
 VALUE[SPACE] = 0
+# Sums of powers modulo 2^64 are weak on long words with a regular pattern, so longer words are hashed by their bytes.
+LONG_WORD = 16
 SHORT = _rng.integers(1, 2**63, 64, dtype=np.uint64)
 
 
@@ -55,7 +58,12 @@ def word_hashes(body: bytes) -> np.ndarray:
     up, down = _Powers.upto(len(codes))
     sums = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum(VALUE[codes] * up[:len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        lower = body.lower()  # of bytes: just A-Z
+        hashes[long] = [xxhash.xxh3_64_intdigest(lower[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return hashes
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:

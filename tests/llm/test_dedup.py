@@ -129,6 +129,54 @@ def test_shingle_sets_ignore_only_ascii_case_and_spaces():
     assert len(shingle_set("a b", 3)) == 1 and shingle_set("a b", 3)[0] != shingle_set("a b", 2)[0]
 
 
+def test_long_words_of_a_pattern_are_told_apart(spark):
+    """Thue-Morse words and their mirror images: sums of powers modulo 2^64 take them for equal."""
+    rows = []
+    for n in (16, 17, 64, 1_024, 2_048, 4_096):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        rows += [(len(rows) + k, w) for k, w in enumerate((word, word.translate(str.maketrans("ab", "ba")), word.upper()))]
+    rows += [(100 + k, f"{'X' * 1_500} two {'é' * 700} {k % 2}") for k in range(4)]
+    got = jaccard_join.document_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == brute_components(rows, 3, 90)
+
+
+def test_a_group_of_near_copies_is_walked_a_few_times():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**63, 40).astype(np.uint64)
+    n = 5_000
+    sets = [np.unique(np.concatenate([np.delete(base, i % 40), draw.integers(0, 2**63, 1).astype(np.uint64)])) for i in range(n)]
+    looked = []
+    verify = jaccard_join.overlap
+    jaccard_join.overlap = lambda a, b: looked.append(1) or verify(a, b)
+    try:
+        links = jaccard_join.local_links(list(range(n)), sets, [False] * n, jaccard_join.Threshold(90))
+    finally:
+        jaccard_join.overlap = verify
+    assert len(links) == n - 1 and len(looked) <= 2 * jaccard_join.HUBS * n
+
+
+@pytest.mark.parametrize("verified", [False, True])
+def test_connections_equal_all_pairs(verified):
+    random.seed(6)
+    for n in (1, 2, 30, 120):
+        near = {i: {j for j in range(n) if random.random() < 1.2 / n} for i in range(n)}
+        for i in range(n):
+            for j in near[i]:
+                near[j].add(i)
+        holds = lambda i, j: (i * 7 + j * 7) % 3 > 0
+        pairs = jaccard_join.connections(n, lambda i: np.array(sorted(near[i]), dtype=np.int64), holds if verified else None)
+        assert all(j in near[i] and (not verified or holds(i, j)) for i, j in pairs)
+
+        def parts(edges):
+            of = list(range(n))
+            for i, j in edges:
+                a, b = of[i], of[j]
+                of = [a if x == b else x for x in of]
+            return [of.index(x) for x in of]
+
+        assert parts(pairs) == parts([(i, j) for i in near for j in near[i] if not verified or holds(i, j)])
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_leading_shingles_of_linked_sets_meet(percent):
     random.seed(percent)
