@@ -34,20 +34,25 @@ SEED = 20_011
 GAP = 0x20
 # Characters of text that are worked on at once, and n-grams whose vectors a worker remembers.
 CHUNK = 100_000
+CHUNK_TEXTS = 200
 REMEMBERED = 6_000
 # Code points take 21 bits, three of them an int64.
 BITS = 21
 
 
 def letters(text: str) -> np.ndarray:
-    """Code points of the lower-case letters, with one gap between words and at the ends; empty without letters."""
+    """Code points of the lower-case letters and the marks on them, with one gap between words and at the ends.
+
+    Empty without a letter: marks alone are none.
+    """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
     high = int(codes.max(initial=0))
-    if high < len(IS_LETTER):
-        keep = IS_LETTER[codes]
+    if high < len(KIND):
+        kinds = KIND[codes]
     else:
-        keep = np.array([unicodedata.category(chr(c))[0] in "LM" for c in codes.tolist()], dtype=bool)
-    if not keep.any():
+        kinds = np.array([kind(c) for c in codes.tolist()], dtype=np.int8)
+    keep = kinds > 0
+    if not (kinds == 2).any():
         return codes[:0].astype(np.int64)
     out = np.where(keep, codes, GAP)
     edge = np.full(1, GAP, dtype=out.dtype)
@@ -55,7 +60,12 @@ def letters(text: str) -> np.ndarray:
     return out[np.concatenate([[True], (out[1:] != GAP) | (out[:-1] != GAP)])].astype(np.int64)
 
 
-IS_LETTER = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x800)], dtype=bool)
+def kind(code: int) -> int:
+    """2 for letters, 1 for marks, 0 for all else."""
+    return {"L": 2, "M": 1}.get(unicodedata.category(chr(code))[0], 0)
+
+
+KIND = np.array([kind(c) for c in range(0x800)], dtype=np.int8)
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -212,7 +222,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: Column, dimensions: int =
                 if len(found[0]) and profiles.languages:
                     held.append((i, found))
                     size += len(body)
-                    if size >= CHUNK:
+                    if size >= CHUNK or len(held) >= CHUNK_TEXTS:
                         settle()
                         held, size = [], 0
             if held:

@@ -43,6 +43,14 @@ def test_odd_documents_language(documents, nothing):
     assert not {3, 4, 5, 13} & {r.doc_id for r in kept.collect()}
 
 
+def test_marks_alone_are_no_letters(spark):
+    docs = spark.createDataFrame([(k, text, "en" if k % 2 else "de") for k, text in enumerate(["the words here", "die worte da"] * 6)]
+                                 + [(50, "\u0301\u0301 \u0300", "en"), (51, "\u20d0\U0001e8d0", None), (52, "e\u0301", None), (53, "\u4e2d", None)],
+                                 "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in hd_language.identify(docs).collect()}
+    assert got[50] == got[51] == "und" and got[52] != "und" and got[53] != "und"
+
+
 def test_without_training_rows_everything_is_unknown(documents):
     assert {r.lang_pred for r in hd_language.identify(documents.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
