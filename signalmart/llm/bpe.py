@@ -9,8 +9,9 @@ a chain of overlapping merges of ever higher priority.  So memory does not grow
 
 The decoder is a state machine over bytes: it holds at most the open bytes of one character.
 
-Text handling (``Pieces``) follows the file's normalizer and pre-tokenizer: NFC, lower case, words with ends.
-What is a letter is told by the installed ``regex``; the tokenizers library knows slightly older Unicode tables.
+Text handling (``Pieces``) follows the file's normalizer and pre-tokenizer: NFC, lower case, words with ends.  What is a letter is told by
+the installed ``regex``, but for those that came after the tables of the tokenizers library (``NEWER``), which takes
+them for signs.  Texts are worked on in chunks that end at white space, where no word and no composition goes on.
 Null text counts as empty.  Other columns are not looked at.  An empty table gives no rows.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,6 +36,10 @@ END = "</w>"
 # The pre-tokenizer's pattern, with Unicode's white space spelled out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+# The same where some letters and numbers count as signs.
+WORDS_BUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]|(?:[^{space}\p{{L}}\p{{N}}]|[{newer}])+"
+# Characters of a text that are worked on at once.
+CHUNK = 1 << 16
 # Words up to this length are remembered, this many at most.
 REMEMBERED_LENGTH = 64
 REMEMBERED = 600_000
@@ -46,6 +52,34 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+# Letters and numbers of Unicode that came after the tables of the tokenizers library, for which they are signs.
+NEWER = (
+    "0558 058b-058c 088f 0c5c 0cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 "
+    "10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff "
+    "18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 "
+    "1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 "
+    "3d000-3fc3f")
+# Capitals that the library brings to lower case and Python's older tables do not; ranges by a common distance.
+CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 32 for c in range(0x10D50, 0x10D66)}, **{c: c + 27 for c in range(0x16EA0, 0x16EB9)},
+}
+CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
+NEWER_CLASS = "".join("-".join(f"\\U{int(end, 16):08x}" for end in item.split("-")) for item in NEWER.split())
+
+
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """The text in parts of about ``size`` that end behind white space; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        space = ASCII_SPACE.search(text, end) if end < len(text) else None
+        end = space.end() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
+ASCII_SPACE = re.compile(r"[ \t\n\r]")
 BYTES = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
 
 
@@ -226,6 +260,8 @@ class Pieces:
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words_of = regex.compile(WORDS)
+        self.newer = re.compile(f"[{NEWER_CLASS}]")
+        self.words_but = regex.compile(WORDS_BUT.format(newer=NEWER_CLASS, space=SPACE), flags=regex.V1)
         self.symbol_of = byte_symbols()
         self.known: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
@@ -239,7 +275,10 @@ class Pieces:
                 out.append(part)
             elif part:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += self.words_of.findall(part)
+                if not part.isascii() and CAPITAL.search(part):
+                    part = part.translate(CAPITALS)
+                known = part.isascii() or not self.newer.search(part)
+                out += (self.words_of if known else self.words_but).findall(part)
         return out
 
     def encode_word(self, word: str) -> Iterator[int]:
@@ -270,9 +309,22 @@ class Pieces:
         got = [long.get(w) or known[w] for w in words] if long else list(map(known.__getitem__, words))
         return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of tokens, and SHA-256 of their ids and of their spelling, which are never whole in memory."""
+        total, of_ids, of_spelling = 0, hashlib.sha256(), hashlib.sha256()
+        for chunk in chunks(text):
+            n, ids, spelled = self.summary(chunk)
+            if n:
+                between = b" " if total else b""
+                of_ids.update(between + ids.encode())
+                of_spelling.update(between + spelled.encode())
+                total += n
+        return total, of_ids.hexdigest(), of_spelling.hexdigest()
+
     def encode(self, text: str) -> Iterator[int]:
-        for word in self.words(text):
-            yield from self.encode_word(word)
+        for chunk in chunks(text):
+            for word in self.words(chunk):
+                yield from self.encode_word(word)
 
 
 @lru_cache(maxsize=2)
@@ -288,11 +340,27 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = pieces(path)
         for batch in texts:
-            rows = []
-            for text in batch:
-                n, ids, spelled = tokenizer.summary(text or "")
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(spelled.encode()).hexdigest()))
+            rows = [tokenizer.digests(text or "") for text in batch]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     bound_batches(docs.sparkSession)
     return docs.select(F.col(id_column).alias("doc_id"), encoded(F.col(text_column)).alias("_e")).select("doc_id", "_e.*")
+
+
+def tokenize(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded`` of every text: its token ids, and the text their bytes spell, lower-cased and with a space at word ends."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokenizer = pieces(path)
+        special = frozenset(tokenizer.special.values())
+        for batch in texts:
+            rows = []
+            for text in batch:
+                ids = list(tokenizer.encode(text or ""))
+                decoder = Decoder(tokenizer.tokens, plain=True, special=special)
+                rows.append((ids, "".join(decoder.feed(ids)) + decoder.close()))
+            yield pd.DataFrame(rows, columns=["ids", "decoded"])
+
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_column).alias("doc_id"), tokens(F.col(text_column)).alias("_t")).select("doc_id", "_t.*")

@@ -39,6 +39,34 @@ def test_ids_and_decoding_match_the_library(library, pieces):
         assert decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_character_gets_the_ids_of_the_library(library, pieces):
+    """All code points, among letters and on their own; some were made letters after the library's Unicode tables."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b {chr(c)}" for c in codes[k:k + 400]) for k in range(0, len(codes), 400)]
+    for k, (text, want) in enumerate(zip(texts, library.encode_batch(texts, add_special_tokens=False))):
+        assert list(pieces.encode(text)) == want.ids, hex(codes[400 * k])
+
+
+def test_chunks_change_nothing(pieces, monkeypatch):
+    for text in strange_texts():
+        n, ids, spelled = pieces.summary(text)
+        want = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(spelled.encode()).hexdigest())
+        assert pieces.digests(text) == want
+        assert "".join(bpe.chunks(text, 7)) == text
+        monkeypatch.setattr(bpe, "chunks", lambda t, cut=bpe.chunks: cut(t, 7) if cut.__name__ == "chunks" else cut(t))
+        assert pieces.digests(text) == want
+        monkeypatch.undo()
+
+
+def test_tokenize_returns_ids_and_text(documents, nothing, pieces):
+    rows = bpe.tokenize(documents, PATH).collect()
+    texts = {(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()}
+    assert len(rows) == documents.count() and bpe.tokenize(nothing, PATH).count() == 0
+    got = {(r.doc_id, tuple(r.ids)) for r in rows}
+    assert got == {(i, tuple(pieces.encode(t or ""))) for i, t in texts}
+    assert {r.decoded.strip() for r in rows if r.doc_id == 1} == {"the quick brown fox jumps over the lazy dog near the river bank today ."}
+
+
 def test_the_encoder_streams_in_constant_memory(pieces):
     """Tokens come out while a very long word is still being read."""
     read = 0
