@@ -9,7 +9,7 @@ The hashes are broadcast with their keys, because a term that is not in the voca
 tells.
 
 *Second pass.*  Tasks count the terms of every (language, source) group and add them to the group's dense slots.  What is shuffled
-are blocks of these slots, arrays of numbers; they are added up as they come in, one array at a time.
+are blocks of these slots, without the empty ones; they are added up as they come in, one block at a time.
 
 *Bound.*  At most ``head_keys`` terms of ``head_bytes`` are broadcast, those in most documents, which are nearly all
 occurrences; a task holds at most ``DENSE`` slots and hands them on when it would need more.  Terms beyond the bound are
@@ -44,12 +44,12 @@ LEAST = 3
 UNIT = 1_000_000_000
 RANKS = 200
 # Broadcast vocabulary at most, keys of a shard and of a bucket, on average.
-HEAD_KEYS = 500_000
-HEAD_BYTES = 32 * 1024 * 1024
+HEAD_KEYS = 2_000_000
+HEAD_BYTES = 64 * 1024 * 1024
 SHARD_KEYS = 10_000
 BUCKET_KEYS = 4
 # Terms a task counts before it looks them up or hands them on, slots it holds, slots of a block, cells of a block with all sources.
-PENDING = 400_000
+PENDING = 300_000
 DENSE = 8_000_000
 BLOCK = 4_096
 CELLS = 2_000_000
@@ -233,9 +233,22 @@ def perfect_hash(head: DataFrame) -> tuple[PerfectHash, DataFrame]:
 
 # --- second pass -----------------------------------------------------------------------
 
-BLOCKS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("block", pa.int32()), ("counts", pa.list_(pa.int64())),
+BLOCKS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("block", pa.int32()), ("counts", pa.binary()),
                     ("term", pa.binary()), ("n", pa.int64())])
-SUMS = "lang string, source string, block int, counts array<long>, term binary, n long"
+SUMS = "lang string, source string, block int, counts binary, term binary, n long"
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A block's counts without zeros: places of two bytes, and counts of one byte, or of eight if one needs more."""
+    at = np.flatnonzero(counts)
+    wide = int(counts[at].max(initial=0) > 255)
+    return bytes([wide]) + at.astype("<u2").tobytes() + counts[at].astype("<i8" if wide else "u1").tobytes()
+
+
+def add_packed(data: bytes, to: np.ndarray) -> None:
+    n = (len(data) - 1) // (10 if data[0] else 3)
+    at = np.frombuffer(data, dtype="<u2", count=n, offset=1)
+    to[at] += np.frombuffer(data, dtype="<i8" if data[0] else "u1", count=n, offset=1 + 2 * n)
 
 
 class Slots:
@@ -285,28 +298,24 @@ class Slots:
 
 def block_rows(lang: str, source: str, numbers: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
     n = len(numbers)
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n), pa.array([source] * n), pa.array(numbers, pa.int32()), lists, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())],
-        schema=BLOCKS)
+        [pa.array([lang] * n), pa.array([source] * n), pa.array(numbers, pa.int32()), pa.array(list(map(packed, parts)), pa.binary()),
+         pa.nulls(n, pa.binary()), pa.array([int(p.sum()) for p in parts], pa.int64())], schema=BLOCKS)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the arrays of equal keys, which lie side by side."""
-    key, total = None, None
+def _add_up(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of equal keys, which lie side by side."""
+    key, total = None, np.zeros(block, dtype=np.int64)
     for batch in batches:
-        counts = batch.column(3)
-        ends, values = counts.offsets.to_numpy(), counts.values.to_numpy()
-        for k, this in enumerate(zip(*[batch.column(j).to_pylist() for j in range(3)])):
-            part = values[ends[k]:ends[k + 1]]
-            if this == key:
-                total = total + part
-            else:
+        for *this, data in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            if this != key:
                 if key is not None:
-                    yield block_rows(key[0], key[1], [key[2]], [total])
-                key, total = this, part
+                    yield block_rows(*key[:2], key[2:], [total])
+                key = this
+                total[:] = 0
+            add_packed(data, total)
     if key is not None:
-        yield block_rows(key[0], key[1], [key[2]], [total])
+        yield block_rows(*key[:2], key[2:], [total])
 
 
 def recount(
@@ -315,7 +324,7 @@ def recount(
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Occurrences of every kept term in every group.
 
-    ``lang, source, block, counts`` for the terms with slots, ``lang, block, terms`` with their names, and
+    ``lang, source, block, counts, n`` for the terms with slots (``packed``, and their sum), ``lang, block, terms`` with their names, and
     ``lang, source, term, n`` for the others, if there are any.
     """
     spark = docs.sparkSession
@@ -340,7 +349,7 @@ def recount(
         found = stage("recount")(found)
     keys = ["lang", "source", "block"]
     parts = found.where("block is not null").repartition(*keys).sortWithinPartitions(*keys)
-    sums = stage("slot-counts")(parts.mapInArrow(_add_up, SUMS).select(*keys, "counts"))
+    sums = stage("slot-counts")(parts.mapInArrow(lambda batches: _add_up(batches, block), SUMS).select(*keys, "counts", "n"))
     placed = slots.withColumn("block", F.expr(f"cast(slot div {block} as int)"))
     names = placed.groupBy("lang", "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "term"))), lambda x: x["term"]).alias("terms"))
@@ -400,7 +409,7 @@ def audit(
     block = max(1, min(BLOCK, cells // most))
     sums, names, others = recount(docs, kept, head_keys, head_bytes, block)
 
-    occurrences = sums.select("lang", "source", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
+    occurrences = sums.select("lang", "source", "n")
     if others is not None:
         occurrences = occurrences.unionByName(others.select("lang", "source", "n"))
     totals = occurrences.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -421,7 +430,7 @@ def audit(
         held = rows[rows["terms"].isna()]
         at = {name: k for k, name in enumerate(sources["source"])}
         for name, values in zip(held["source"], held["counts"]):
-            counts[at[name]] = values
+            add_packed(values, counts[at[name]])
         return _compare(counts, terms, sources, ranks)
 
     def sparse(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
@@ -432,8 +441,8 @@ def audit(
         counts[rows["source"].map(at).to_numpy(dtype=np.int64), codes] = rows["n"].to_numpy()
         return _compare(counts, list(terms), sources, ranks)
 
-    rows = sums.withColumn("terms", F.lit(None).cast("array<binary>")).unionByName(names.select(
-        "lang", F.lit("").alias("source"), "block", F.lit(None).cast("array<long>").alias("counts"), "terms"))
+    rows = sums.drop("n").withColumn("terms", F.lit(None).cast("array<binary>")).unionByName(names.select(
+        "lang", F.lit("").alias("source"), "block", F.lit(None).cast("binary").alias("counts"), "terms"))
     # A language without terms has one block without names, for its pairs.
     blocks = names.select("lang", "block").unionByName(groups.where("terms = 0").select("lang", F.lit(0).alias("block")).distinct())
     found = rows.groupBy("lang", "block").cogroup(beside(blocks)).applyInPandas(dense, DISTANCES)

@@ -272,3 +272,17 @@ def test_perfect_hashes_are_minimal_and_verify_keys(spark):
 def test_large_counts_are_exact():
     n = np.array([0, 9_000_000_000, 12_345_678_901_234], dtype=np.int64)
     assert audit.shares(n, np.array(77_777_777_777_777)).tolist() == [1 + 10**9 * (int(x) + 1) // 77_777_777_777_777 for x in n]
+
+
+def test_packed_counts():
+    for values in ([0, 0, 0], [0, 1, 255], [7, 0, 256], [2**40, 0, 1]):
+        to = np.array([1, 1, 1])
+        audit.add_packed(audit.packed(np.array(values)), to)
+        assert to.tolist() == [v + 1 for v in values]
+    keys = [("en", "s", 0, [1, 0, 3]), ("en", "s", 0, [0, 300, 1]), ("en", "t", 0, [5, 0, 0]), ("en", "t", 2, [0, 0, 9])]
+    batches = [audit.block_rows(lang, source, [block], [np.array(values)]) for lang, source, block, values in keys]
+    got = [row for batch in audit._add_up(iter(batches), 3) for row in batch.to_pylist()]
+    assert [(r["source"], r["block"], r["n"]) for r in got] == [("s", 0, 305), ("t", 0, 5), ("t", 2, 9)]
+    total = np.zeros(3, dtype=np.int64)
+    audit.add_packed(got[0]["counts"], total)
+    assert total.tolist() == [1, 300, 4]
