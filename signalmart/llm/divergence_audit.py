@@ -50,7 +50,9 @@ SHARD_KEYS = 10_000
 BUCKET_KEYS = 4
 # Terms a task counts before it looks them up or hands them on, slots it holds, slots of a block, cells of a block with all sources.
 PENDING = 300_000
-DENSE = 8_000_000
+DENSE = 16_000_000
+# Occurrences a slot of four bytes takes.
+MOST_TOKENS = 2**30
 BLOCK = 4_096
 CELLS = 2_000_000
 # Counts beyond this need more than 64 bits on the way.
@@ -258,12 +260,14 @@ class Slots:
         self.table, self.rest, self.block, self.most_pending, self.most_dense = table, rest, block, pending, dense
         self.pending: dict[tuple[str, str], Counter] = {}
         self.dense: dict[tuple[str, str], np.ndarray] = {}
+        self.tokens = 0
 
     def add(self, lang: str, source: str, terms: list[bytes]) -> None:
         self.pending.setdefault((lang, source), Counter()).update(terms)
+        self.tokens += len(terms)
 
     def crowded(self) -> bool:
-        return sum(map(len, self.pending.values())) > self.most_pending
+        return sum(map(len, self.pending.values())) > self.most_pending or self.tokens > MOST_TOKENS
 
     def look_up(self) -> Iterator[pa.RecordBatch]:
         """Empty what is pending into the slots."""
@@ -278,11 +282,14 @@ class Slots:
                     size = self.table.langs[lang][3]
                     if size + sum(map(len, self.dense.values())) > self.most_dense:
                         yield from self.blocks()
-                    self.dense[lang, source] = np.zeros(size, dtype=np.int64)
-                self.dense[lang, source][slots[found]] += n[found]
+                    self.dense[lang, source] = np.zeros(size, dtype=np.int32)
+                self.dense[lang, source][slots[found]] += n[found].astype(np.int32)
             if self.rest:
                 others += [(lang, source, None, None, terms[k], int(n[k])) for k in np.flatnonzero(~found)]
         self.pending.clear()
+        if self.tokens > MOST_TOKENS:
+            yield from self.blocks()
+            self.tokens = 0
         if others:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*others), BLOCKS)], schema=BLOCKS)
 

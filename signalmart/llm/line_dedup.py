@@ -152,9 +152,12 @@ def dropped_in(lines: DataFrame, verdicts: DataFrame, n_lines: int) -> DataFrame
 
 def dropped_lines(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST_CHARS, batches: int = BATCHES,
-    fan_out: int = FAN_OUT,
+    fan_out: int = FAN_OUT, made: list[str] | None = None,
 ) -> DataFrame:
-    """``holder, body, pos`` of all lines that go: the id, a hash of the text, the line's place from 0."""
+    """``holder, body, pos`` of all lines that go: the id, a hash of the text, the line's place from 0.
+
+    ``made`` gets the folder of the result, for ``remove``.
+    """
     spark = docs.sparkSession
     lines = keyed_lines(docs, id_column, text_column, least)
     low, high = docs.agg(F.min(id_column), F.max(id_column)).first()
@@ -167,6 +170,8 @@ def dropped_lines(
     sizes = dict(map(tuple, everything.groupBy("batch").count().collect()))
     runs = LineRuns(spark, fan_out)
     out = shared_folder(spark, "lines-dropped")
+    if made is not None:
+        made.append(out)
     try:
         for batch in sorted(sizes):
             part = everything.where(F.col("batch") == batch).drop("batch")
@@ -193,9 +198,12 @@ def without_repeated_lines(
     fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` of every row; ``n_lines`` counts before dropping."""
-    gone = dropped_lines(docs, id_column, text_column, least, batches, fan_out)
+    made: list[str] = []
+    gone = dropped_lines(docs, id_column, text_column, least, batches, fan_out, made)
     # Rows that repeat id and text name the same places.
     places = stage("line-places")(gone.groupBy("holder", "body").agg(F.sort_array(F.collect_set("pos")).alias("places")))
+    for path in made:
+        remove(docs.sparkSession, path)
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body"))
     joined = rows.join(places.withColumnRenamed("holder", "_holder").withColumnRenamed("body", "_body"),
