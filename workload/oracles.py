@@ -364,6 +364,10 @@ _BODIES: dict[str, str] = {
     "scan_trends_day": f"""
         SELECT brand_name, category, date, trend_score, geo, stock_available FROM trends_bronze
         WHERE ingested_at LIKE '{SCAN_DAY}%'""",
+    "landed_units": "SELECT DISTINCT category FROM trends_bronze WHERE category <> 'C0'",
+    "scan_sound": """
+        SELECT brand_name, count(*) AS n_records, 'sound' AS kind FROM trends_bronze GROUP BY brand_name
+        UNION ALL SELECT NULL, count(*), 'damaged' FROM lines""",
     "bronze_roundtrip": "SELECT * FROM trends_bronze",
     "silver_roundtrip": "SELECT * EXCLUDE (ingested_at) FROM trends_silver",
     **dict.fromkeys(("silver_scan_by_ingestion", "silver_catalog_scan"), f"""
@@ -388,7 +392,8 @@ _BODIES: dict[str, str] = {
     "news_standardize": "SELECT * FROM news_standard",
     "news_filter_nulls": "SELECT brand_name, url, headline, published_at FROM news_complete",
     "news_dedup": "SELECT brand_name, url, source_name, published_at, ingested_at, news_date FROM news_clean",
-    "sentiment_lexicon": f"SELECT brand_name, url, {rnd('score', 6)} AS sentiment_score FROM news_scored",
+    **dict.fromkeys(("sentiment_lexicon", "sentiment_scorer"),
+                    f"SELECT brand_name, url, {rnd('score', 6)} AS sentiment_score FROM news_scored"),
     "sentiment_before_dedupe": f"""
         SELECT brand_name, url, news_date, {rnd('score', 6)} AS sentiment_score FROM news_scored""",
     "sentiment_in_context": f"""

@@ -6,6 +6,7 @@ depend on the order in which tasks finish.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -23,6 +24,7 @@ from signalmart.operators.context import sentiment_in_context as in_context
 from signalmart.operators.counting import Counts
 from signalmart.operators.moments import merged, moments, zscore_from
 from signalmart.operators.rows import last_n
+from signalmart.operators.sentiment import scorer
 from signalmart.plans import gold as G
 from signalmart.plans import jobs, sql
 from signalmart.plans import news as N
@@ -34,7 +36,7 @@ from signalmart.sources.catalog import Catalog
 from signalmart.sources.seen import SeenKeys
 from signalmart.sources.shared import shared_folder, stage
 from signalmart.sources.state import DayState
-from workload.inputs import AS_OF, LAST_WEEK, LOADED_AT, Inputs
+from workload.inputs import AS_OF, LAST_WEEK, LEXICON, LOADED_AT, Inputs
 
 SCAN_DAY = "2024-01-15"
 
@@ -200,6 +202,28 @@ def scan_trends_day(i: Inputs) -> DataFrame:
     return day.select("brand_name", "category", "date", "trend_score", "geo", "stock_available")
 
 
+@query
+def landed_units(i: Inputs) -> DataFrame:
+    """Units that have landed: one without records leaves no folder and is tried again."""
+    root = shared_folder(i.spark, "bronze")
+    jobs.land(i.trends_bronze.where("category <> 'C0'"), i.brands, root, "trends", SCAN_DAY)
+    return bronze.landed_units(i.spark, root, "trends", SCAN_DAY)
+
+
+@query
+def scan_sound(i: Inputs) -> DataFrame:
+    """Sound and damaged records of a table in which files with broken records lie, one for every line of the documents."""
+    root = _landed(i, "trends", i.trends_bronze)
+    line = F.explode(F.split("text", "\n"))
+    broken = i.table("documents").select(line.alias("line")).select(F.concat(F.lit('{"brand_name": "'), F.md5("line")).alias("value"))
+    day = SCAN_DAY.split("-")
+    broken.write.mode("append").text(f"{root}/trends/category=C1/year={day[0]}/month={day[1]}/day={day[2]}")
+    sound, damaged = bronze.read_sound(i.spark, root, "trends")
+    kinds = [df.groupBy("brand_name").agg(F.count("*").alias("n_records")).withColumn("kind", F.lit(kind)) for kind, df in (
+        ("sound", sound), ("damaged", damaged.withColumn("brand_name", F.lit(None).cast("string"))))]
+    return kinds[0].unionByName(kinds[1])
+
+
 @query
 def bronze_roundtrip(i: Inputs) -> DataFrame:
     root = _landed(i, "trends", i.trends_bronze)
@@ -427,6 +451,24 @@ def sentiment_lexicon(i: Inputs) -> DataFrame:
     return rounded(_scored(i).select("brand_name", "url", "sentiment_score"), "sentiment_score")
 
 
+def _word_scores() -> Callable[[str], float]:
+    """A scorer as a user may bring one: plain Python, built once a worker."""
+    valences, words = dict(LEXICON), re.compile("[a-z]+")
+
+    def score(text: str) -> float:
+        total = sum(valences.get(word, 0.0) for word in words.findall(text.lower()))
+        return total / (total * total + C.COMPOUND_ALPHA) ** 0.5
+
+    return score
+
+
+@query
+def sentiment_scorer(i: Inputs) -> DataFrame:
+    """A plugged-in scorer in place of the lexicon's join."""
+    scored = N.score(N.clean(i.news_bronze, N.SCORED_COLUMNS), None, scorer(_word_scores))
+    return rounded(scored.select("brand_name", "url", "sentiment_score"), "sentiment_score")
+
+
 # Words of the generated texts in the roles of the rules.
 CONTEXT = Rules(negations=("in", "für", "les"), boosters={"to": 0.293, "for": 0.293, "a": -0.293, "was": -0.293})
 
