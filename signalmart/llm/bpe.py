@@ -6,6 +6,7 @@ is left alone by the merges.  Any longer tokenization passes through one of the
 positions, so once the chains of those positions have met, everything before the meeting point is
 stable and is emitted.  ``lookahead`` bounds from the merge list how far a merge can reach to the right:
 a chain of overlapping merges of ever higher priority.  So memory does not grow with the word.
+Short words that are new to a worker are gone through in alphabetical order, from where they leave the word before.
 
 The decoder is a state machine over bytes: it holds at most the open bytes of one character.
 
@@ -35,11 +36,15 @@ from signalmart.llm.batches import bound_batches
 END = "</w>"
 # The pre-tokenizer's pattern, with Unicode's white space spelled out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+WORDS = rf"[\p{{L}}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+# The same for lower-case ASCII.
+ASCII_WORDS = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+"
 # The same where some letters and numbers count as signs.
 WORDS_BUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]|(?:[^{space}\p{{L}}\p{{N}}]|[{newer}])+"
 # Characters of a text that are worked on at once.
 CHUNK = 1 << 16
+# Characters whose new words are learnt together.
+LEARNT = 1 << 20
 # Words up to this length are remembered, this many at most.
 REMEMBERED_LENGTH = 64
 REMEMBERED = 600_000
@@ -66,6 +71,10 @@ CAPITALS = {
 }
 CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
 NEWER_CLASS = "".join("-".join(f"\\U{int(end, 16):08x}" for end in item.split("-")) for item in NEWER.split())
+# Every capital and newer character is in here: one quick class, since ranges beyond U+FFFF are tried one after the other.
+RARE = re.compile("[" + "".join(chr(c) for c in CAPITALS if c <= 0xFFFF)
+                  + "".join("-".join(f"\\u{end}" for end in item.split("-")) for item in NEWER.split() if len(item.split("-")[0]) == 4)
+                  + "\\U00010000-\\U0010ffff]")
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -96,6 +105,8 @@ class Merges:
         # Tokens that the merges make of their own spelling, and how many symbols they have.
         self.size = {t: len(s) for t, s in spelled.items() if len(s) == 1 or self.merge(s) == [t]}
         self.longest = max(self.size.values(), default=1)
+        # Beginnings of tokens, whole ones too: where none of these is, no token is looked for.
+        self.begun = {"", end, *self.size, *("".join(s[:k]) for t, s in spelled.items() if t in self.size for k in range(1, len(s)))}
         self._apart: dict[tuple[str, str], bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self.lookahead = self._lookahead()
@@ -171,51 +182,74 @@ class Encoder:
         self.merges = merges
         self.window = merges.longest + merges.lookahead
 
+    def _last(self, text: str, ending: str, last: list[str], first: int) -> tuple[str, int]:
+        """The last token of ``text`` and ``ending``, and where the longest beginning of a token that reaches the end starts.
+
+        ``last`` has the last token at each position before (at first the one before the text); ``first`` is that start
+        one symbol earlier: what begins before it has ended.
+        """
+        size, begun, apart, known = self.merges.size, self.merges.begun, self.merges.apart, self.merges._apart
+        while (token := text[first:] + ending) not in begun:
+            first += 1
+        for start in range(first, len(text)):
+            if token in size and (not (before := last[start]) or (known.get((before, token)) or apart(before, token))):
+                return token, first
+            token = text[start + 1:] + ending
+        raise ValueError(f"no token for {text[-1:]!r}")
+
+    def _chain(self, last: list[str], end: int) -> list[str]:
+        """Tokens up to a position, in order."""
+        size, tokens = self.merges.size, []
+        while end:
+            tokens.append(last[end])
+            end -= size[last[end]]
+        tokens.reverse()
+        return tokens
+
     def encode(self, symbols: Iterable[str]) -> Iterator[str]:
         """``symbols`` in byte characters; the last one is taken with the end mark."""
         m = self.merges
-        size = m.size
         # Since the last emitted boundary: symbols, and the last token at each position (first the one before it).
-        text, last, tail = "", [""], None
-
-        def extend(symbol: str, ending: str) -> None:
-            nonlocal text
-            text += symbol
-            n = len(text)
-            for start in range(max(0, n - m.longest), n):
-                token = text[start:] + ending
-                if token in size and (not (before := last[start]) or m.apart(before, token)):
-                    last.append(token)
-                    return
-            raise ValueError(f"no token for {symbol!r}")
-
+        text, last, tail, first = "", [""], None, 0
         for symbol in symbols:
             if tail is not None:
-                extend(tail, "")
+                text += tail
+                token, first = self._last(text, "", last, first)
+                last.append(token)
                 if len(text) >= 2 * self.window:
                     n = len(text)
                     meeting = set(range(n - m.longest + 1, n + 1))
                     while len(meeting) > 1:
                         i = max(meeting)
                         meeting.remove(i)
-                        meeting.add(i - size[last[i]])
+                        meeting.add(i - m.size[last[i]])
                     boundary = meeting.pop()
                     if boundary:
-                        stable, i = [], boundary
-                        while i:
-                            stable.append(last[i])
-                            i -= size[last[i]]
-                        yield from reversed(stable)
-                        text, last = text[boundary:], last[boundary:]
+                        yield from self._chain(last, boundary)
+                        text, last, first = text[boundary:], last[boundary:], max(first - boundary, 0)
             tail = symbol
         if tail is None:
             return
-        extend(tail, m.end)
-        stable, i = [], len(text)
-        while i:
-            stable.append(last[i])
-            i -= size[last[i]]
-        yield from reversed(stable)
+        text += tail
+        last.append(self._last(text, m.end, last, first)[0])
+        yield from self._chain(last, len(text))
+
+    def encode_sorted(self, words: Iterable[str]) -> Iterator[list[str]]:
+        """Tokens of short words, each in byte characters: one that begins like the word before goes on from there."""
+        text, last, firsts = "", [""], [0]
+        for word in words:
+            n = len(word)
+            same, most = 0, min(n - 1, len(text))
+            while same < most and word[same] == text[same]:
+                same += 1
+            del last[same + 1:], firsts[same + 1:]
+            first, text = firsts[same], word[:-1]
+            for end in range(same + 1, n):
+                token, first = self._last(word[:end], "", last, first)
+                last.append(token)
+                firsts.append(first)
+            token = self._last(word, self.merges.end, last, first)[0]
+            yield [*self._chain(last, n - self.merges.size[token]), token]
 
 
 class Decoder:
@@ -259,7 +293,7 @@ class Pieces:
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words_of = regex.compile(WORDS)
+        self.words_of, self.ascii_words_of = regex.compile(WORDS), re.compile(ASCII_WORDS)
         self.newer = re.compile(f"[{NEWER_CLASS}]")
         self.words_but = regex.compile(WORDS_BUT.format(newer=NEWER_CLASS, space=SPACE), flags=regex.V1)
         self.symbol_of = byte_symbols()
@@ -275,51 +309,92 @@ class Pieces:
                 out.append(part)
             elif part:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                if not part.isascii() and CAPITAL.search(part):
-                    part = part.translate(CAPITALS)
-                known = part.isascii() or not self.newer.search(part)
+                if part.isascii():
+                    out += self.ascii_words_of.findall(part)
+                    continue
+                known = True
+                if RARE.search(part):
+                    if CAPITAL.search(part):
+                        part = part.translate(CAPITALS)
+                    known = not self.newer.search(part)
                 out += (self.words_of if known else self.words_but).findall(part)
         return out
 
+    def spelt(self, word: str) -> str:
+        """The word in byte characters."""
+        if word.isascii() and word.isprintable():  # these stand for themselves
+            return word
+        return "".join([self.symbol_of[b] for b in word.encode("utf-8", "replace")])
+
     def encode_word(self, word: str) -> Iterator[int]:
         if word in self.special:
             return iter([self.special[word]])
-        if word.isascii() and word.isprintable():  # these stand for themselves
-            symbols: Iterable[str] = word
-        else:
-            symbols = (self.symbol_of[b] for c in word for b in c.encode("utf-8", "replace"))
-        return map(self.merges.ids.__getitem__, self.encoder.encode(symbols))
+        return map(self.merges.ids.__getitem__, self.encoder.encode(self.spelt(word)))
 
-    def described(self, word: str) -> tuple[int, str, str]:
+    def described(self, ids: Iterable[int]) -> tuple[int, str, str]:
         """Number of tokens, their ids and their spelling."""
-        ids = list(self.encode_word(word))
+        ids = list(ids)
         return len(ids), " ".join(map(str, ids)), "".join(Decoder(self.tokens, plain=False).feed(ids))
 
-    def summary(self, text: str) -> tuple[int, str, str]:
-        """The same of a whole text.  Words are remembered in two generations, so memory is bounded."""
-        words = self.words(text)
+    def learn(self, words: set[str]) -> None:
+        """Describe the short ones of these words.  Words are remembered in two generations, so memory is bounded."""
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
-        known, long = self.known, {}
-        for w in set(words).difference(known):
-            if len(w) > REMEMBERED_LENGTH:
-                long[w] = self.described(w)
-            else:
-                known[w] = self.older.get(w) or self.described(w)
-        got = [long.get(w) or known[w] for w in words] if long else list(map(known.__getitem__, words))
+        known, new = self.known, []
+        for word in words.difference(known):
+            if word in self.older:
+                known[word] = self.older[word]
+            elif word in self.special:
+                known[word] = self.described([self.special[word]])
+            elif len(word) <= REMEMBERED_LENGTH:
+                new.append(word)
+        new.sort()
+        for word, tokens in zip(new, self.encoder.encode_sorted(map(self.spelt, new))):
+            known[word] = self.described(map(self.merges.ids.__getitem__, tokens))
+
+    def summary(self, text: str) -> tuple[int, str, str]:
+        """The same of a whole text."""
+        words = self.words(text)
+        self.learn(set(words))
+        return self.joined(words)
+
+    def joined(self, words: list[str]) -> tuple[int, str, str]:
+        """The same of words that are learnt or long."""
+        got = list(map(self.known.get, words))
+        if None in got:
+            long = {w: self.described(self.encode_word(w)) for w in {w for w, g in zip(words, got) if g is None}}
+            got = [g or long[w] for w, g in zip(words, got)]
         return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, and SHA-256 of their ids and of their spelling, which are never whole in memory."""
-        total, of_ids, of_spelling = 0, hashlib.sha256(), hashlib.sha256()
-        for chunk in chunks(text):
-            n, ids, spelled = self.summary(chunk)
-            if n:
-                between = b" " if total else b""
-                of_ids.update(between + ids.encode())
-                of_spelling.update(between + spelled.encode())
-                total += n
-        return total, of_ids.hexdigest(), of_spelling.hexdigest()
+        return self.digests_of([text])[0]
+
+    def digests_of(self, texts: Iterable[str]) -> list[tuple[int, str, str]]:
+        """``digests`` of each text; the new words of many chunks are learnt together."""
+        found, waiting, size = [], [], 0
+
+        def finish() -> None:
+            nonlocal waiting, size
+            self.learn({word for _, words in waiting for word in words})
+            for row, words in waiting:
+                n, ids, spelled = self.joined(words)
+                if n:
+                    between = b" " if row[0] else b""
+                    row[1].update(between + ids.encode())
+                    row[2].update(between + spelled.encode())
+                    row[0] += n
+            waiting, size = [], 0
+
+        for text in texts:
+            found.append([0, hashlib.sha256(), hashlib.sha256()])
+            for chunk in chunks(text):
+                waiting.append((found[-1], self.words(chunk)))
+                size += len(chunk)
+                if size >= LEARNT:
+                    finish()
+        finish()
+        return [(n, of_ids.hexdigest(), of_spelling.hexdigest()) for n, of_ids, of_spelling in found]
 
     def encode(self, text: str) -> Iterator[int]:
         for chunk in chunks(text):
@@ -340,7 +415,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = pieces(path)
         for batch in texts:
-            rows = [tokenizer.digests(text or "") for text in batch]
+            rows = tokenizer.digests_of(text or "" for text in batch)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     bound_batches(docs.sparkSession)

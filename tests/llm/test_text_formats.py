@@ -58,6 +58,35 @@ def test_chunks_change_nothing(pieces, monkeypatch):
         monkeypatch.undo()
 
 
+def test_new_words_are_learnt_from_where_the_word_before_left(pieces, monkeypatch):
+    """A word that begins like another costs its own end only, and its tokens are those it has alone."""
+    random.seed(5)
+    stem = "".join(random.choice("etaoinsh") for _ in range(40))
+    words = [stem[:random.randrange(1, 40)] + random.choice(("", "s", "é", "日本", "ß", "zq")) for _ in range(2_000)]
+    fresh, calls, last = bpe.Pieces(PATH), 0, bpe.Encoder._last
+
+    def counted(*args):
+        nonlocal calls
+        calls += 1
+        return last(*args)
+
+    monkeypatch.setattr(bpe.Encoder, "_last", counted)
+    assert len(fresh.digests_of([" ".join(words[:1_000]), "", " ".join(words[1_000:])])) == 3
+    monkeypatch.undo()
+    assert calls < sum(len(fresh.spelt(w)) for w in set(words)) / 3
+    for w in set(words):
+        ids = list(pieces.encode_word(w))
+        assert fresh.known[w] == (len(ids), " ".join(map(str, ids)), " ".join(pieces.tokens[i] for i in ids))
+
+
+def test_texts_learnt_together_give_what_each_gives_alone(pieces, monkeypatch):
+    texts = [*strange_texts(), "old words\tagain " * 30, "\ua7cb \u1c89x \U00010d50\u0558 a\u088fb"]
+    want = [pieces.digests(t) for t in texts]
+    monkeypatch.setattr(bpe, "LEARNT", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    assert bpe.Pieces(PATH).digests_of(texts) == want and bpe.Pieces(PATH).digests_of([]) == []
+
+
 def test_tokenize_returns_ids_and_text(documents, nothing, pieces):
     rows = bpe.tokenize(documents, PATH).collect()
     texts = {(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()}
