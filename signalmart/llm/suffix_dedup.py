@@ -347,10 +347,10 @@ def runs(texts: DataFrame, partitions: int, sampling: Sampling) -> DataFrame:
 
         def sorted_run(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
             rows, doc_id, text_hash, at, crowd = (np.concatenate(p) for p in zip(*parts))
-            by_place = np.lexsort((at, text_hash, doc_id))
-            rows, doc_id, text_hash, at, crowd = (x[by_place] for x in (rows, doc_id, text_hash, at, crowd))
-            order = np.argsort(rows.view(f"S{sampling.width}").ravel(), kind="stable")
-            rows, doc_id, text_hash, at, crowd = (x[order] for x in (rows, doc_id, text_hash, at, crowd))
+            parts.clear()  # entries are held once while they are sorted, not in their parts as well
+            order = np.lexsort((at, text_hash, doc_id))
+            order = order[np.argsort(rows[order].view(f"S{sampling.width}").ravel(), kind="stable")]
+            rows, doc_id, text_hash, at, crowd = rows[order], doc_id[order], text_hash[order], at[order], crowd[order]
             fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
             head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             other = ~fresh & ((doc_id != doc_id[head]) | (text_hash != text_hash[head]) | (at != at[head]))
@@ -652,7 +652,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ENTRIE
                          dtype=object)
 
     rows = _with_spans(docs, length, most)
-    cut = rows.where("_spans is not null").withColumn("_text", kept("_d.text", "_spans")).where("_text != ''")
+    # Called non-deterministic, so that the filter does not call it a second time, with Python workers of its own.
+    cut = rows.where("_spans is not null").withColumn("_text", kept.asNondeterministic()("_d.text", "_spans")).where("_text != ''")
     changed = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
     return rows.where("_spans is null").select("_d.*").unionByName(
         cut.select(*[changed.get(c, F.col(f"_d.`{c}`")).alias(c) for c in docs.columns]))

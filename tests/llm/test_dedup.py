@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from helpers import plan
 
 from signalmart.llm import exact_dedup, jaccard_join, suffix_dedup
 from signalmart.llm.components import components
@@ -284,6 +285,11 @@ def test_drop_repeats_keeps_columns_and_first_passages(documents, nothing):
     assert suffix_dedup.drop_repeats(nothing).count() == 0
 
 
+def test_repeats_are_cut_out_by_one_call(documents):
+    """Not once for the filter and once more for the text: each call has Python workers of its own."""
+    assert plan(suffix_dedup.drop_repeats(documents)).count("ArrowEvalPython") == 1
+
+
 def test_loser_tree_merges_and_tells_shared_prefixes():
     random.seed(1)
     width = 8
