@@ -79,7 +79,7 @@ def test_stages_keep_the_columns_of_documents(spark, documents, nothing):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES if name != "pipeline")
-    assert numbers == list(range(1, 11)) and set(queries.QUERIES) <= set(entry_points.queries())
+    assert numbers == list(range(1, 14)) and set(queries.QUERIES) <= set(entry_points.queries())
     assert queries.QUERIES["pipeline"] is corpus_pipeline.run and "signalmart.llm" in sys.modules
     assert key(None) < key(0)
 
